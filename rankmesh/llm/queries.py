@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rankmesh.llm import fingerprints
+from rankmesh.llm import fingerprints, mixing
 from rankmesh.llm.common import read_table
 
 
@@ -14,9 +14,15 @@ def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_against_next(read_table(spark, sf_dir, "documents"))
 
 
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = mixing.plan(read_table(spark, sf_dir, "documents"))
+    return plan.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_document_fingerprints": op4_document_fingerprints,
+        "op7_source_mixing": op7_source_mixing,
     }
 
 
