@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from rankmesh.llm import fingerprints, mixing
+from rankmesh.llm import fingerprints, lattice, mixing, spm
 from rankmesh.llm.common import read_table
 
 
@@ -19,10 +20,22 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", F.char_length("text").alias("n_chars"))
+    coded = spm.encode(docs, out="ids", check="round_trip")
+    return coded.select("doc_id", "n_chars", F.size("ids").alias("n_ids"), "ids", "round_trip")
+
+
+def op10_lattice_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.score(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_sentencepiece": op2_sentencepiece,
         "op4_document_fingerprints": op4_document_fingerprints,
         "op7_source_mixing": op7_source_mixing,
+        "op10_lattice_scoring": op10_lattice_scoring,
     }
 
 
