@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,7 +80,7 @@ def chunks(batches: Iterable[pa.RecordBatch], text: str, most: int) -> Iterator[
         if batch.num_rows == 0:
             continue
         col = batch.column(batch.schema.get_field_index(text))
-        sizes = pa.compute.fill_null(pa.compute.binary_length(col), 0).to_pylist()
+        sizes = pc.fill_null(pc.binary_length(col), 0).to_pylist()
         begin, held = 0, 0
         for i, size in enumerate(sizes):
             if held and held + size > most:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankmesh.llm import fingerprints, lattice, mixing, spm
+from rankmesh.llm import fingerprints, lattice, mixing, simhash, spm
 from rankmesh.llm.common import read_table
 
 
@@ -26,6 +26,10 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_chars", F.size("ids").alias("n_ids"), "ids", "round_trip")
 
 
+def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.groups(read_table(spark, sf_dir, "documents"))
+
+
 def op10_lattice_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.score(read_table(spark, sf_dir, "documents"))
 
@@ -35,6 +39,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_sentencepiece": op2_sentencepiece,
         "op4_document_fingerprints": op4_document_fingerprints,
         "op7_source_mixing": op7_source_mixing,
+        "op8_simhash_near_dedup": op8_simhash_near_dedup,
         "op10_lattice_scoring": op10_lattice_scoring,
     }
 
