@@ -22,7 +22,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankmesh.llm.common import text_or_empty
+from rankmesh.llm.common import plus, text_or_empty
 
 #: Phrase names kept in a fingerprint, and the levels that they come from.
 SKETCH, LEVELS = 64, (2, 3)
@@ -160,7 +160,7 @@ def likeness(a: str, b: str) -> float:
 
 def with_fingerprint(docs: DataFrame, text: str = "text", out: str = "fingerprint") -> DataFrame:
     """``docs`` with a fingerprint column; null texts count as empty. Nothing is shuffled."""
-    schema = docs.schema.add(out, "string")
+    schema = plus(docs, (out, "string"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankmesh.llm import fingerprints, lattice, mixing, simhash, spm
+from rankmesh.llm import fingerprints, lattice, mixing, simhash, spm, toxicity
 from rankmesh.llm.common import read_table
 
 
@@ -15,6 +15,10 @@ def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_against_next(read_table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judged(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.plan(read_table(spark, sf_dir, "documents"))
     return plan.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
@@ -38,6 +42,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_sentencepiece": op2_sentencepiece,
         "op4_document_fingerprints": op4_document_fingerprints,
+        "op5_toxicity": op5_toxicity,
         "op7_source_mixing": op7_source_mixing,
         "op8_simhash_near_dedup": op8_simhash_near_dedup,
         "op10_lattice_scoring": op10_lattice_scoring,

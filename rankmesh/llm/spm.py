@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from rankmesh.llm.common import chunks
+from rankmesh.llm.common import chunks, plus
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -229,9 +229,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary | None = None, text: str = "t
     """
     shared = _Shared(docs.sparkSession, vocabulary or load())
     docs = docs.drop(out, *([check] if check else []))
-    schema = docs.schema.add(out, "array<int>")
-    if check:
-        schema = schema.add(check, "boolean")
+    schema = plus(docs, (out, "array<int>"), *([(check, "boolean")] if check else []))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = _encoder(shared)
@@ -255,7 +253,7 @@ def decode(rows: DataFrame, vocabulary: Vocabulary | None = None, ids: str = "id
     """``rows`` with the text of each array of ids; null ids give a null text. A column named ``out`` is replaced."""
     shared = _Shared(rows.sparkSession, vocabulary or load())
     rows = rows.drop(out)
-    schema = rows.schema.add(out, "string")
+    schema = plus(rows, (out, "string"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = _encoder(shared)
