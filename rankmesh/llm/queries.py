@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankmesh.llm import fingerprints, lattice, mixing, simhash, spm, toxicity
+from rankmesh.llm import fingerprints, lattice, mixing, quality, simhash, spm, toxicity
 from rankmesh.llm.common import read_table
 
 
@@ -24,6 +24,10 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(read_table(spark, sf_dir, "documents"))
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", F.char_length("text").alias("n_chars"))
     coded = spm.encode(docs, out="ids", check="round_trip")
@@ -40,6 +44,7 @@ def op10_lattice_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality_classifier": op1_quality_classifier,
         "op2_sentencepiece": op2_sentencepiece,
         "op4_document_fingerprints": op4_document_fingerprints,
         "op5_toxicity": op5_toxicity,
