@@ -20,7 +20,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankmesh.llm.common import chunks, text_or_empty, words_of, written
@@ -58,15 +58,21 @@ def simhashes(texts: list[str], n: int = SHINGLE) -> np.ndarray:
     return out
 
 
+def row_key() -> Column:
+    """What tells rows of one doc_id apart: a hash of the text, and whether the id is null."""
+    return F.xxhash64(F.col("doc_id").isNull(), "text")
+
+
 def fingerprinted(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, fp: the fingerprint as a signed long). A null text counts as empty."""
+    """Rows (doc_id, key, fp: the fingerprint as a signed long). A null text counts as empty."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text", 1 << 18):
-            prints = simhashes(batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], ["doc_id", "fp"])
+            prints = simhashes(batch.column(2).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prints.view(np.int64))], ["doc_id", "key", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("key"), text_or_empty().alias("text"))
+    return rows.mapInArrow(run, "doc_id long, key long, fp long")
 
 
 def masks(blocks: int, distance: int = DISTANCE) -> list[int]:
@@ -191,8 +197,30 @@ def groups(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     """
     rows = written(fingerprinted(docs), "fingerprints")
     classes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("low")), "classes")
-    parts = written(components(links(classes.select("fp"), crowd)), "components").withColumnRenamed("node", "fp")
-    lows = classes.join(parts, "fp")
-    lows = lows.join(lows.groupBy("component").agg(F.min("low").alias("component_id")), "component").select("fp", "component_id")
+    parts = _parts(classes, crowd)
+    own = classes.join(parts, "fp")
+    lows = own.join(own.groupBy("component").agg(F.min("low").alias("component_id")), "component").select("fp", "component_id")
     of = classes.join(lows, "fp", "left").select("fp", F.coalesce("component_id", "low").alias("component_id"))
     return rows.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _parts(prints: DataFrame, crowd: int) -> DataFrame:
+    """Rows (fp, component) of those of the different fingerprints ``prints`` that are linked."""
+    return written(components(links(prints.select("fp"), crowd)), "components").withColumnRenamed("node", "fp")
+
+
+def one_of_each(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """``docs`` with one document of each group of near copies, and the same columns.
+
+    The one with the smallest doc_id stays, null ids coming last; of several
+    rows with that id the one with the smallest text hash, and of rows that
+    agree in both any single one. Whole rows are shuffled once.
+    """
+    rows = written(fingerprinted(docs), "fingerprints")
+    parts = _parts(rows.select("fp").distinct(), crowd)
+    group = F.coalesce("component", "fp")
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "key")
+    kept = rows.join(parts, "fp", "left").groupBy(group.alias("group")).agg(F.min(rank).alias("first"))
+    kept = kept.select(F.col("first.id").alias("_id"), F.col("first.key").alias("_key"))
+    own = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "_key": row_key()})
+    return own.join(kept, ["_id", "_key"]).dropDuplicates(["_id", "_key"]).select(*docs.columns)
