@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankmesh.llm import fingerprints, lattice, mixing, quality, simhash, spm, toxicity
+from rankmesh.llm import embeddings, fingerprints, lattice, mixing, quality, simhash, spm, toxicity
 from rankmesh.llm.common import read_table
 
 
@@ -19,6 +19,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judged(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.linked(read_table(spark, sf_dir, "embeddings"))
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.plan(read_table(spark, sf_dir, "documents"))
     return plan.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
@@ -48,6 +52,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_sentencepiece": op2_sentencepiece,
         "op4_document_fingerprints": op4_document_fingerprints,
         "op5_toxicity": op5_toxicity,
+        "op6_embedding_near_dedup": op6_embedding_near_dedup,
         "op7_source_mixing": op7_source_mixing,
         "op8_simhash_near_dedup": op8_simhash_near_dedup,
         "op10_lattice_scoring": op10_lattice_scoring,
