@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankmesh.llm import embeddings, fingerprints, lattice, mixing, quality, simhash, spm, toxicity
+from rankmesh.llm import embeddings, fingerprints, lattice, mixing, packing, quality, simhash, spm, toxicity
 from rankmesh.llm.common import read_table
 
 
+def op3_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digests(packing.packed(read_table(spark, sf_dir, "documents")))
+
+
 def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_against_next(read_table(spark, sf_dir, "documents"))
 
@@ -50,6 +54,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_classifier": op1_quality_classifier,
         "op2_sentencepiece": op2_sentencepiece,
+        "op3_token_packing": op3_token_packing,
         "op4_document_fingerprints": op4_document_fingerprints,
         "op5_toxicity": op5_toxicity,
         "op6_embedding_near_dedup": op6_embedding_near_dedup,
