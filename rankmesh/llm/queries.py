@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankmesh.llm import embeddings, fingerprints, lattice, mixing, packing, quality, simhash, spm, toxicity
+from rankmesh.llm import chat, embeddings, fingerprints, lattice, mixing, packing, quality, simhash, spm, toxicity
 from rankmesh.llm.common import read_table
 
 
@@ -46,6 +46,10 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(read_table(spark, sf_dir, "documents"))
 
 
+def op9_preference_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.foreign_reply_preferences(read_table(spark, sf_dir, "conversations"))
+
+
 def op10_lattice_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.score(read_table(spark, sf_dir, "documents"))
 
@@ -60,9 +64,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_embedding_near_dedup": op6_embedding_near_dedup,
         "op7_source_mixing": op7_source_mixing,
         "op8_simhash_near_dedup": op8_simhash_near_dedup,
+        "op9_preference_formatting": op9_preference_formatting,
         "op10_lattice_scoring": op10_lattice_scoring,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """DuckDB SQL; the other operators train, draw, hash or tokenize, which SQL can't express."""
+    return {"op9_preference_formatting": chat.FOREIGN_REPLY_SQL}
