@@ -28,8 +28,8 @@ UNKNOWN_PENALTY = 10.0
 UNUSABLE = -1e6
 #: Scores are added as whole millionths, so that sums, and ties, don't hang on the order of adding.
 MICRO = 1e6
-#: Words and their ids kept by a worker.
-CACHE = 400_000
+#: Words whose ids a worker keeps, and as many older ones.
+CACHE = 250_000
 
 
 class Vocabulary:
@@ -79,12 +79,11 @@ def load(path: str = MODEL) -> Vocabulary:
     return Vocabulary([m.id_to_piece(i) for i in ids], scores, kinds, bpe)
 
 
-def segment(v: Vocabulary, s: str, marks: bool = True) -> Iterator[tuple[int, int]]:
+def segment(v: Vocabulary, s: str) -> Iterator[tuple[int, int]]:
     """Best segmentation of ``s`` as (begin, end) of each piece, in order, given out as it is settled.
 
     Of equal scores the one with the longest last piece wins. A character that is
-    no piece makes a piece of its own. ``marks``: a space mark counts only at the
-    beginning of ``s``; elsewhere it stands for itself and is no piece.
+    no piece makes a piece of its own.
     """
     n, done, floor, get, unknown = len(s), 0, float("-inf"), v.begins.get, v.whole_unknown
     # scores are kept for the positions from i to i + the longest piece, in a ring
@@ -98,7 +97,7 @@ def segment(v: Vocabulary, s: str, marks: bool = True) -> Iterator[tuple[int, in
             hit = get(s[i:j], 0)
             if hit is None:
                 continue
-            if hit == 0 or marks and i < j - 1 and SPACE in s[i + 1 : j] or marks and i and s[i] == SPACE:
+            if hit == 0:
                 break
             single |= j == i + 1
             if at + hit[0] > best[j % ring]:
@@ -128,28 +127,68 @@ def _trace(back: dict[int, int], begin: int, end: int) -> Iterator[tuple[int, in
     return zip(path, path[1:])
 
 
+class _Cache(dict):
+    """Ids of words. When it is full it becomes the old one, from which words that come again are taken over."""
+
+    def __init__(self, make):
+        self.make, self.old = make, {}
+
+    def __missing__(self, word: str | tuple[str]) -> bytes:
+        if type(word) is str and (cut := word.rfind("\n")) >= 0:
+            return self[word[:cut]] + self[word[cut + 1 :],]  # no piece has a line end, so what follows one stands alone
+        got = self.old.get(word)
+        if got is None:
+            got = self.make(word)
+            if len(got) > 256:
+                return got
+        if len(self) >= CACHE:
+            self.old = dict(self)
+            self.clear()
+        self[word] = got
+        return got
+
+
 class Encoder:
     """Texts to ids and back, with a cache of words where the vocabulary lets words stand alone."""
 
     def __init__(self, v: Vocabulary):
-        self.v, self.cache = v, {}
+        self.v = v
+        self.alone = v.by_word and not any("\n" in p for p in v.score)
+        self.line_end = struct.pack("<i", v.bytes[10])
+        self.cache = _Cache(self._word)
+
+        self.trie: dict = {}
+        for p, i in sorted(v.id.items()):
+            node = self.trie
+            for c in p[:-1]:
+                node = node.setdefault(c, ({}, None, -1))[0]
+            node[p[-1]] = (node.get(p[-1], ({},))[0], v.begins[p][0], i)
+
+    def _word(self, word: str | tuple[str]) -> bytes:
+        """Ids of a word after a space, or of a line end and the word after it, given as a tuple. A space mark in it is spelt in bytes."""
+        head, word = (b"", " " + word) if type(word) is str else (self.line_end, word[0])
+        if SPACE in word:
+            mark = struct.pack("<3i", *(self.v.bytes[b] for b in SPACE.encode()))
+            return head + mark.join(self._ids(w.replace(" ", SPACE)) for w in word.split(SPACE))
+        return head + self._ids(word.replace(" ", SPACE))
 
     def _short(self, s: str) -> bytes:
-        """As ``_ids`` for a word whose every position fits the window, so that nothing need be settled early."""
-        n, get, unknown = len(s), self.v.begins.get, self.v.whole_unknown
+        """As ``_ids``, for a string so short that nothing need be settled early."""
+        n, trie, unknown = len(s), self.trie, self.v.whole_unknown
         best, back, piece = [float("-inf")] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
-        best[0] = 0.0
+        best[0] = 0
         for i in range(n):
             at = best[i]
             if at + unknown > best[i + 1]:
                 best[i + 1], back[i + 1], piece[i + 1] = at + unknown, i, -1
-            for j in range(i + 1, n + 1):
-                hit = get(s[i:j], 0)
-                if hit:
-                    if at + hit[0] > best[j]:
-                        best[j], back[j], piece[j] = at + hit[0], i, hit[1]
-                elif hit == 0:
+            node = trie
+            for j, c in enumerate(s[i:], i + 1):
+                hit = node.get(c)
+                if hit is None:
                     break
+                node, score, k = hit
+                if score is not None and at + score > best[j]:
+                    best[j], back[j], piece[j] = at + score, i, k
         out: list[int] = []
         while n:
             i = back[n]
@@ -157,12 +196,12 @@ class Encoder:
             n = i
         return struct.pack(f"<{len(out)}i", *reversed(out))
 
-    def _ids(self, s: str, marks: bool) -> bytes:
-        if marks and len(s) <= 64 and SPACE not in s[1:]:
+    def _ids(self, s: str) -> bytes:
+        if len(s) <= 64:
             return self._short(s)
         out: list[int] = []
-        for i, j in segment(self.v, s, marks):
-            k = None if marks and i and s[i] == SPACE else self.v.id.get(s[i:j])
+        for i, j in segment(self.v, s):
+            k = self.v.id.get(s[i:j])
             out += [k] if k is not None else [self.v.bytes[b] for b in s[i:j].encode("utf-8", "surrogatepass")]
         return np.array(out, "<i4").tobytes()
 
@@ -170,27 +209,11 @@ class Encoder:
         """Ids as little-endian int32. An empty text has none. A space mark in the text is spelt in bytes."""
         if not text:
             return b""
-        if not self.v.by_word:
-            s = SPACE + text
-            if SPACE in text:
-                raise ValueError("this vocabulary can't tell a space mark in a text from a space")
-            return self._ids(s.replace(" ", SPACE), False)
-        cache, words = self.cache, text.split(" ")
-        try:
-            return b"".join([cache[w] for w in words])
-        except KeyError:
-            pass
-        if len(cache) > CACHE:
-            cache.clear()
-        out = []
-        for w in words:
-            got = cache.get(w)
-            if got is None:
-                got = self._ids(SPACE + w, True)
-                if len(w) <= 64:
-                    cache[w] = got
-            out.append(got)
-        return b"".join(out)
+        if self.alone:
+            return b"".join(map(self.cache.__getitem__, text.split(" ")))
+        if SPACE in text:
+            raise ValueError("this vocabulary can't tell a space mark in a text from a space")
+        return self._ids((SPACE + text).replace(" ", SPACE))
 
     def decode(self, ids: Iterable[int]) -> str:
         """The text of ids; bytes that are no UTF-8 become replacement marks."""
