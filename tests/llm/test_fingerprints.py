@@ -1,0 +1,70 @@
+from __future__ import annotations
+
+import hashlib
+import random
+
+import numpy as np
+from tests_llm_tools import prose, table
+
+from rankmesh.llm import fingerprints as fp
+
+
+def test_equal_substrings_get_equal_phrases_whatever_their_offset():
+    shared = prose(10, 400)
+    a, b = prose(11, 90) + shared, prose(12, 133) + shared + prose(13, 20)
+
+    def phrases(text):
+        s = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        first = np.zeros(len(s), bool)
+        first[0] = True
+        out = []
+        for _ in range(3):
+            s, first = fp.parse(s, first)
+            out.append(s)
+        return out
+
+    for x, y, n in zip(phrases(a), phrases(b), (500, 150, 40), strict=True):
+        x, y = x.tolist(), y.tolist()
+        inner = x[-n:-10]  # far from the left edge of the shared part; b's tail is longer
+        same = max(sum(p == q for p, q in zip(inner, y[k:])) for k in range(len(y)) if y[k] == inner[0])
+        assert same >= len(inner) - 8
+
+
+def test_fingerprints_do_not_depend_on_neighbours_in_the_batch():
+    texts = ["", "a", "aa", "ab", "aaaaaaaaaaaaaaaa", "日本" * 40, prose(1, 300), prose(2, 5), "x" * 10_000]
+    alone = [fp.fingerprints([t])[0] for t in texts]
+    assert fp.fingerprints(texts) == alone == fp.fingerprints(texts[::-1])[::-1]
+    assert len(set(alone)) == len(texts) and alone[0] == fp.EMPTY
+
+
+def test_likeness():
+    a, b, c = fp.fingerprints([prose(1, 800), prose(1, 800)[:2500] + prose(3, 400), prose(4, 800)])
+    assert fp.likeness(a, a) == 1.0 and fp.likeness(fp.EMPTY, fp.EMPTY) == 1.0 and fp.likeness(fp.EMPTY, a) == 0.0
+    assert 0.3 < fp.likeness(a, b) < 0.9 and fp.likeness(a, b) == fp.likeness(b, a)
+    assert fp.likeness(a, c) < fp.likeness(a, b)
+
+
+def test_next_document_against_brute_force(spark):
+    rng = random.Random(5)
+    ids = rng.sample(range(-50, 10_000), 60)
+    rows = [(i, prose(i, rng.choice([0, 1, 3, 40, 200])), "a") for i in ids] + [(20_000, None, "a")]
+    got = {r.doc_id: r for r in fp.edited_against_next(table(spark, rows).repartition(7)).collect()}
+    order = sorted(rows, key=lambda r: -r[0])
+    assert len(got) == len(rows)
+    for k, (i, text, _) in enumerate(order):
+        text, after = text or "", order[(k + 1) % len(order)][1] or ""
+        half = len(text) // 2
+        edited = text[: len(text) - half] + after[:half]
+        own, changed, nxt = fp.fingerprints([text, edited, after])
+        r = got[i]
+        assert (r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint) == (len(text), hashlib.sha256(edited.encode()).hexdigest(), own, changed)
+        assert (r.near_edited, r.near_next) == (fp.likeness(own, changed), fp.likeness(own, nxt))
+
+
+def test_odd_rows(odd, none):
+    got = fp.edited_against_next(odd).collect()
+    assert len(got) == odd.count() and all(r.fingerprint and r.near_edited is not None for r in got)
+    assert fp.edited_against_next(none).count() == 0
+    lone = fp.edited_against_next(odd.filter("doc_id = 1")).collect()
+    assert len(lone) == 1 and lone[0].near_next == 1.0
+    assert fp.with_fingerprint(odd).filter("fingerprint is null").count() == 0

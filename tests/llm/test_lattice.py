@@ -1,0 +1,125 @@
+from __future__ import annotations
+
+import math
+import random
+import re
+import zlib
+from collections import Counter
+from itertools import combinations
+
+import pytest
+from tests_llm_tools import prose, table
+
+from rankmesh.llm import lattice as L
+from rankmesh.llm import spm
+
+
+@pytest.fixture(scope="module")
+def vocabulary():
+    return spm.load()
+
+
+@pytest.fixture(scope="module")
+def small():
+    pieces = [f"<0x{b:02X}>" for b in range(256)] + ["▁", "▁a", "▁ab", "a", "b", "c", "ab", "bc", "abc"]
+    scores = [0.0] * 256 + [-math.log(k + 2) for k in range(9)]
+    return spm.Vocabulary(pieces, [s + 1e-6 for s in scores], ["byte"] * 256 + ["normal"] * 9, False)
+
+
+def spellings(m: L.Spelling, word: str):
+    """Every way to cut a word into pieces, with its log probability."""
+    s = "▁" + word
+    for k in range(len(s)):
+        for cuts in combinations(range(1, len(s)), k):
+            parts = [s[a:b] for a, b in zip((0, *cuts), (*cuts, len(s)))]
+            out = m.end
+            for n, p in enumerate(parts):
+                table = m.going if n else m.opening
+                if p in table:
+                    out += table[p]
+                elif n and len(p) == 1:
+                    out += sum(m.byte[b] for b in p.encode())
+                else:
+                    out = None
+                    break
+            if out is not None:
+                yield parts, out
+
+
+@pytest.mark.parametrize("word", ["", "a", "abc", "aabbc", "éab", "cabcab"])
+def test_marginal_and_expectations_against_all_spellings(small, word):
+    first = L.Spelling.of(small)
+    for m in (first, L.Spelling.learned(small, {("▁a", True): 3.0, ("b", False): 2.0, ("abc", False): 5.0, 195: 1.0}, 4)):
+        every = list(spellings(m, word))
+        want = math.log(sum(math.exp(p) for _, p in every))
+        assert m.log_probability(word) == pytest.approx(want, abs=1e-9)
+        got, expected = Counter(), Counter()
+        m.expect(word, got)
+        for parts, p in every:
+            for n, x in enumerate(parts):
+                keys = [(x, n == 0)] if x in (m.going if n else m.opening) else list(x.encode())
+                for k in keys:
+                    expected[k] += math.exp(p - want)
+        assert set(got) == set(expected) and all(got[k] == pytest.approx(expected[k], abs=1e-9) for k in got)
+
+
+def test_learned_probabilities_sum_to_one(small):
+    m = L.Spelling.learned(small, {("▁a", True): 3.0, ("b", False): 2.0, 65: 1.5}, 7)
+    assert sum(map(math.exp, m.opening.values())) == pytest.approx(1)
+    assert sum(map(math.exp, m.going.values())) + sum(map(math.exp, m.byte)) + math.exp(m.end) == pytest.approx(1)
+
+
+def test_long_words_do_not_underflow(vocabulary):
+    m = L.Spelling.of(vocabulary)
+    assert -1e6 < m.log_probability("xq" * 3000) < -1000
+
+
+def brute(rows, vocabulary):
+    words = {i: re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for i, t, _ in rows}
+    train = [i for i in words if zlib.crc32(str(i).encode()) % 10]
+    c = Counter(w for i in train for w in words[i])
+    ends = len(train)
+    n, v = sum(c.values()) + ends, len(c) + (ends > 0)
+    first, counts = L.Spelling.of(vocabulary), Counter()
+    for w in c:
+        first.expect(w, counts)
+    m = L.Spelling.learned(vocabulary, counts, len(c))
+    ones, twos = (sum(x == k for x in c.values()) for k in (1, 2))
+    d = ones / (ones + 2 * twos) if ones and twos else 0.5
+    out = {}
+    for i, ws in words.items():
+        base = sum(math.log10((x + 0.1) / (n + 0.1 * (v + 1))) for x in [*(c[w] for w in ws), ends])
+        own = sum(math.log10((max(c[w] - d, 0) + (d * len(c) + 1) * math.exp(m.log_probability(w))) / (n + 1.5)) for w in ws) + math.log10((ends + 0.5) / (n + 1.5))
+        out[i] = (i not in train, len(ws) + 1, sum(c[w] > 0 for w in ws) + (ends > 0), n, base, own)
+    return out
+
+
+@pytest.mark.parametrize("head", [0, 5, 10**6])
+def test_scores_against_brute_force(spark, vocabulary, head):
+    rng = random.Random(1)
+    rows = [(i, prose(i, rng.randint(0, 40)).title() + rng.choice(["", " rareword%d" % i, "\tDÉ\x0bx"]), "a") for i in range(120)]
+    got = {r.doc_id: r for r in L.score(table(spark, rows).repartition(3), vocabulary, head=head).collect()}
+    want = brute(rows, vocabulary)
+    assert set(got) == set(want)
+    for i, w in want.items():
+        g = got[i]
+        assert (g.held_out, g.n_tokens, g.n_known, g.train_tokens) == w[:4]
+        assert (g.base_score, g.score) == (pytest.approx(w[4], abs=1e-8), pytest.approx(w[5], abs=1e-6))
+
+
+def test_texts_of_the_language_score_above_others(spark, vocabulary):
+    rows = [(i, prose(i, 60), "a") for i in range(300)]
+    odd = [(1000 + i, "".join(random.Random(i).choices("bcdfghjklmnpqrstvwxz ", k=300)), "a") for i in range(30)]
+    got = L.score(table(spark, rows + odd), vocabulary).filter("held_out").collect()
+    each = {r.doc_id: r.score / r.n_tokens for r in got}
+    assert min(s for i, s in each.items() if i < 1000) > max(s for i, s in each.items() if i >= 1000)
+
+
+def test_odd_rows(spark, odd, none, vocabulary):
+    got = L.score(odd, vocabulary).collect()
+    assert len(got) == odd.count()
+    assert all(r.n_tokens == 1 for r in got if r.doc_id in (2, 3, 4)) and all(math.isfinite(r.score) and math.isfinite(r.base_score) and r.score < 0 for r in got)
+    assert L.score(none, vocabulary).count() == 0
+    held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 10 == 0)
+    alone = L.score(table(spark, [(held, "a b", "a")]), vocabulary).first()  # nothing to train on
+    assert (alone.train_tokens, alone.n_known, alone.base_score) == (0, 0, 0.0) and math.isfinite(alone.score)
