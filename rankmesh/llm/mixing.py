@@ -2,9 +2,10 @@
 
 Every document of a source is wanted the same fractional number of times, its
 source's target over its source's size. The whole part is given to all; the
-fractional parts are rounded in pairs of a document and all smaller ones together:
-words move at random from one side to the other, keeping their sum, until one side
-is whole. So each document keeps its expected number of copies, while the words
+fractional parts are rounded in pairs of a document and all smaller ones together,
+or of two documents where their probabilities have come to differ: words move at
+random from one side to the other, keeping their sum, until one side is whole. So
+each document keeps its expected number of copies, while the words
 that a source takes hardly vary; what can't be made whole is a small document. Documents are rounded in
 groups of some thousands; each group leaves at most one document undecided, and
 these meet in a tree of further groups until one is left for each source.
@@ -38,40 +39,32 @@ def share(sizes: Sequence[int], weights: Sequence[float], total: float, most: fl
     order = sorted(range(len(sizes)), key=lambda i: most * sizes[i] / weights[i])
     rest, weight = float(total), float(sum(weights))
     for i in order:
-        out[i] = min(most * sizes[i], rest * weights[i] / weight) if weight > 0 else 0.0
+        out[i] = float(min(most * sizes[i], rest * weights[i] / weight)) if weight > 0 else 0.0
         rest, weight = rest - out[i], weight - weights[i]
     return out
 
 
-def round_pairs(mass: np.ndarray, size: np.ndarray, draw: np.ndarray) -> tuple[np.ndarray, int, float]:
-    """Round ``mass[i]`` words to 0 or ``size[i]``; ``draw`` has a uniform number for each. Sizes fall and are above 0.
+def round_alike(p: float, size: np.ndarray, draw: np.ndarray) -> tuple[np.ndarray, int, float]:
+    """Round documents of one probability ``p``; sizes fall and are above 0, ``draw`` has a uniform number for each.
 
     Each document in turn is paired with all smaller ones together: words move
     one way or the other, with odds that keep every expectation, until the
-    document or the rest is whole. The rest shares what it gives or takes in
-    proportion, so each one's probability stays a * p + b for a common a and b.
-    Returns 1 or 0 for each, the place of the one left undecided (or -1) and its
-    words. The sum of the words stays the same.
+    document or the rest is whole. The rest shares what it gives or takes by size,
+    so its probabilities stay alike. Returns 1 or 0 for each, the place of the one
+    left undecided (or -1) and its words. The sum of the words stays the same.
     """
-    out = np.zeros(len(mass), np.int64)
-    rest_size = (np.cumsum(size[::-1])[::-1] - size).tolist()
-    rest_mass = (np.cumsum(mass[::-1])[::-1] - mass).tolist()
-    a, b, live, left = 1.0, 0.0, -1, 0.0
-    for i, (p, s, u) in enumerate(zip((mass / size).tolist(), size.tolist(), draw.tolist(), strict=True)):
-        p = a * p + b
+    out = np.zeros(len(size), np.int64)
+    rest = (np.cumsum(size[::-1])[::-1] - size).tolist()
+    live, left = -1, 0.0
+    for i, (s, r, u) in enumerate(zip(size.tolist(), rest, draw.tolist(), strict=True)):
         if p <= _EPS or p >= 1 - _EPS:
             out[i] = p > 0.5
             continue
-        y, full, free = p * s, max(a * rest_mass[i] + b * rest_size[i], 0.0), 0.0
-        free = max(rest_size[i] - full, 0.0)
-        up, down = min(s - y, full), min(y, free)
+        y = p * s
+        up, down = min(s - y, p * r), min(y, (1 - p) * r)
         if up + down > 0:
-            if u * (up + down) < down:
-                y, keep = y + up, 1 - up / full
-                a, b = a * keep, b * keep
-            else:
-                y, keep = y - down, 1 - down / free
-                a, b = a * keep, 1 - keep + b * keep
+            step = up if u * (up + down) < down else -down
+            y, p = y + step, p - step / r
         if y <= _EPS * s or y >= s - _EPS * s:
             out[i] = y > s / 2
         else:
@@ -79,7 +72,29 @@ def round_pairs(mass: np.ndarray, size: np.ndarray, draw: np.ndarray) -> tuple[n
     return out, live, left
 
 
-def _node(seed: int, last: bool) -> Callable[[tuple, pa.Table], pa.Table]:
+def round_pairs(mass: np.ndarray, size: np.ndarray, draw: np.ndarray) -> tuple[np.ndarray, int, float]:
+    """As ``round_alike``, for documents whose probabilities ``mass / size`` differ: two at a time.
+
+    Words move between two documents until one is whole; the other meets the next.
+    """
+    out = np.zeros(len(mass), np.int64)
+    live, y, t = -1, 0.0, 0.0
+    for i, (x, s, u) in enumerate(zip(mass.tolist(), size.tolist(), draw.tolist(), strict=True)):
+        if live >= 0 and _EPS * s < x < s - _EPS * s:
+            up, down = min(t - y, x), min(y, s - x)
+            step = up if u * (up + down) < down else -down
+            y, x = y + step, x - step
+            if y <= _EPS * t or y >= t - _EPS * t:
+                out[live] = y > t / 2
+                live = -1
+        if x <= _EPS * s or x >= s - _EPS * s:
+            out[i] = x > s / 2
+        else:
+            live, y, t = i, x, float(s)
+    return out, live, y if live >= 0 else 0.0
+
+
+def _node(seed: int, leaf: bool, last: bool) -> Callable[[tuple, pa.Table], pa.Table]:
     """Round one group; the undecided document keeps its words unless the group is its source's last."""
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
@@ -90,7 +105,11 @@ def _node(seed: int, last: bool) -> Callable[[tuple, pa.Table], pa.Table]:
         # a document without words has nothing to move: it is rounded on its own, as if it had one word
         none, draw = size == 0, rng.random(len(size))
         copies = np.where(none, draw < mass, False).astype(np.int64)
-        got, live, left = round_pairs(mass[~none], size[~none], draw[~none])
+        some = ~none
+        if leaf:  # one source, hence one probability
+            got, live, left = round_alike(float(mass[some][0] / size[some][0]) if some.any() else 0.0, size[some], draw[some])
+        else:
+            got, live, left = round_pairs(mass[some], size[some], draw[some])
         if live >= 0 and last:
             got[live], live = rng.random() * size[~none][live] < left, -1
         copies[~none] = got
@@ -137,7 +156,7 @@ def plan(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), seed: int = 42,
     level = 0
     while True:
         last = deep <= 1
-        done = leaves.groupBy("no", "node").applyInArrow(_node(seed + level, last), schema)
+        done = leaves.groupBy("no", "node").applyInArrow(_node(seed + level, level == 0, last), schema)
         if last:
             decided.append(done)
             break
