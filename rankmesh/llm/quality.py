@@ -228,7 +228,8 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     examples = sorted(zip(seen["pattern"].to_pylist(), seen["size"].to_pylist(), seen["buckets"].to_pylist(), seen["counts"].to_pylist(), strict=True))
     target = accuracies.posterior(np.array([e[0] for e in examples]))
     w, b = fit([np.repeat(e[2], e[3]).astype(np.int64) for e in examples], np.array([e[1] for e in examples], float), target)
-    return Model(w, b, accuracies)
+    # the fit weighs both classes alike; a text is judged by how common they are
+    return Model(w, b + math.log(accuracies.prior / (1 - accuracies.prior)), accuracies)
 
 
 def scored(docs: DataFrame, model: Model | None) -> DataFrame:
