@@ -189,7 +189,7 @@ def edited_against_next(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = docs.select(F.col("doc_id").cast("double").alias("x")).approxQuantile("x", [k / parts for k in range(1, parts)], 0.1 / parts)
-    splits = [-float("inf"), *sorted(set(cuts)), float("inf")]
+    splits = [-float("inf"), *(sorted(set(cuts)) or [0.0]), float("inf")]
     # the ranges, numbered upwards; a null id gets the number after the last
     ranged = Bucketizer(splits=splits, inputCol="x", outputCol="part", handleInvalid="keep").transform(docs.withColumn("x", F.col("doc_id").cast("double"))).drop("x")
     ranged = ranged.withColumn("part", F.when(F.col("doc_id").isNull(), -1).otherwise(F.col("part").cast("int")))
