@@ -22,11 +22,12 @@ from rankmesh.sources.relations import read, spread
 P = 5
 COMM = Comm(P, ((0, 0, 0, 1, 1), (0, 0, 0, 0, 0)))
 
-CENTS = F.round(F.col("o_totalprice") * 100).cast("bigint")
+def cents() -> Column:
+    return F.round(F.col("o_totalprice") * 100).cast("bigint")
 
 
 def orders(spark: SparkSession, sf_dir: str, val: Column | None = None) -> DataFrame:
-    return spread(read(spark, sf_dir, "orders"), "o_orderkey", P, CENTS if val is None else val)
+    return spread(read(spark, sf_dir, "orders"), "o_orderkey", P, cents() if val is None else val)
 
 
 def per_rank(spark: SparkSession, sf_dir: str) -> int:
@@ -100,7 +101,7 @@ def all_reduce_min(spark, d):
 
 @query(_everywhere(f"SELECT idx, {_wrap('product', 32, 'INTEGER')} AS val FROM (SELECT idx, {' * '.join(f'CAST(max(CASE WHEN rank = {k} THEN val % 1000003 END) AS HUGEINT)' for k in range(P))} AS product FROM x GROUP BY idx)"))
 def all_reduce_prod(spark, d):
-    return C.all_reduce(orders(spark, d, (CENTS % 1000003).cast("int")), COMM, "prod", "int32")
+    return C.all_reduce(orders(spark, d, (cents() % 1000003).cast("int")), COMM, "prod", "int32")
 
 
 @query(SQL["all_reduce_sum"])
@@ -125,12 +126,12 @@ def all_reduce_sum_fixed(spark, d):
 
 @query(_everywhere(f"SELECT idx, {_wrap('sum(CAST(val % 256 - 128 AS HUGEINT))', 8, 'TINYINT')} AS val FROM x GROUP BY idx"))
 def int8_wrap_sum(spark, d):
-    return C.all_reduce(orders(spark, d, (CENTS % 256 - 128).cast("tinyint")), COMM, "sum", "int8")
+    return C.all_reduce(orders(spark, d, (cents() % 256 - 128).cast("tinyint")), COMM, "sum", "int8")
 
 
 @query(_everywhere(f"SELECT idx, {_wrap('sum(CAST(val * 100000000000 AS HUGEINT))', 64, 'BIGINT')} AS val FROM x GROUP BY idx"))
 def int64_wrap_sum(spark, d):
-    return C.all_reduce(orders(spark, d, CENTS * F.lit(100000000000)), COMM, "sum", "int64")
+    return C.all_reduce(orders(spark, d, cents() * F.lit(100000000000)), COMM, "sum", "int64")
 
 
 @query(f"WITH {_X} SELECT CAST(2 AS INTEGER) AS rank, idx, CAST(sum(val) AS BIGINT) AS val FROM x GROUP BY idx")
@@ -268,5 +269,5 @@ def lineage_all_to_all(spark, d):
 @query()
 def half_precision_sum(spark, d):
     """Half-precision values in the order of ranks, each step rounded; tested against numpy."""
-    val = to_half((CENTS % 20011).cast("float") / F.lit(16.0).cast("float"))
+    val = to_half((cents() % 20011).cast("float") / F.lit(16.0).cast("float"))
     return C.all_reduce(orders(spark, d, val), COMM, "sum", "fp16")
