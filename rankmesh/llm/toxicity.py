@@ -23,9 +23,10 @@ from rankmesh.llm.common import chunks, fold, plus, text_or_empty, words_of, wri
 from rankmesh.llm.spm import _Shared
 
 #: Documents that the classifier is fitted on, at most: positives and unlabelled ones.
-POSITIVES, UNLABELLED = 20_000, 40_000
-#: Features that the model may have, and what a feature needs: documents, and standard deviations above chance.
-FEATURES, LEAST, DEVIATIONS = 50_000, 3, 4.0
+POSITIVES, UNLABELLED = 10_000, 20_000
+#: Features that the model may have, and what a feature needs: confirmed documents, standard
+#: deviations above chance, and the share of documents with it that are toxic, as the prior implies.
+FEATURES, LEAST, DEVIATIONS, IMPLIED = 50_000, 3, 4.0, 0.3
 #: Beginnings of words that are features, in characters. Whole words are features too.
 BEGINNINGS = (4, 5, 6)
 THRESHOLD = 0.3
@@ -98,8 +99,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     """Fit on labels outside the held-out fold (crc32(doc_id as text) mod 4 is 2).
 
     A document is confirmed toxic if any of its labels in ``labels`` (doc_id,
-    toxic) is 1; a null label says nothing. Of confirmed documents 20,000 at most
-    are used, and 40,000 of all as unlabelled ones, those whose ids have the
+    toxic) is 1; a null label says nothing. Of confirmed documents 10,000 at most
+    are used, and 20,000 of all as unlabelled ones, those whose ids have the
     smallest hashes; texts that occur again count once. The prior is the share of toxic ones among
     labelled documents, 0.05 where there are none. Without a confirmed document
     the model gives every text the prior's probability, at most 0.05.
@@ -133,14 +134,17 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
     texts = written(sample.select("text", "positive").distinct(), "toxic-texts")
     n_p, n_u = texts.agg(F.sum(F.col("positive").cast("long")), F.sum((~F.col("positive")).cast("long"))).first()
+    if not n_p:
+        return Model({}, math.log(0.05 / 0.95), 0.05)
     table = texts.mapInArrow(count, "feature binary, p long, u long").groupBy("feature").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
     # how far a feature's share among positives is above what its share among all would give
     chance = (F.col("p") + F.col("u")) * (n_p / (n_p + n_u))
     above = (F.col("p") - chance) / F.sqrt(chance * (n_u / (n_p + n_u)) + 1e-9)
-    table = table.filter((F.col("p") >= LEAST) & (above >= DEVIATIONS)).orderBy(F.desc(above), "feature").limit(FEATURES)
+    implied = prior * (F.col("p") / n_p) >= IMPLIED * (F.col("u") / n_u)
+    table = table.filter((F.col("p") >= LEAST) & (above >= DEVIATIONS) & implied).orderBy(F.desc(above), "feature").limit(FEATURES)
     names = [bytes(r.feature) for r in table.select("feature").collect()]
     if not names:
-        return Model({}, math.log(prior / (1 - prior)), prior)
+        return Model({}, math.log(min(prior, 0.05) / (1 - min(prior, 0.05))), prior)
     place = _Shared(spark, {f: i for i, f in enumerate(names)})
 
     def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,12 +154,13 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), batch.column(1)], ["found", "positive"])
 
     # examples without any feature are alike and only counted; the order of the others is made the same on every run
-    hits = texts.mapInArrow(find, "found array<int>, positive boolean").groupBy("found", "positive").agg(F.count("*").alias("n")).toPandas()
-    examples = sorted((tuple(f), bool(p), k) for f, p, k in zip(hits.found, hits.positive, hits.n, strict=True))
-    many = [(f, p) for f, p, k in examples for _ in range(k)]
-    sizes = np.array([len(f) for f, _ in many])
-    rows, cols = np.repeat(np.arange(len(many)), sizes), np.array([c for f, _ in many for c in f], np.int64)
-    w, b = fit(rows, cols, np.array([p for _, p in many]), len(names), prior)
+    hits = texts.mapInArrow(find, "found array<int>, positive boolean").groupBy("found", "positive").agg(F.count("*").alias("n")).orderBy("found", "positive").toArrow()
+    found, many = hits["found"].combine_chunks(), hits["n"].to_numpy()
+    sizes, flat = np.diff(found.offsets.to_numpy()), found.flatten().to_numpy().astype(np.int64)
+    begins, n_rows = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(many)), many)
+    rows = np.repeat(np.arange(len(n_rows)), sizes[n_rows])
+    cols = flat[np.repeat(begins[n_rows], sizes[n_rows]) + np.arange(len(rows)) - np.repeat(np.cumsum(sizes[n_rows]) - sizes[n_rows], sizes[n_rows])]
+    w, b = fit(rows, cols, hits["positive"].to_numpy(zero_copy_only=False)[n_rows], len(names), prior)
     return Model({f: float(x) for f, x in zip(names, w, strict=True) if abs(x) > 1e-3}, b, prior)
 
 
