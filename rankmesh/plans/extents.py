@@ -13,11 +13,21 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 1 << 17
 
 
+def local(spark: SparkSession, schema: str, rows: list[tuple]) -> DataFrame:
+    """A few rows as a local relation: the optimizer folds it, and no task has to read it from Python."""
+    import pyarrow as pa
+
+    kinds = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}
+    names, types = zip(*(part.split() for part in schema.split(",")), strict=True)
+    columns = list(zip(*rows, strict=True)) if rows else [[] for _ in names]
+    return spark.createDataFrame(pa.table([pa.array(c, kinds[t]) for c, t in zip(columns, types, strict=True)], names=list(names)))
+
+
 def from_lists(spark: SparkSession, cnt: list[int], displ: list[int] | None = None) -> DataFrame:
     """(rank, cnt, displ); without displacements the blocks follow one another."""
     if displ is None:
         displ = [sum(cnt[:k]) for k in range(len(cnt))]
-    return spark.createDataFrame([(r, c, d) for r, (c, d) in enumerate(zip(cnt, displ, strict=True))], "rank int, cnt bigint, displ bigint")
+    return local(spark, "rank int, cnt bigint, displ bigint", [(r, c, d) for r, (c, d) in enumerate(zip(cnt, displ, strict=True))])
 
 
 def from_matrix(matrix: DataFrame) -> DataFrame:

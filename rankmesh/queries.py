@@ -44,7 +44,7 @@ def uneven(spark: SparkSession, n: int) -> DataFrame:
 
 def matrix(spark: SparkSession, n: int) -> DataFrame:
     """Counts (src, dst, cnt): rank s sends (s + d) % 5 parts in 10 of its n elements to rank d."""
-    return spark.createDataFrame([(s, d, n * ((s + d) % P) // 10) for s in range(P) for d in range(P)], "src int, dst int, cnt bigint")
+    return E.local(spark, "src int, dst int, cnt bigint", [(s, d, n * ((s + d) % P) // 10) for s in range(P) for d in range(P)])
 
 
 #: The array in DuckDB.
@@ -209,14 +209,14 @@ def all_to_all_vc(spark, d):
 
 @query(f"WITH {_X} SELECT CAST(rank + 1 AS INTEGER) AS rank, idx, val FROM x WHERE rank IN (0, 2)")
 def send_recv(spark, d):
-    return C.send_recv(orders(spark, d), COMM, spark.createDataFrame([(0, 1), (2, 3)], "src int, dst int"))
+    return C.send_recv(orders(spark, d), COMM, E.local(spark, "src int, dst int", [(0, 1), (2, 3)]))
 
 
 @query(f"WITH {_X} SELECT CAST((x.rank + 1) % 5 AS INTEGER) AS rank, x.idx + 7 AS idx, x.val FROM x")
 def batch_send_recv_ring(spark, d):
     n = per_rank(spark, d)
     items = [i for r in range(P) for i in ((r, 0, "send", (r + 1) % P, 0, n), (r, 1, "recv", (r - 1) % P, 7, n))]
-    return C.batch_send_recv(orders(spark, d), COMM, spark.createDataFrame(items, "rank int, ordinal int, kind string, peer int, base bigint, cnt bigint"))
+    return C.batch_send_recv(orders(spark, d), COMM, E.local(spark, "rank int, ordinal int, kind string, peer int, base bigint, cnt bigint", items))
 
 
 def embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
