@@ -138,6 +138,34 @@ def send_recv(x: DataFrame, comm: Comm, pairs: DataFrame) -> DataFrame:
     return x.join(who, x["rank"] == F.col("src")).select(F.col("dst").cast("int").alias("rank"), "idx", "val")
 
 
+def send(x: DataFrame, comm: Comm, src: int, dst: int) -> DataFrame:
+    """What rank src holds, on rank dst. In a group of one rank there is no one to send to, and no rows come out."""
+    validate.root(comm, src)
+    validate.root(comm, dst)
+    if src == dst:
+        return x.select("rank", "idx", "val").limit(0)
+    return x.filter(F.col("rank") == src).select(F.lit(dst).cast("int").alias("rank"), "idx", "val")
+
+
+def recv(x: DataFrame, comm: Comm, dst: int, src: int) -> DataFrame:
+    """The other half of ``send``: the same rows."""
+    return send(x, comm, src, dst)
+
+
+def item(rank: int, ordinal: int, kind: str, peer: int, base: int, cnt: int) -> tuple[int, int, str, int, int, int]:
+    """A row for ``batch_send_recv``: rank sends to, or receives from, peer elements [base, base + cnt) of its own buffer."""
+    if kind not in ("send", "recv"):
+        raise ValueError(f"an item sends or receives: {kind}")
+    validate.count(base)
+    validate.count(cnt)
+    return rank, ordinal, kind, peer, base, cnt
+
+
+def items(x: DataFrame, rows: list[tuple]) -> DataFrame:
+    """Items as a relation."""
+    return E.local(x.sparkSession, "rank int, ordinal int, kind string, peer int, base bigint, cnt bigint", rows)
+
+
 def matched_items(items: DataFrame) -> DataFrame:
     """Sends and receives of ``items`` (rank, ordinal, kind, peer, base, cnt) that belong together: (src, dst, cnt, sbase, rbase).
 

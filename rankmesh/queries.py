@@ -215,8 +215,9 @@ def send_recv(spark, d):
 @query(f"WITH {_X} SELECT CAST((x.rank + 1) % 5 AS INTEGER) AS rank, x.idx + 7 AS idx, x.val FROM x")
 def batch_send_recv_ring(spark, d):
     n = per_rank(spark, d)
-    items = [i for r in range(P) for i in ((r, 0, "send", (r + 1) % P, 0, n), (r, 1, "recv", (r - 1) % P, 7, n))]
-    return C.batch_send_recv(orders(spark, d), COMM, E.local(spark, "rank int, ordinal int, kind string, peer int, base bigint, cnt bigint", items))
+    x = orders(spark, d)
+    ring = [i for r in range(P) for i in (C.item(r, 0, "send", (r + 1) % P, 0, n), C.item(r, 1, "recv", (r - 1) % P, 7, n))]
+    return C.batch_send_recv(x, COMM, C.items(x, ring))
 
 
 def embedded(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -100,6 +100,17 @@ def test_send_recv_and_ring(spark, own):
     assert held(C.batch_send_recv(own, COMM, items)) == {r: [(r - 1) % P] * P for r in range(P)}
 
 
+def test_send_and_receive_one(own):
+    assert held(C.send(own, COMM, 2, 5)) == {5: [2] * P} == held(C.recv(own, COMM, 5, 2))
+    assert C.send(own, COMM, 3, 3).count() == 0
+    with pytest.raises(ValueError):
+        C.send(own, COMM, 0, P)
+    with pytest.raises(ValueError):
+        C.item(0, 0, "push", 1, 0, 1)
+    both = C.items(own, [C.item(0, 0, "send", 1, 2, 3), C.item(1, 0, "recv", 0, 5, 3), C.item(0, 1, "send", 1, 0, 1), C.item(1, 7, "recv", 0, 0, 1)])
+    assert sorted((r["rank"], r.idx, r.val) for r in C.batch_send_recv(own, COMM, both).collect()) == [(1, 0, 0), (1, 5, 0), (1, 6, 0), (1, 7, 0)]
+
+
 # beyond the samples
 
 
