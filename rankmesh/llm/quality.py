@@ -24,7 +24,7 @@ from rankmesh.llm.common import chunks, plus, text_or_empty, written
 from rankmesh.llm.spm import _Shared
 
 #: Documents that the scorer is fitted on, at most.
-SAMPLE = 8_000
+SAMPLE = 5_000
 BITS = 18
 THRESHOLD = 0.5
 EPOCHS, RATE, DECAY = 150, 0.3, 1e-6
@@ -39,7 +39,7 @@ class Traits:
     words: int
     upper: float  # of ASCII letters
     symbols: float  # of bytes
-    letters: float  # of bytes but white space; any byte beyond ASCII counts as one
+    letters: float  # and digits, of bytes but white space; any byte beyond ASCII counts as one
     marked: float  # words that end in a symbol
     shouts: float  # '!!' for each word
     repeats: float  # words equal to the one before
@@ -54,13 +54,13 @@ class Traits:
         words = raw.lower().split()
         n, size = max(len(words), 1), max(len(raw), 1)
         count = Counter(words)
-        upper, lower, black = (len(raw) - len(raw.translate(None, x)) for x in (_UPPER, _LOWER, _BLACK))
+        upper, lower, digits, black = (len(raw) - len(raw.translate(None, x)) for x in (_UPPER, _LOWER, b"0123456789", _BLACK))
         lines = raw.split(b"\n")
         return cls(
             len(words),
             upper / max(upper + lower, 1),
             (size - len(raw.translate(None, _SYMBOLS))) / size if raw else 0.0,
-            (upper + lower + len(raw.translate(None, _ASCII))) / max(black + len(raw.translate(None, _ASCII)), 1),
+            (upper + lower + digits + len(raw.translate(None, _ASCII))) / max(black + len(raw.translate(None, _ASCII)), 1),
             sum(w[-1] in _SYMBOLS for w in words) / n,
             raw.count(b"!!") / n,
             sum(map(bytes.__eq__, words, words[1:])) / n,
@@ -157,20 +157,20 @@ def hashed(text: str) -> np.ndarray:
     return np.concatenate([word % half, form % half + half, pairs, same])
 
 
-def fit(docs: list[np.ndarray], sizes: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, float]:
-    """Logistic regression on bucket frequencies with soft targets; full batches from zero, so equal input gives equal weights."""
-    rows = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
-    code, n = np.unique(rows << BITS | np.concatenate([*docs, np.zeros(0, np.int64)]), return_counts=True)
-    rows, cols = code >> BITS, code & (1 << BITS) - 1
-    x = n / sizes[rows]
+def fit(rows: np.ndarray, cols: np.ndarray, share: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, float]:
+    """Logistic regression with soft targets: example ``rows[k]`` has bucket ``cols[k]`` as the share ``share[k]`` of its words.
+
+    Full batches from zero, so that equal input gives equal weights.
+    """
     used, cols = np.unique(cols, return_inverse=True)
+    n = len(target)
     w, b, m, v = np.zeros(len(used)), 0.0, np.zeros(len(used) + 1), np.zeros(len(used) + 1)
     # both classes weigh the same, however rare one is
     weight = np.where(target > 0.5, 0.5 / max((target > 0.5).sum(), 1), 0.5 / max((target <= 0.5).sum(), 1))
     for t in range(1, EPOCHS + 1):
-        z = np.bincount(rows, w[cols] * x, len(docs)) + b
+        z = np.bincount(rows, w[cols] * share, n) + b
         g = weight * (1 / (1 + np.exp(-np.clip(z, -50, 50))) - target)
-        step = np.append(np.bincount(cols, g[rows] * x, len(used)) + DECAY * w, g.sum())
+        step = np.append(np.bincount(cols, g[rows] * share, len(used)) + DECAY * w, g.sum())
         m, v = 0.9 * m + 0.1 * step, 0.999 * v + 0.001 * step**2
         move = RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, b = w - move[:-1], b - move[-1]
@@ -223,11 +223,13 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
             lists = [pa.array([x[k].astype(np.int32) for x in found], pa.list_(pa.int32())) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays([pa.array([votes(t) for t in texts], pa.int64()), pa.array([max(len(t.encode().split()), 1) for t in texts], pa.int64()), *lists], ["pattern", "size", "buckets", "counts"])
 
-    seen = docs.join(F.broadcast(chosen), F.col("doc_id").eqNullSafe(F.col("chosen"))).select("text").distinct()
+    # in order of text, so that equal documents give equal weights however they are dealt out
+    seen = docs.join(F.broadcast(chosen), F.col("doc_id").eqNullSafe(F.col("chosen"))).select("text").distinct().orderBy("text")
     seen = seen.mapInArrow(see, "pattern long, size long, buckets array<int>, counts array<int>").toArrow()
-    examples = sorted(zip(seen["pattern"].to_pylist(), seen["size"].to_pylist(), seen["buckets"].to_pylist(), seen["counts"].to_pylist(), strict=True))
-    target = accuracies.posterior(np.array([e[0] for e in examples]))
-    w, b = fit([np.repeat(e[2], e[3]).astype(np.int64) for e in examples], np.array([e[1] for e in examples], float), target)
+    buckets, counts = (seen[c].combine_chunks() for c in ("buckets", "counts"))
+    held = np.diff(buckets.offsets.to_numpy())
+    share = counts.flatten().to_numpy() / np.repeat(seen["size"].to_numpy(), held)
+    w, b = fit(np.repeat(np.arange(len(held), dtype=np.int32), held), buckets.flatten().to_numpy(), share, accuracies.posterior(seen["pattern"].to_numpy()))
     # the fit weighs both classes alike; a text is judged by how common they are
     return Model(w, b + math.log(accuracies.prior / (1 - accuracies.prior)), accuracies)
 
