@@ -71,6 +71,20 @@ def fold(name: str, parts: int) -> Column:
     return F.crc32(F.col(name).cast("string").cast("binary")) % parts
 
 
+def sample_ids(rows: DataFrame, most: int) -> DataFrame:
+    """Rows (doc_id): ``most`` of the different ids at most, those with the smallest hashes, however rows are partitioned.
+
+    Where there are many more rows, ids with large hashes go first, so that the
+    final sort is over about twice as many rows as it keeps, whatever the table's
+    size. Ids that many rows share make the sample smaller then.
+    """
+    mark, n = F.xxhash64("doc_id"), rows.count()
+    ids = rows.select("doc_id")
+    if n > 4 * most:
+        ids = ids.filter(mark < int((2 * most / n - 0.5) * 2**64))
+    return ids.distinct().orderBy(mark, "doc_id").limit(most)
+
+
 def words_of(text: str) -> list[bytes]:
     """Words as UTF-8 with A-Z in lower case.
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankmesh.llm.common import chunks, plus, text_or_empty, written
+from rankmesh.llm.common import chunks, plus, sample_ids, text_or_empty, written
 from rankmesh.llm.spm import _Shared
 
 #: Documents that the scorer is fitted on, at most.
@@ -213,8 +213,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
         return None
     table.sort(key=lambda r: r.pattern)
     accuracies = estimate(np.array([r.pattern for r in table]), np.array([r.n for r in table], float))
-    chosen = docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    chosen = written(chosen, "quality-sample").withColumnRenamed("doc_id", "chosen")
+    chosen = written(sample_ids(docs, sample), "quality-sample").withColumnRenamed("doc_id", "chosen")
 
     def see(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text", 1 << 20):

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankmesh.llm.common import chunks, fold, plus, text_or_empty, words_of, written
+from rankmesh.llm.common import chunks, fold, plus, sample_ids, text_or_empty, words_of, written
 from rankmesh.llm.spm import _Shared
 
 #: Documents that the classifier is fitted on, at most: positives and unlabelled ones.
@@ -113,13 +113,12 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     prior = min(max(n_toxic / n, 1e-3), 0.5) if n else 0.05
     if not n_toxic:
         return Model({}, math.log(0.05 / 0.95), 0.05)
-    mark = F.xxhash64("doc_id")
     toxic = labels.filter("toxic = 1").select("doc_id")
     docs = docs.filter(learn).select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     # both id lists are bounded by parameters, and so are the broadcasts
-    chosen = toxic.orderBy(mark, "doc_id").limit(POSITIVES).withColumn("positive", F.lit(True))
+    chosen = sample_ids(toxic, POSITIVES).withColumn("positive", F.lit(True))
     # unlabelled text stands for all text, so it is drawn from all documents, confirmed ones among them
-    others = docs.select("doc_id").distinct().orderBy(mark, "doc_id").limit(UNLABELLED).withColumn("positive", F.lit(False))
+    others = sample_ids(docs, UNLABELLED).withColumn("positive", F.lit(False))
     chosen = written(chosen.unionByName(others), "toxic-sample")
     sample = docs.join(F.broadcast(chosen), "doc_id")
 
