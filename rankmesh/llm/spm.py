@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 import struct
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -237,7 +238,7 @@ class _Shared:
 
     def __init__(self, spark, value):
         self.broadcast = spark.sparkContext.broadcast(value)
-        self.id = f"{spark.sparkContext.applicationId}/{id(self.broadcast)}"
+        self.id = uuid.uuid4().hex  # workers live on; no later value may be taken for this one
 
     @property
     def value(self):

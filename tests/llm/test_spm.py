@@ -119,3 +119,7 @@ def test_agreement_with_the_library(vocabulary, spark):
     assert a <= 1.05 * b
     assert all(lib.decode(np.frombuffer(own.encode(t), "<i4").tolist()) == t for t in texts)
     assert table(spark, [(1, texts[0], "a")]).count() == 1
+
+
+def test_no_broadcast_is_taken_for_another(spark):
+    assert len({spm._Shared(spark, k).id for k in range(50)}) == 50
