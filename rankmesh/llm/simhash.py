@@ -200,7 +200,8 @@ def groups(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     parts = _parts(classes, crowd)
     own = classes.join(parts, "fp")
     lows = own.join(own.groupBy("component").agg(F.min("low").alias("component_id")), "component").select("fp", "component_id")
-    of = classes.join(lows, "fp", "left").select("fp", F.coalesce("component_id", "low").alias("component_id"))
+    # written, so that both sides of the next join come straight from a shuffle and a crowded fingerprint can be split
+    of = written(classes.join(lows, "fp", "left").select("fp", F.coalesce("component_id", "low").alias("component_id")), "groups")
     return rows.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
