@@ -218,7 +218,11 @@ def one_of_each(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     agree in both any single one. Whole rows are shuffled once.
     """
     rows = written(fingerprinted(docs), "fingerprints")
-    parts = _parts(rows.select("fp").distinct(), crowd)
+    return first_of_groups(docs, rows, _parts(rows.select("fp").distinct(), crowd))
+
+
+def first_of_groups(docs: DataFrame, rows: DataFrame, parts: DataFrame) -> DataFrame:
+    """``docs`` with the first document of each group: ``rows`` (doc_id, key, fp) of one component in ``parts`` (fp, component), or else of one fp."""
     group = F.coalesce("component", "fp")
     rank = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "key")
     kept = rows.join(parts, "fp", "left").groupBy(group.alias("group")).agg(F.min(rank).alias("first"))
