@@ -135,8 +135,6 @@ class _Cache(dict):
         self.make, self.old = make, {}
 
     def __missing__(self, word: str | tuple[str]) -> bytes:
-        if type(word) is str and (cut := word.rfind("\n")) >= 0:
-            return self[word[:cut]] + self[word[cut + 1 :],]  # no piece has a line end, so what follows one stands alone
         got = self.old.get(word)
         if got is None:
             got = self.make(word)
@@ -211,7 +209,13 @@ class Encoder:
         if not text:
             return b""
         if self.alone:
-            return b"".join(map(self.cache.__getitem__, text.split(" ")))
+            first, *lines = text.split("\n")
+            words: list[str | tuple[str]] = first.split(" ")
+            for line in lines:  # no piece has a line end, so what follows one stands alone
+                head, *rest = line.split(" ")
+                words.append((head,))
+                words += rest
+            return b"".join(map(self.cache.__getitem__, words))
         if SPACE in text:
             raise ValueError("this vocabulary can't tell a space mark in a text from a space")
         return self._ids((SPACE + text).replace(" ", SPACE))

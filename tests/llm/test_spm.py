@@ -86,6 +86,14 @@ def test_round_trip(vocabulary):
         spm.CACHE = keep
 
 
+def test_many_line_ends_and_no_space(vocabulary):
+    e = spm.Encoder(vocabulary)
+    for text in ("\n" * 100_000, "\n".join(f"word{k % 977}" for k in range(100_001))):
+        ids = np.frombuffer(e.encode(text), "<i4").tolist()
+        assert ids.count(vocabulary.bytes[10]) == 100_000
+        assert e.decode(ids) == text
+
+
 def test_a_vocabulary_whose_pieces_span_words():
     pieces = [f"<0x{b:02X}>" for b in range(256)] + ["▁a", "a▁b", "b", "▁", "a", "a▁"]
     v = spm.Vocabulary(pieces, [0.0] * 256 + [-1.5, -1.25, -2.0, -3.0, -2.5, -2.5], ["byte"] * 256 + ["normal"] * 6, False)
