@@ -18,6 +18,8 @@ from rankmesh.model import DType
 
 #: Beyond so many ranks a fixed order is evaluated over a sorted array instead of a column for each rank.
 MOST_COLUMNS = 64
+#: In the stead of a reduction: values are arrays, which are put together with repeats.
+TRACE = "trace"
 _2_32, _2_64 = 1 << 32, 1 << 64
 
 
@@ -73,6 +75,8 @@ def combine(op: str, dtype: DType, a: Column, b: Column) -> Column:
         return F.greatest(a, b)
     if op == "min":
         return F.least(a, b)
+    if op == TRACE:
+        return F.concat(a, b)
     if dtype.signed_bits:
         if dtype.signed_bits == 64:
             a, b = a.cast("decimal(19,0)"), b.cast("decimal(19,0)")
@@ -110,6 +114,8 @@ def unordered(op: str, dtype: DType, val: Column) -> Column | None:
     """An aggregate that Spark can pre-aggregate in any order, or None if the reduction needs a fixed one."""
     if op in ("max", "min"):
         return getattr(F, op)(val)
+    if op == TRACE:
+        return F.flatten(F.collect_list(val))
     if op == "sum":
         if dtype.signed_bits:
             return wrapped_sum(val, dtype.signed_bits).cast(dtype.spark)
@@ -134,4 +140,4 @@ def ordered(op: str, dtype: DType, val: Column, rank: Column, size: int, tree: b
     rows = F.transform(F.array_sort(F.collect_list(F.struct(rank.alias("rank"), val.alias("val")))), lambda x: x["val"])
     own = F.col("v0")
     first = F.element_at(own, 1)
-    return [rows.alias("v0")], F.aggregate(F.slice(own, 2, F.size(own)), first, lambda a, b: combine(op, dtype, a, b).cast(dtype.spark))
+    return [rows.alias("v0")], F.aggregate(F.slice(own, 2, F.size(own)), first, lambda a, b: combine(op, dtype, a, b) if op == TRACE else combine(op, dtype, a, b).cast(dtype.spark))

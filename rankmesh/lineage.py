@@ -11,22 +11,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rankmesh.model import Comm
+from rankmesh.operators import collectives as C
+
 
 def traced(x: DataFrame) -> DataFrame:
     """(rank, idx, val): val tells src_rank and src_idx."""
     return x.select("rank", "idx", F.struct(F.col("rank").alias("src_rank"), F.col("idx").alias("src_idx")).alias("val"))
 
 
-def all_sources(x: DataFrame) -> DataFrame:
-    """(idx, sources): every place that a reduction over ranks takes in, as an array that is as long as there are ranks."""
-    return traced(x).groupBy("idx").agg(F.collect_set("val").alias("sources"))
+def all_sources(x: DataFrame, comm: Comm, **how) -> DataFrame:
+    """(rank, idx, sources): every place, with repeats, that the plan of ``all_reduce`` takes in for an element."""
+    own = traced(x).withColumn("val", F.array("val"))
+    return C.all_reduce(own, comm, trace=True, **how).withColumnRenamed("val", "sources")
 
 
-def broken_reduction(x: DataFrame, size: int) -> DataFrame:
-    """Elements that don't come from every rank just once, at their own place."""
-    own = all_sources(x)
+def broken_reduction(x: DataFrame, comm: Comm | int, **how) -> DataFrame:
+    """(idx): elements of an all-reduce that don't come from every rank just once, at their own place, or that a rank doesn't get just once."""
+    comm = Comm(comm) if isinstance(comm, int) else comm
     ranks = F.array_sort(F.transform("sources", lambda s: s["src_rank"]))
-    return own.filter(~(ranks == F.sequence(F.lit(0), F.lit(size - 1))) | ~F.forall("sources", lambda s: s["src_idx"] == F.col("idx")))
+    whole = (ranks == F.sequence(F.lit(0), F.lit(comm.size - 1))) & F.forall("sources", lambda s: s["src_idx"] == F.col("idx"))
+    got = all_sources(x, comm, **how).select("rank", "idx", F.coalesce(whole, F.lit(False)).alias("whole"))
+    got = got.groupBy("idx").agg(F.bool_and("whole").alias("whole"), F.count("*").alias("n"), F.countDistinct("rank").alias("ranks"))
+    # an element that no rank gets is broken, too
+    every = x.select("idx").distinct().join(got, "idx", "full")
+    return every.filter(~F.coalesce(F.col("whole") & (F.col("n") == comm.size) & (F.col("ranks") == comm.size), F.lit(False))).select("idx")
 
 
 def broken_move(result: DataFrame, src_rank: Column, src_idx: Column) -> DataFrame:

@@ -8,6 +8,7 @@ checks them against data where that is wanted.
 from __future__ import annotations
 
 from collections.abc import Mapping
+from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,19 +24,20 @@ def _everywhere(x: DataFrame, comm: Comm) -> DataFrame:
     return x.crossJoin(F.broadcast(comm.ranks(x.sparkSession))).select("rank", "idx", "val")
 
 
-def reduced(x: DataFrame, comm: Comm, op: str = "sum", dtype: str = "int64", order: str = "any", hints: Mapping[str, int] | None = None, tuner: S.Tuner | None = None, operator: str = "all_reduce") -> DataFrame:
+def reduced(x: DataFrame, comm: Comm, op: str = "sum", dtype: str = "int64", order: str = "any", hints: Mapping[str, int] | None = None, tuner: S.Tuner | None = None, operator: str = "all_reduce", trace: bool = False) -> DataFrame:
     """(idx, val): element by element over all ranks.
 
     ``order`` is any, fixed (the same sums on every run: ranks in ascending order)
     or strict (the halving tree). A group of one rank is returned as it is.
+    With ``trace``, values are arrays of sources, and the plan that would reduce puts them together instead.
     """
     d = validate.reduction(op, dtype, operator)
     if order not in S.ORDERS:
         raise ValueError(f"no such order: {order}")
     if comm.size == 1:
-        return x.select("idx", F.col("val").cast(d.spark).alias("val"))
+        return x.select("idx", (F.col("val") if trace else F.col("val").cast(d.spark)).alias("val"))
     q = S.Request(op, d, comm, order)
-    return S.choose(q, hints, tuner).shape.build(x.select("rank", "idx", "val"), q)
+    return S.choose(q, hints, tuner).shape.build(x.select("rank", "idx", "val"), replace(q, op=S.R.TRACE) if trace else q)
 
 
 def all_reduce(x: DataFrame, comm: Comm, op: str = "sum", dtype: str = "int64", **how) -> DataFrame:

@@ -61,7 +61,7 @@ def by_level(x: DataFrame, q: Request) -> DataFrame:
 
 def _in_order(x: DataFrame, q: Request, tree: bool) -> DataFrame:
     parts, out = R.ordered(q.op, q.dtype, F.col("val"), F.col("rank"), q.comm.size, tree)
-    return x.groupBy("idx").agg(*parts).select("idx", out.cast(q.dtype.spark).alias("val"))
+    return x.groupBy("idx").agg(*parts).select("idx", (out if q.op == R.TRACE else out.cast(q.dtype.spark)).alias("val"))
 
 
 def left_fold(x: DataFrame, q: Request) -> DataFrame:

@@ -256,7 +256,7 @@ def barrier(spark, d):
 @query("SELECT CAST(0 AS BIGINT) AS broken")
 def lineage_all_reduce(spark, d):
     """How many elements of an all-reduce don't come from every rank just once."""
-    return lineage.broken_reduction(orders(spark, d), P).agg(F.count("*").alias("broken"))
+    return lineage.broken_reduction(orders(spark, d), COMM).agg(F.count("*").alias("broken"))
 
 
 @query("SELECT CAST(0 AS BIGINT) AS broken")

@@ -273,6 +273,17 @@ def test_lineage(spark, own):
     assert lineage.gaps(moved.filter("idx != 1"), P).count() == P
 
 
+def test_lineage_goes_through_the_plan(spark, own, monkeypatch):
+    from dataclasses import replace
+
+    assert lineage.broken_reduction(own.unionByName(own.filter("rank = 1 and idx = 0")), P).count() == 1
+    for shape in shapes.SHAPES:
+        assert lineage.broken_reduction(own, Comm(P, ((0, 0, 0, 0, 1, 1, 1, 1), (0,) * P)), hints={shape: 1}).count() == 0
+    one = shapes.SHAPES["one_stage"]
+    monkeypatch.setitem(shapes.SHAPES, "one_stage", replace(one, build=lambda x, q: one.build(x.filter("rank != 1 or idx != 0"), q)))
+    assert lineage.broken_reduction(own, COMM).count() == 1
+
+
 def test_arrays(spark):
     rng = np.random.default_rng(6)
     v = rng.normal(0, 1, (3, 4, 5))
