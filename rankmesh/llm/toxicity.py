@@ -23,10 +23,10 @@ from rankmesh.llm.common import chunks, fold, plus, sample_ids, text_or_empty, w
 from rankmesh.llm.spm import _Shared
 
 #: Documents that the classifier is fitted on, at most: positives and unlabelled ones.
-POSITIVES, UNLABELLED = 10_000, 20_000
-#: Features that the model may have, and what a feature needs: confirmed documents, standard
-#: deviations above chance, and the share of documents with it that are toxic, as the prior implies.
-FEATURES, LEAST, DEVIATIONS, IMPLIED = 50_000, 3, 4.0, 0.3
+POSITIVES, UNLABELLED = 20_000, 40_000
+#: Features that the model may have, and what a feature needs: confirmed documents and standard
+#: deviations above chance.
+FEATURES, LEAST, DEVIATIONS = 50_000, 3, 4.0
 #: Beginnings of words that are features, in characters. Whole words are features too.
 BEGINNINGS = (4, 5, 6)
 THRESHOLD = 0.3
@@ -99,8 +99,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     """Fit on labels outside the held-out fold (crc32(doc_id as text) mod 4 is 2).
 
     A document is confirmed toxic if any of its labels in ``labels`` (doc_id,
-    toxic) is 1; a null label says nothing. Of confirmed documents 10,000 at most
-    are used, and 20,000 of all as unlabelled ones, those whose ids have the
+    toxic) is 1; a null label says nothing. Of confirmed documents 20,000 at most
+    are used, and 40,000 of all as unlabelled ones, those whose ids have the
     smallest hashes; texts that occur again count once. The prior is the share of toxic ones among
     labelled documents, 0.05 where there are none. Without a confirmed document
     the model gives every text the prior's probability, at most 0.05.
@@ -139,8 +139,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     # how far a feature's share among positives is above what its share among all would give
     chance = (F.col("p") + F.col("u")) * (n_p / (n_p + n_u))
     above = (F.col("p") - chance) / F.sqrt(chance * (n_u / (n_p + n_u)) + 1e-9)
-    implied = prior * (F.col("p") / n_p) >= IMPLIED * (F.col("u") / n_u)
-    table = table.filter((F.col("p") >= LEAST) & (above >= DEVIATIONS) & implied).orderBy(F.desc(above), "feature").limit(FEATURES)
+    table = table.filter((F.col("p") >= LEAST) & (above >= DEVIATIONS)).orderBy(F.desc(above), "feature").limit(FEATURES)
     names = [bytes(r.feature) for r in table.select("feature").collect()]
     if not names:
         return Model({}, math.log(min(prior, 0.05) / (1 - min(prior, 0.05))), prior)

@@ -69,3 +69,9 @@ def test_odd_rows(spark, odd, none):
         assert T.judged(none, known).count() == 0
     assert T.reject(odd, labels).columns == odd.columns
     assert T.reject(odd, labels.limit(0)).count() == odd.count()
+
+
+def test_training_bounds_are_not_cut():
+    from rankmesh.llm import toxicity
+
+    assert (toxicity.POSITIVES, toxicity.UNLABELLED) == (20_000, 40_000) and not hasattr(toxicity, "IMPLIED")
