@@ -20,7 +20,7 @@ BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Table ``name`` of the folder; batches handed to Python are kept small from here on."""
+    """Table ``name`` of the folder; the session's Arrow batches are kept small from here on, as results are lazy."""
     small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -72,19 +72,44 @@ def fold(name: str, parts: int) -> Column:
 
 
 def sample_ids(rows: DataFrame, most: int) -> DataFrame:
-    """Rows (doc_id): ``most`` of the different ids at most, those with the smallest hashes, however rows are partitioned.
+    """Rows (doc_id): the ``most`` different ids with the smallest hashes, or all if there are fewer, however rows are partitioned.
 
-    Where there are many more rows, ids with large hashes go first, so that the
-    final sort is over about twice as many rows as it keeps, whatever the table's
-    size. Ids that many rows share make the sample smaller then.
+    Where there are many more, ids with large hashes go first, so that the final
+    sort is over about twice as many as it keeps, whatever the table's size. How
+    large follows the number of different ids, not of rows, and is doubled until
+    enough are there. A null id is an id like any other.
     """
-    mark, n = F.xxhash64("doc_id"), rows.count()
-    ids = rows.select("doc_id")
-    if n > 4 * most:
-        ids = ids.filter(mark < int((2 * most / n - 0.5) * 2**64))
+    mark, ids = F.xxhash64("doc_id"), rows.select("doc_id")
+    share = 2 * most / max(ids.agg(F.approx_count_distinct("doc_id")).first()[0], 1)
+    while share < 1:
+        few = written(ids.filter(mark < int((share - 0.5) * 2**64)).distinct(), "sample-ids")
+        if few.count() >= most:
+            return few.orderBy(mark, "doc_id").limit(most)
+        share *= 2
     return ids.distinct().orderBy(mark, "doc_id").limit(most)
 
 
+def free(docs: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores after it as make it none of the columns of ``docs``."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def columns(docs: DataFrame) -> list[Column]:
+    """The columns of ``docs``, whatever their names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
+
+
+def partitions(spark: SparkSession, size: int, rows: int = 0) -> int:
+    """How many partitions to deal ``size`` bytes out to: the session's number, or more where each would get over 64 MB or 2 million rows."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // (64 << 20)), -(-rows // 2_000_000))
+
+
 def words_of(text: str) -> list[bytes]:
     """Words as UTF-8 with A-Z in lower case.
 

@@ -14,6 +14,7 @@ likeness of two texts is estimated.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -22,7 +23,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankmesh.llm.common import plus, text_or_empty
+from rankmesh.llm.common import partitions, plus, text_or_empty
 
 #: Phrase names kept in a fingerprint, and the levels that they come from.
 SKETCH, LEVELS = 64, (2, 3)
@@ -159,7 +160,8 @@ def likeness(a: str, b: str) -> float:
 
 
 def with_fingerprint(docs: DataFrame, text: str = "text", out: str = "fingerprint") -> DataFrame:
-    """``docs`` with a fingerprint column; null texts count as empty. Nothing is shuffled."""
+    """``docs`` with a fingerprint column; null texts count as empty. A column of that name is replaced. Nothing is shuffled."""
+    docs = docs.drop(out)
     schema = plus(docs, (out, "string"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,32 +179,50 @@ def edited_against_next(docs: DataFrame) -> DataFrame:
     Takes ``doc_id`` and ``text`` of ``docs``; other columns are ignored. The
     next document is the one with the next smaller doc_id; after the smallest
     comes the largest. Null ids count as smaller than any; rows of one id are in
-    order of their texts. Null texts count as empty. A lone document is its own
+    falling order of a hash of their texts. Null texts count as empty. A lone document is its own
     next. No document gives no row. Rows: doc_id, n_chars, edited_sha256,
     fingerprint, edited_fingerprint, near_edited, near_next.
 
-    Documents are dealt out by ranges of doc_id. The first document of each range
+    Documents are dealt out by ranges of doc_id, and an id that many rows share, or
+    null, by ranges of the hash. The first document of each range
     also goes to the range before it, so that every task sees the next document
     of each of its own; only those few ids (one per range) reach the driver.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = docs.select(F.col("doc_id").cast("double").alias("x")).approxQuantile("x", [k / parts for k in range(1, parts)], 0.1 / parts)
-    splits = [-float("inf"), *(sorted(set(cuts)) or [0.0]), float("inf")]
-    # the ranges, numbered upwards; a null id gets the number after the last
-    ranged = Bucketizer(splits=splits, inputCol="x", outputCol="part", handleInvalid="keep").transform(docs.withColumn("x", F.col("doc_id").cast("double"))).drop("x")
-    ranged = ranged.withColumn("part", F.when(F.col("doc_id").isNull(), -1).otherwise(F.col("part").cast("int")))
-    heads = sorted(((r.part, r.top) for r in ranged.groupBy("part").agg(F.max("doc_id").alias("top")).collect()), reverse=True)
+    n, n_ids, size = docs.agg(F.count("*"), F.count("doc_id"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    parts = partitions(spark, size, n)
+    own = docs.select("doc_id", "text", F.xxhash64("text").alias("hash"))
+    ranged = _ranged(own, n, n_ids, parts)
+    heads = sorted(((r.part, r.top.doc_id, r.top["hash"]) for r in ranged.groupBy("part").agg(F.max(F.struct("doc_id", "hash")).alias("top")).collect()), reverse=True)
     # each range's head is the next document of the range before it; one row per range, so the broadcast is bounded
-    after = [(top, part) for (part, _), (_, top) in zip(heads, heads[1:] + heads[:1], strict=True)]
-    after = F.broadcast(spark.createDataFrame(after, "top long, before int"))
-    extra = ranged.join(after, F.col("doc_id").eqNullSafe(F.col("top"))).select("doc_id", "text", F.col("before").alias("part"), F.lit(True).alias("ghost"))
-    rows = ranged.withColumn("ghost", F.lit(False)).unionByName(extra).repartitionById(parts, F.pmod("part", F.lit(parts)))
-    rows = rows.sortWithinPartitions("part", "ghost", F.desc_nulls_last("doc_id"), "text")
+    after = [(*top, part) for (part, *_), (_, *top) in zip(heads, heads[1:] + heads[:1], strict=True)]
+    after = F.broadcast(spark.createDataFrame(after, "top long, of long, before int"))
+    extra = ranged.join(after, F.col("doc_id").eqNullSafe(F.col("top")) & (F.col("hash") == F.col("of"))).select("doc_id", "text", "hash", F.col("before").alias("part"), F.lit(True).alias("ghost"))
+    rows = ranged.withColumn("ghost", F.lit(False)).unionByName(extra)
+    if heads:
+        rows = rows.repartitionById(heads[0][0] + 1, "part")
+    rows = rows.sortWithinPartitions("ghost", F.desc_nulls_last("doc_id"), F.desc("hash"), "text").drop("hash")
     return rows.mapInArrow(_compare, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
+def _ranged(docs: DataFrame, n: int, n_ids: int, parts: int) -> DataFrame:
+    """``docs`` (doc_id, hash, ...) with part, the number of a row's range by doc_id and hash, in their order: null ids first, then ranges of about as many rows each."""
+    cuts = docs.select(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)] or [0.5], 20 * parts)).first()[0] or [0]
+    # an id that fills several ranges gets them for itself; ids beyond 2^53 aren't told apart well enough for that
+    hot = {float(c): k + 1 for c, k in Counter(cuts).items() if k > 1 and abs(c) < 1 << 53}
+    splits = [-float("inf"), *sorted({float(c) for c in cuts} | {c + 1 for c in hot}), float("inf")]
+    each = [hot.get(x, 1) for x in splits[:-1]]
+    # a null id has the number after the last as its bucket
+    each.append(max(1, -(-(n - n_ids) * parts // max(n, 1))))
+    begins = [sum(each[:k]) + each[-1] for k in range(len(each) - 1)] + [0]
+    at = F.col("bucket").cast("int") + 1
+    of = [F.element_at(F.array(*map(F.lit, x)), at) for x in (begins, each)]
+    sub = F.least(F.floor((F.col("hash") / F.lit(2.0**64) + 0.5) * of[1]), of[1] - 1)
+    docs = Bucketizer(splits=splits, inputCol="x", outputCol="bucket", handleInvalid="keep").transform(docs.withColumn("x", F.col("doc_id").cast("double")))
+    return docs.withColumn("part", (of[0] + sub).cast("int")).drop("x", "bucket")
+
+
 def _compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows in order of part, ghosts last; each row but a ghost is compared with the row after it."""
     held: list[tuple] = []

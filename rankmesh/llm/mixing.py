@@ -8,7 +8,8 @@ random from one side to the other, keeping their sum, until one side is whole. S
 each document keeps its expected number of copies, while the words
 that a source takes hardly vary; what can't be made whole is a small document. Documents are rounded in
 groups of some thousands; each group leaves at most one document undecided, and
-these meet in a tree of further groups until one is left for each source.
+these meet in a tree of further groups until one is left for each source. Rows
+that agree in everything that matters here are one class, rounded by count.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankmesh.llm.common import WORD_PATTERN, text_or_empty, written
+from rankmesh.llm.common import WORD_PATTERN, columns, free, text_or_empty, written
 
 #: Documents rounded together, on average, and undecided ones that meet in a node of the tree.
 LEAF, FAN = 4096, 64
@@ -30,20 +31,11 @@ LEAF, FAN = 4096, 64
 MOST = 3
 #: Up to so many sources, their totals are broadcast; beyond, they are joined by a shuffle.
 BROADCAST_SOURCES = 100_000
+#: Rows of one class that are handled together.
+SPAN = 10_000
 _EPS = 1e-9
 
 
-def share(sizes: Sequence[int], weights: Sequence[float], total: float, most: float = MOST) -> list[float]:
-    """Split ``total`` by weight; nothing gets over ``most`` times its size, the excess is split again by weight."""
-    out = [0.0] * len(sizes)
-    order = sorted(range(len(sizes)), key=lambda i: most * sizes[i] / weights[i])
-    rest, weight = float(total), float(sum(weights))
-    for i in order:
-        out[i] = float(min(most * sizes[i], rest * weights[i] / weight)) if weight > 0 else 0.0
-        rest, weight = rest - out[i], weight - weights[i]
-    return out
-
-
 def round_alike(p: float, size: np.ndarray, draw: np.ndarray) -> tuple[np.ndarray, int, float]:
     """Round documents of one probability ``p``; sizes fall and are above 0, ``draw`` has a uniform number for each.
 
@@ -98,25 +90,31 @@ def _node(seed: int, leaf: bool, last: bool) -> Callable[[tuple, pa.Table], pa.T
     """Round one group; the undecided document keeps its words unless the group is its source's last."""
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
-        rows = rows.take(pc.sort_indices(rows, [("size", "descending"), ("doc_id", "ascending"), ("mass", "ascending")]))
+        rows = rows.take(pc.sort_indices(rows, [(c, "descending" if c == "size" else "ascending") for c in ("size", "doc_id", "key", "rows", "mass")]))
         name = ",".join(str(k.as_py()) for k in key)
         rng = np.random.default_rng(int.from_bytes(hashlib.blake2b(f"{seed},{name}".encode(), digest_size=8).digest(), "big"))
-        size, mass = rows["size"].to_numpy(), rows["mass"].to_numpy()
+        size, mass = rows["size"].to_numpy(), rows["mass"].to_numpy().copy()
         # a document without words has nothing to move: it is rounded on its own, as if it had one word
-        none, draw = size == 0, rng.random(len(size))
-        copies = np.where(none, draw < mass, False).astype(np.int64)
-        some = ~none
-        if leaf:  # one source, hence one probability
-            got, live, left = round_alike(float(mass[some][0] / size[some][0]) if some.any() else 0.0, size[some], draw[some])
-        else:
-            got, live, left = round_pairs(mass[some], size[some], draw[some])
+        draw, copies = rng.random(len(size)), np.zeros(len(size), np.int64)
+        none = size == 0
+        copies[none] = draw[none] < mass[none]
+        rest, live = ~none, -1
+        if leaf:  # one source, hence one probability, but for rows that occur again
+            alike = np.flatnonzero(rest & (rows["rows"].to_numpy() == 1))
+            if len(alike):
+                copies[alike], live, left = round_alike(float(mass[alike[0]] / size[alike[0]]), size[alike], draw[alike])
+                rest[alike] = False
+                if live >= 0:  # what it leaves meets the others
+                    live = alike[live]
+                    rest[live], mass[live] = True, left
+        at = np.flatnonzero(rest)
+        copies[at], live, left = round_pairs(mass[at], size[at], rng.random(len(at)))
+        open_ = np.full(len(size), np.nan)
         if live >= 0 and last:
-            got[live], live = rng.random() * size[~none][live] < left, -1
-        copies[~none] = got
-        rest = np.full(len(size), np.nan)
-        if live >= 0:
-            rest[np.flatnonzero(~none)[live]] = left
-        return pa.table({"no": rows["no"], "node": rows["node"], "doc_id": rows["doc_id"], "key": rows["key"], "size": rows["size"], "extra": pa.array(copies), "mass": pa.array(rest)})
+            copies[at[live]] = rng.random() * size[at[live]] < left
+        elif live >= 0:
+            open_[at[live]] = left
+        return rows.set_column(rows.schema.get_field_index("extra"), "extra", pa.array(copies)).set_column(rows.schema.get_field_index("mass"), "mass", pa.array(open_))
 
     return run
 
@@ -126,6 +124,49 @@ def _key() -> Column:
     return F.xxhash64(F.col("doc_id").isNull(), "text")
 
 
+def targets(totals: DataFrame, weights: Sequence[float] = (1, 2, 3), most: float = MOST) -> DataFrame:
+    """``totals`` (source, words, ...) with no and target, for any number of sources.
+
+    Sources are numbered in order of code points, null last, and weigh ``weights``
+    in turn. They share all words by weight; nothing gets over ``most`` times its
+    words, and the excess is shared again until nothing is above. Each round is
+    one aggregate: only sums reach the driver.
+    """
+    order = [F.col("source").asc_nulls_last()]
+    numbered = written(totals.orderBy(*order).withColumn("place", F.monotonically_increasing_id()), "mix-numbered")
+    # places count on within a partition; partitions are in order, and so few that a row of each may be broadcast
+    part, begins, sofar = F.shiftright("place", 33), [], 0
+    for r in sorted(numbered.groupBy(part.alias("part")).count().collect(), key=lambda r: r.part):
+        begins.append((r.part, sofar))
+        sofar += r["count"]
+    begins = F.broadcast(totals.sparkSession.createDataFrame(begins, "part long, begin long"))
+    numbered = numbered.join(begins, part == F.col("part")).withColumn("no", F.col("begin") + F.col("place").bitwiseAND(F.lit((1 << 33) - 1)))
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("no") % len(weights) + 1).cast("int"))
+    numbered = written(numbered.withColumn("weight", weight).drop("place", "part", "begin"), "mix-sources")
+    limit, level, full = F.col("words") * float(most), None, -1
+    total = numbered.agg(F.sum("words")).first()[0] or 0
+    while True:
+        above = limit < F.lit(level or 0.0) * F.col("weight")
+        n, given, rest = numbered.agg(F.count(F.when(above, 1)), F.coalesce(F.sum(F.when(above, limit)), F.lit(0.0)), F.sum(F.when(~above, F.col("weight")))).first()
+        if n == full or not rest:
+            break
+        full, level = n, (total - given) / rest
+    return numbered.withColumn("target", F.least(limit, F.lit(level or 0.0) * F.col("weight")))
+
+
+def sized(docs: DataFrame) -> DataFrame:
+    """Rows (source, doc_id, key, size, rows): the classes of rows that are alike, and how many rows each has."""
+    size = F.regexp_count(text_or_empty(), F.lit(WORD_PATTERN)).cast("long")
+    rows = docs.select(F.col("source").cast("string").alias("source"), F.col("doc_id").cast("long").alias("doc_id"), _key().alias("key"), size.alias("size"))
+    return rows.groupBy("source", "doc_id", "key", "size").agg(F.count("*").alias("rows"))
+
+
+def source_targets(docs: DataFrame, weights: Sequence[float] = (1, 2, 3)) -> DataFrame:
+    """Rows (source, source_size, target): see ``plan``."""
+    totals = sized(docs).groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("words"))
+    return targets(totals, weights).select("source", F.col("words").alias("source_size"), "target")
+
+
 def plan(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), seed: int = 42, leaf: int = LEAF, fan: int = FAN) -> DataFrame:
     """How often to take each document so that the sources meet their targets.
 
@@ -135,25 +176,24 @@ def plan(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), seed: int = 42,
     share all words by weight; a source gets at most 3 times its size, and the
     excess goes to the others by weight. Rows: doc_id, key (a hash of the
     text), source, size, source_size, target, copies, taken; one for each row
-    of ``docs``, repeated ids and rows included. A null doc_id is an id like any
-    other. Groups and draws depend on doc_ids, sizes and counts alone, so a rerun
+    of ``docs``, repeated ids and rows included; rows that agree in doc_id, text
+    and source share their copies out evenly. A null doc_id is an id like any
+    other. Groups and draws depend on the rows alone, so a rerun
     on the same rows agrees however they are partitioned. No rows give none.
     """
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _key().alias("key"), F.col("source").cast("string").alias("source"), F.regexp_count(text_or_empty(), F.lit(WORD_PATTERN)).cast("long").alias("size"))
-    sized = written(sized, "mix-sizes")
-    totals = sized.groupBy("source").agg(F.sum("size").alias("words"), F.count("*").alias("n")).collect()
-    totals.sort(key=lambda r: (r.source is None, r.source or ""))
-    targets = share([r.words for r in totals], [weights[i % len(weights)] for i in range(len(totals))], sum(r.words for r in totals))
-    rows = [(i, r.source, r.words, t, min(t / r.words, float(MOST)) if r.words else 0.0, -(-r.n // leaf)) for i, (r, t) in enumerate(zip(totals, targets, strict=True))]
-    sources = docs.sparkSession.createDataFrame(rows, "no int, of string, source_size long, target double, wanted double, leaves long")
-    if len(rows) <= BROADCAST_SOURCES:
-        sources = F.broadcast(sources)
-    sized = sized.join(sources, F.col("source").eqNullSafe(F.col("of"))).drop("of")
-    whole, part = F.floor("wanted"), F.col("wanted") - F.floor("wanted")
-    node = F.pmod(F.xxhash64("doc_id", "size"), F.col("leaves"))
-    leaves = sized.select("no", node.alias("node"), "doc_id", "key", "size", F.lit(0).cast("long").alias("extra"), (part * F.greatest("size", F.lit(1))).alias("mass"))
-    schema, decided, deep = leaves.schema, [], max((r[5] for r in rows), default=0)
-    level = 0
+    classes = written(sized(docs), "mix-sizes")
+    totals = classes.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("words"), F.ceil(F.count("*") / leaf).alias("leaves"))
+    sources = written(targets(totals, weights), "mix-targets")
+    few, deep = sources.agg(F.count("*"), F.coalesce(F.max("leaves"), F.lit(0))).first()
+    wanted = F.when(F.col("words") > 0, F.least(F.col("target") / F.col("words"), F.lit(float(MOST)))).otherwise(0.0)
+    sources = sources.withColumn("wanted", wanted)
+    small = F.broadcast(sources) if few <= BROADCAST_SOURCES else sources
+    own = classes.join(small.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")))
+    whole, part = F.floor("wanted"), (F.col("wanted") - F.floor("wanted")) * F.col("rows")
+    # of rows that are alike so many get one copy more; only what is left of one row is rounded
+    node = F.pmod(F.xxhash64("doc_id", "size", "key"), F.col("leaves"))
+    leaves = own.select("no", node.alias("node"), "doc_id", "key", "size", "rows", F.lit(0).cast("long").alias("extra"), ((part - F.floor(part)) * F.greatest("size", F.lit(1))).alias("mass"))
+    schema, decided, level = leaves.schema, [], 0
     while True:
         last = deep <= 1
         done = leaves.groupBy("no", "node").applyInArrow(_node(seed + level, level == 0, last), schema)
@@ -167,11 +207,15 @@ def plan(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), seed: int = 42,
     out = decided[0]
     for d in decided[1:]:
         out = out.unionByName(d)
-    sources = docs.sparkSession.createDataFrame(rows, "no int, source string, source_size long, target double, wanted double, leaves long")
-    if len(rows) <= BROADCAST_SOURCES:
-        sources = F.broadcast(sources)
-    copies = (whole + F.col("extra")).cast("long")
-    return out.join(sources, "no").select("doc_id", "key", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    out = out.join(small, "no").withColumn("extra", F.col("extra") + F.floor(part))
+    out = out.select("doc_id", "key", "source", "size", F.col("words").alias("source_size"), "target", whole.cast("long").alias("whole"), "extra", "rows")
+    # back to one row for each row of a class: the first ones have the extra copies
+    span = F.explode(F.sequence(F.col("from"), F.least(F.col("from") + SPAN, F.col("rows")) - 1))
+    each = out.filter(F.col("rows") <= SPAN).withColumn("from", F.lit(0).cast("long"))
+    large = out.filter(F.col("rows") > SPAN).withColumn("from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1, F.lit(SPAN).cast("long"))))
+    each = each.unionByName(large.repartition("doc_id", "key", "from")).withColumn("at", span)
+    copies = F.col("whole") + (F.col("at") < F.col("extra")).cast("long")
+    return each.select("doc_id", "key", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
 def apply(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -179,9 +223,18 @@ def apply(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     Rows that agree in doc_id and text share their copies out evenly.
     """
-    own = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "_key": _key()})
-    wanted = wanted.groupBy(F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("key").alias("_key")).agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows")).filter("_copies > 0")
-    at = F.row_number().over(Window.partitionBy("_id", "_key").orderBy("_id"))
-    own = own.join(wanted, ["_id", "_key"]).withColumn("_at", at)
-    n = F.floor(F.col("_copies") / F.col("_rows")) + (F.col("_at") <= F.col("_copies") % F.col("_rows")).cast("long")
-    return own.withColumn("_n", n).filter("_n > 0").withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).select(*docs.columns)
+    id_, key, copies, rows, salt, at, place, n = free(docs, "id", "key", "copies", "rows", "salt", "at", "place", "n")
+    own = docs.select(*columns(docs), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias(id_), _key().alias(key), F.monotonically_increasing_id().alias(place))
+    wanted = wanted.groupBy(F.coalesce("doc_id", F.lit(0)).alias(id_), F.col("key").alias(key)).agg(F.sum("copies").alias(copies), F.count("*").alias(rows)).filter(F.col(copies) > 0)
+    wanted = written(wanted, "mix-copies")
+    # very many rows that are alike are numbered in parts
+    own = own.join(wanted, [id_, key]).withColumn(salt, F.when(F.col(rows) > SPAN, F.pmod(F.xxhash64(place), F.ceil(F.col(rows) / SPAN))).otherwise(0))
+    number = F.row_number().over(Window.partitionBy(id_, key, salt).orderBy(place)).cast("long")
+    if wanted.filter(F.col(rows) > SPAN).isEmpty():
+        own = own.withColumn(at, number)
+    else:
+        before = F.coalesce(F.sum(n).over(Window.partitionBy(id_, key).orderBy(salt).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        parts = own.filter(F.col(rows) > SPAN).groupBy(id_, key, salt).agg(F.count("*").alias(n)).withColumn(n, before)
+        own = own.join(parts, [id_, key, salt], "left").withColumn(at, number + F.coalesce(F.col(n), F.lit(0))).drop(n)
+    each = F.floor(F.col(copies) / F.col(rows)) + (F.col(at) <= F.col(copies) % F.col(rows)).cast("long")
+    return own.withColumn(n, each).filter(F.col(n) > 0).withColumn(n, F.explode(F.sequence(F.lit(1).cast("long"), F.col(n)))).select(*columns(docs))

@@ -20,11 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankmesh.llm.common import chunks, plus, sample_ids, text_or_empty, written
+from rankmesh.llm import linear
+from rankmesh.llm.common import chunks, columns, plus, sample_ids, text_or_empty, written
 from rankmesh.llm.spm import _Shared
 
 #: Documents that the scorer is fitted on, at most.
-SAMPLE = 5_000
+SAMPLE = 8_000
 BITS = 18
 THRESHOLD = 0.5
 EPOCHS, RATE, DECAY = 150, 0.3, 1e-6
@@ -44,7 +45,7 @@ class Traits:
     shouts: float  # '!!' for each word
     repeats: float  # words equal to the one before
     top: float  # the most frequent word's share
-    distinct: float  # different words for each word
+    distinct: float  # different words, over 0.634 times the words to the power 0.75, as longer texts have fewer for each word
     closed: float  # words that end in punctuation
     same_lines: float  # lines that occurred before
 
@@ -65,7 +66,7 @@ class Traits:
             raw.count(b"!!") / n,
             sum(map(bytes.__eq__, words, words[1:])) / n,
             max(count.values(), default=0) / n,
-            len(count) / n,
+            len(count) / (0.634 * n**0.75),
             sum(w.endswith((b".", b",", b"!", b"?", b";", b":")) for w in words) / n,
             1 - len(set(lines)) / len(lines),
         )
@@ -82,7 +83,7 @@ LABELLERS = {
     "marked": lambda t: t.words >= 5 and t.marked > 0.1,
     "stutter": lambda t: t.words >= 5 and t.repeats > 0.2,
     "one_word": lambda t: t.words >= 20 and t.top > 0.3,
-    "variety": lambda t: 20 <= t.words <= 2000 and t.distinct < 0.3,
+    "variety": lambda t: t.words > 0 and t.distinct < 1,
     "lines": lambda t: t.same_lines > 0.5,
     "empty": lambda t: t.words == 0,
 }
@@ -157,26 +158,24 @@ def hashed(text: str) -> np.ndarray:
     return np.concatenate([word % half, form % half + half, pairs, same])
 
 
-def fit(rows: np.ndarray, cols: np.ndarray, share: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, float]:
-    """Logistic regression with soft targets: example ``rows[k]`` has bucket ``cols[k]`` as the share ``share[k]`` of its words.
+def loss(z: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """1, so that values add up to the texts of a class, and the slope of the logistic loss with soft targets."""
+    return np.ones(len(z)), linear.sigmoid(z) - target
 
-    Full batches from zero, so that equal input gives equal weights.
+
+def fit(batch: linear.Batch) -> tuple[np.ndarray, float]:
+    """Logistic regression with soft targets, in which both classes weigh the same, however rare one is.
+
+    Full batches, exact sums and zero weights at the start, so that equal input gives equal weights.
     """
-    used, cols = np.unique(cols, return_inverse=True)
-    n = len(target)
-    w, b, m, v = np.zeros(len(used)), 0.0, np.zeros(len(used) + 1), np.zeros(len(used) + 1)
-    # both classes weigh the same, however rare one is
-    weight = np.where(target > 0.5, 0.5 / max((target > 0.5).sum(), 1), 0.5 / max((target <= 0.5).sum(), 1))
-    for t in range(1, EPOCHS + 1):
-        z = np.bincount(rows, w[cols] * share, n) + b
-        g = weight * (1 / (1 + np.exp(-np.clip(z, -50, 50))) - target)
-        step = np.append(np.bincount(cols, g[rows] * share, len(used)) + DECAY * w, g.sum())
-        m, v = 0.9 * m + 0.1 * step, 0.999 * v + 0.001 * step**2
-        move = RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-        w, b = w - move[:-1], b - move[-1]
-    out = np.zeros(1 << BITS)
-    out[used] = w
-    return out, float(b)
+
+    def gradient(w: np.ndarray, b: float) -> np.ndarray:
+        heads, grads = batch.sums(w, b)
+        g = (np.concatenate([grads, heads[1][:, None]], 1) * (0.5 / np.maximum(heads[0], 1))[:, None]).sum(0)
+        g[:-1] += DECAY * w
+        return g
+
+    return linear.descend(batch.n, 0.0, gradient, EPOCHS, RATE, 1e-8)
 
 
 @dataclass
@@ -192,13 +191,13 @@ class Model:
         return 1 / (1 + math.exp(-min(max(z, -500), 500)))
 
 
-def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
+def train(docs: DataFrame, sample: int = SAMPLE, local: int = linear.LOCAL) -> Model | None:
     """Count votes over all documents, estimate the labellers, fit the scorer; None if there are no documents.
 
     The scorer is fitted on ``sample`` documents at most, those whose ids have the
     smallest hashes; the labellers' accuracies come from all documents.
+    ``local``: see ``linear.Batch``.
     """
-    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,16 +218,14 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
         for batch in chunks(batches, "text", 1 << 20):
             texts = batch.column(0).to_pylist()
             found = [np.unique(hashed(t), return_counts=True) for t in texts]
-            lists = [pa.array([x[k].astype(np.int32) for x in found], pa.list_(pa.int32())) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([pa.array([votes(t) for t in texts], pa.int64()), pa.array([max(len(t.encode().split()), 1) for t in texts], pa.int64()), *lists], ["pattern", "size", "buckets", "counts"])
-
-    # in order of text, so that equal documents give equal weights however they are dealt out
-    seen = docs.join(F.broadcast(chosen), F.col("doc_id").eqNullSafe(F.col("chosen"))).select("text").distinct().orderBy("text")
-    seen = seen.mapInArrow(see, "pattern long, size long, buckets array<int>, counts array<int>").toArrow()
-    buckets, counts = (seen[c].combine_chunks() for c in ("buckets", "counts"))
-    held = np.diff(buckets.offsets.to_numpy())
-    share = counts.flatten().to_numpy() / np.repeat(seen["size"].to_numpy(), held)
-    w, b = fit(np.repeat(np.arange(len(held), dtype=np.int32), held), buckets.flatten().to_numpy(), share, accuracies.posterior(seen["pattern"].to_numpy()))
+            shares = [(k / max(len(t.encode().split()), 1)).astype(np.float32) for t, (_, k) in zip(texts, found, strict=True)]
+            target = accuracies.posterior(np.array([votes(t) for t in texts], np.int64))
+            rows = [pa.array([p.astype(np.int32) for p, _ in found], pa.list_(pa.int32())), pa.array(shares, pa.list_(pa.float32())), pa.array((target > 0.5).astype(np.int32)), pa.array(target), pa.array(np.ones(len(texts)))]
+            yield pa.RecordBatch.from_arrays(rows, ["places", "shares", "class", "target", "weight"])
+
+    # the parameter bounds the ids, and so the broadcast
+    seen = docs.join(F.broadcast(chosen), F.col("doc_id").eqNullSafe(F.col("chosen"))).select("text").distinct()
+    w, b = fit(linear.Batch(written(seen.mapInArrow(see, linear.SCHEMA), "quality-examples"), 1 << BITS, loss, local))
     # the fit weighs both classes alike; a text is judged by how common they are
     return Model(w, b + math.log(accuracies.prior / (1 - accuracies.prior)), accuracies)
 
@@ -262,6 +259,7 @@ def judged(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def reject(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without those whose score is below ``threshold``, with the same columns."""
-    columns = docs.columns
-    judged = scored(docs.withColumn("_text", F.col("text")).select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(columns)], "text"), train(docs))
-    return judged.filter(F.col("score") >= threshold).select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(columns)])
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    own = docs.select(*[c.alias(n) for c, n in zip(columns(docs), names, strict=True)]).withColumnRenamed(names[docs.columns.index("text")], "text")
+    kept = scored(own, train(docs)).filter(F.col("score") >= threshold)
+    return kept.select(*[F.col("text" if c == "text" else n).alias(c) for c, n in zip(docs.columns, names, strict=True)])

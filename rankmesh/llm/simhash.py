@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankmesh.llm.common import chunks, text_or_empty, words_of, written
+from rankmesh.llm.common import chunks, columns, free, partitions, text_or_empty, words_of, written
 from rankmesh.llm.components import components
 
 SEED, SHINGLE, DISTANCE = 42, 3, 3
@@ -31,6 +31,8 @@ SEED, SHINGLE, DISTANCE = 42, 3, 3
 PIVOTS = np.random.default_rng(64).integers(0, 1 << 64, 24, dtype=np.uint64)
 #: A key with more fingerprints is left to a finer filing, in which keys have more bits.
 CROWD = 2048
+#: Blocks of the second filing, and of the bits that a key of it leaves in the third.
+FINE, FINEST = 9, 6
 #: Pairs looked at together.
 PAIRS = 1 << 18
 
@@ -82,6 +84,15 @@ def masks(blocks: int, distance: int = DISTANCE) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in (sum(c) for c in combinations(parts, blocks - distance))]
 
 
+def finest(mask: int, distance: int = DISTANCE) -> list[int]:
+    """``mask`` (a signed long) with every choice of ``FINEST - distance`` of the blocks of its other bits."""
+    rest = [b for b in range(64) if not mask >> b & 1]
+    cuts = [len(rest) * k // FINEST for k in range(FINEST + 1)]
+    parts = [sum(1 << b for b in rest[x:y]) for x, y in zip(cuts, cuts[1:])]
+    every = (mask % (1 << 64) | sum(c) for c in combinations(parts, FINEST - distance))
+    return [m - (1 << 64) if m >> 63 else m for m in every]
+
+
 def near(fps: np.ndarray, distance: int = DISTANCE) -> list[tuple[int, int]]:
     """Links that connect all of ``fps`` (uint64, all different) that chains of near fingerprints connect: places (i, j).
 
@@ -111,7 +122,10 @@ def near(fps: np.ndarray, distance: int = DISTANCE) -> list[tuple[int, int]]:
             keep = np.abs(table[i, k] - table[j, k]) <= distance
             i, j = i[keep], j[keep]
         keep = np.bitwise_count(own[i] ^ own[j]) <= distance
-        for a, b in zip(order[i[keep]].tolist(), order[j[keep]].tolist(), strict=True):
+        i, j = order[i[keep]], order[j[keep]]
+        label = np.array([find(x) for x in range(len(fps))])  # pairs that are connected already needn't be looked at
+        keep = label[i] != label[j]
+        for a, b in zip(i[keep].tolist(), j[keep].tolist(), strict=True):
             if (x := find(a)) != (y := find(b)):
                 root[x] = y
                 out.append((a, b))
@@ -120,24 +134,24 @@ def near(fps: np.ndarray, distance: int = DISTANCE) -> list[tuple[int, int]]:
 
 
 def _link(last: bool, crowd: int = CROWD):
-    """Rows sorted by (mask, key) to links (a, b); fingerprints of a crowded key come out as (fp, null) unless this is the last filing."""
+    """Rows sorted by (mask, key) to links (a, b, null); fingerprints of a crowded key come out as (fp, null, mask) unless this is the last filing."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []  # the fingerprints of the key at hand, which may go on
         count, at, full = 0, None, False
 
-        def settle() -> list[tuple[int, int | None]]:
+        def settle() -> list[tuple[int, int | None, int | None]]:
             fps = np.concatenate(held) if len(held) != 1 else held[0]
             if full:
-                return [(x, None) for x in fps.tolist()]
-            return [(int(fps[i]), int(fps[j])) for i, j in near(fps.view(np.uint64))] if len(fps) > 1 else []
+                return [(x, None, int(at[0])) for x in fps.tolist()]
+            return [(int(fps[i]), int(fps[j]), None) for i, j in near(fps.view(np.uint64))] if len(fps) > 1 else []
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             mask, key, fp = (batch.column(k).to_numpy() for k in range(3))
             cuts = np.flatnonzero((mask[1:] != mask[:-1]) | (key[1:] != key[:-1])) + 1
-            out: list[tuple[int, int | None]] = []
+            out: list[tuple[int, int | None, int | None]] = []
             spans = list(zip([0, *cuts.tolist()], [*cuts.tolist(), len(fp)], strict=True))
             for x, y in spans:
                 if (mask[x], key[x]) != at:
@@ -158,32 +172,46 @@ def _link(last: bool, crowd: int = CROWD):
     return run
 
 
-def _links(rows: list[tuple[int, int | None]]) -> pa.RecordBatch:
-    a, b = zip(*rows, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+def _links(rows: list[tuple[int, int | None, int | None]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], ["a", "b", "mask"])
+
+
+def _filed(prints: DataFrame, n: int, last: bool, crowd: int) -> DataFrame:
+    """Rows (fp, mask) to links; there are ``n`` of them, or about."""
+    rows = prints.select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp")
+    rows = rows.repartition(partitions(prints.sparkSession, 24 * n, n), "mask", "key").sortWithinPartitions("mask", "key")
+    return rows.mapInArrow(_link(last, crowd), "a long, b long, mask long")
 
 
-def _filed(prints: DataFrame, blocks: int, last: bool, crowd: int) -> DataFrame:
-    keys = F.explode(F.array(*[F.lit(m).cast("long") for m in masks(blocks)]))
-    rows = prints.select(keys.alias("mask"), "fp").select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp")
-    rows = rows.repartition(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), "mask", "key").sortWithinPartitions("mask", "key")
-    return rows.mapInArrow(_link(last, crowd), "a long, b long")
+def _under(prints: DataFrame, masks: list[int]) -> DataFrame:
+    return prints.select("fp", F.explode(F.array(*[F.lit(m).cast("long") for m in masks])).alias("mask"))
 
 
 def links(prints: DataFrame, crowd: int = CROWD) -> DataFrame:
     """Links (a, b) that connect whatever chains of near fingerprints connect; ``prints`` has one row (fp) for each.
 
     The number of blocks follows the number of fingerprints, so that unrelated
-    ones seldom share a key. Keys that are crowded all the same are filed again
-    under more bits; nothing is left out.
+    ones seldom share a key. The fingerprints of a key that is crowded all the
+    same are filed again under keys of 42 bits or more, and those of keys that
+    are crowded still under 52 or more, of which there are 4,096 different ones
+    at most for a key: no task meets more, and nothing is left out.
     """
     n = max(prints.count(), 2)
-    blocks = next((b for b, most in ((4, 13), (5, 21), (6, 28)) if n <= 1 << most), 7)
-    found = written(_filed(prints, blocks, False, crowd), "links")
+    own = masks(next((b for b, most in ((4, 13), (5, 21), (6, 28)) if n <= 1 << most), 7))
+    found = written(_filed(_under(prints, own), n * len(own), False, crowd), "links")
+    out = found.filter("b is not null")
     crowded = found.filter("b is null").select(F.col("a").alias("fp")).distinct()
-    fine = _filed(crowded, 9, True, crowd) if not crowded.isEmpty() else None
-    found = found.filter("b is not null")
-    return (found if fine is None else found.unionByName(fine)).distinct()
+    if n := crowded.count():
+        own = masks(FINE)
+        found = written(_filed(_under(crowded, own), n * len(own), False, crowd), "links")
+        out = out.unionByName(found.filter("b is not null"))
+        crowded = found.filter("b is null").select(F.col("a").alias("fp"), F.col("mask").alias("of"))
+        if n := crowded.count():
+            table = [(m, x) for m in own for x in finest(m)]
+            # a fixed number of rows, whatever the input
+            finer = F.broadcast(prints.sparkSession.createDataFrame(table, "of long, mask long"))
+            out = out.unionByName(_filed(crowded.join(finer, "of").select("fp", "mask").distinct(), n * len(table) // len(own), True, crowd))
+    return out.select("a", "b").distinct()
 
 
 def groups(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
@@ -226,6 +254,7 @@ def first_of_groups(docs: DataFrame, rows: DataFrame, parts: DataFrame) -> DataF
     group = F.coalesce("component", "fp")
     rank = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "key")
     kept = rows.join(parts, "fp", "left").groupBy(group.alias("group")).agg(F.min(rank).alias("first"))
-    kept = kept.select(F.col("first.id").alias("_id"), F.col("first.key").alias("_key"))
-    own = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "_key": row_key()})
-    return own.join(kept, ["_id", "_key"]).dropDuplicates(["_id", "_key"]).select(*docs.columns)
+    names = free(docs, "id", "key")
+    kept = kept.select(*[F.col(f"first.{c}").alias(n) for c, n in zip(("id", "key"), names, strict=True)])
+    own = docs.select(*columns(docs), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias(names[0]), row_key().alias(names[1]))
+    return own.join(kept, names).dropDuplicates(names).select(*columns(docs))

@@ -1,36 +1,38 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-Confirmed toxic documents are the positives; text drawn from all documents, whatever
-is known of them, is the unlabelled part, in which toxic ones hide. A linear model over words and beginnings of words is
-trained in numpy by the risk that the class prior corrects: the prior times the
-positives' loss, plus the unlabelled texts' loss as negatives less the prior times
-the positives' loss as negatives, where that difference is not let below zero.
+Confirmed toxic documents are the positives; all documents, whatever is known of
+them, are the unlabelled part, in which toxic ones hide. A linear model over words
+and beginnings of words is trained in numpy by the risk that the class prior
+corrects: the prior times the positives' loss, plus the unlabelled texts' loss as
+negatives less the prior times the positives' loss as negatives, where that
+difference is not let below zero. Its gradients are summed over executors.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankmesh.llm.common import chunks, fold, plus, sample_ids, text_or_empty, words_of, written
+from rankmesh.llm import linear
+from rankmesh.llm.common import chunks, fold, free, plus, sample_ids, text_or_empty, words_of, written
 from rankmesh.llm.spm import _Shared
 
-#: Documents that the classifier is fitted on, at most: positives and unlabelled ones.
-POSITIVES, UNLABELLED = 20_000, 40_000
-#: Features that the model may have, and what a feature needs: confirmed documents and standard
-#: deviations above chance.
-FEATURES, LEAST, DEVIATIONS = 50_000, 3, 4.0
+#: Confirmed toxic documents that the classifier is fitted on, at most. Unlabelled documents have no bound.
+POSITIVES = 20_000
+#: What a feature needs: confirmed documents, and standard deviations above chance.
+LEAST, DEVIATIONS = 3, 4.0
 #: Beginnings of words that are features, in characters. Whole words are features too.
 BEGINNINGS = (4, 5, 6)
 THRESHOLD = 0.3
 EPOCHS, RATE, DECAY = 300, 0.1, 1e-4
+#: Copies of a text that make up over one in so many of all rows count once, all of them together.
+OFTEN = 100_000
 
 
 def features(word: bytes) -> list[bytes]:
@@ -52,58 +54,115 @@ class Model:
     prior: float
 
     def __post_init__(self) -> None:
-        self.cache: dict[bytes, tuple[bytes, ...]] = {}
+        self.found = _Found(self.weights)
 
     def score(self, text: str) -> float:
         """Probability of the label: the logistic of the weights of the features that the text has, each once."""
-        cache, weights, found = self.cache, self.weights, set()
+        weights = self.weights
+        z = self.offset + math.fsum(weights[f] for f in self.found(text))
+        return 1 / (1 + math.exp(-z)) if z > -700 else 0.0
+
+
+def loss(z: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sigmoid loss as a negative (as a positive it is 1 less that), and its slope."""
+    s = linear.sigmoid(z)
+    return s, s * (1 - s)
+
+
+def step(w: np.ndarray, values: np.ndarray, grads: np.ndarray, slopes: np.ndarray, n_u: float, n_p: float, prior: float) -> np.ndarray:
+    """The gradient of the non-negative risk from sums over unlabelled (0) and positive (1) examples."""
+    whole = np.concatenate([grads, slopes[:, None]], 1) / [[max(n_u, 1)], [max(n_p, 1)]]
+    rest = values[0] / max(n_u, 1) - prior * values[1] / max(n_p, 1)
+    # the gradient of the whole risk, or the way back up where the unlabelled part's risk went below zero
+    g = whole[0] - 2 * prior * whole[1] if rest >= 0 else prior * whole[1] - whole[0]
+    g[:-1] += DECAY * w
+    return g
+
+
+def fit(batch: linear.Batch, n_u: float, n_p: float, prior: float) -> tuple[np.ndarray, float]:
+    """Minimise the non-negative risk over all examples (class 1 is positive, 0 unlabelled).
+
+    Full batches, exact sums and a fixed start, so that equal input gives equal weights.
+    """
+
+    def gradient(w: np.ndarray, b: float) -> np.ndarray:
+        heads, grads = batch.sums(w, b)
+        return step(w, heads[0], grads, heads[1], n_u, n_p, prior)
+
+    return linear.descend(batch.n, math.log(prior / (1 - prior)), gradient, EPOCHS, RATE)
+
+
+def mark() -> Column:
+    """A text's hash."""
+    return F.xxhash64("text")
+
+
+def _worth(docs: DataFrame) -> DataFrame:
+    """Rows (text, worth): 2^20 over the number of rows that share the text where these are many, else 2^20.
+
+    Only texts that make up over one in ``OFTEN`` of all rows reach the driver,
+    at most ``OFTEN`` of them.
+    """
+    counts = written(docs.groupBy(mark().alias("mark")).agg(F.count("*").alias("n")), "toxic-copies")
+    n = counts.agg(F.sum("n")).first()[0] or 0
+    often = F.broadcast(counts.filter((F.col("n") > 1) & (F.col("n") * OFTEN >= n)))
+    worth = F.rint(F.lit(linear.UNIT) / F.coalesce("n", F.lit(1))).cast("long")
+    return docs.join(often, mark() == F.col("mark"), "left").select("text", worth.alias("worth"))
+
+
+def _counted(rows: DataFrame, places: _Shared | None) -> DataFrame:
+    """Rows (feature, n): the worth of the texts (text, worth) that have it. With ``places``, features of that table only."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[bytes, int] = {}
+        found = None if places is None else _Found(places.value)
+        for batch in batches:
+            for text, worth in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for f in _held(text) if found is None else found(text):
+                    sums[f] = sums.get(f, 0) + worth
+                if len(sums) > 500_000:
+                    yield _sums(sums)
+        yield _sums(sums)
+
+    return rows.mapInArrow(run, "feature binary, n long").groupBy("feature").agg(F.sum("n").alias("n"))
+
+
+def _sums(sums: dict[bytes, int]) -> pa.RecordBatch:
+    out = pa.RecordBatch.from_arrays([pa.array(list(sums), pa.binary()), pa.array(list(sums.values()), pa.int64())], ["feature", "n"])
+    sums.clear()
+    return out
+
+
+class _Found:
+    """Which features of a table a text has, each once; what a word gives is kept."""
+
+    def __init__(self, table):
+        self.table, self.cache = table, {}
+
+    def __call__(self, text: str) -> set[bytes]:
+        cache, table, found = self.cache, self.table, set()
         if len(cache) > 400_000:
             cache.clear()
         for w in set(words_of(text)):
             hit = cache.get(w)
             if hit is None:
-                hit = cache[w] = tuple(f for f in features(w) if f in weights)
+                hit = cache[w] = tuple(f for f in features(w) if f in table)
             if hit:
                 found.update(hit)
-        z = self.offset + math.fsum(weights[f] for f in found)
-        return 1 / (1 + math.exp(-z)) if z > -700 else 0.0
-
+        return found
 
-def fit(rows: np.ndarray, cols: np.ndarray, positive: np.ndarray, n: int, prior: float) -> tuple[np.ndarray, float]:
-    """Minimise the non-negative risk with the sigmoid loss (s as a negative, 1 - s as a positive, of score s). ``rows`` and ``cols``: which example has which of ``n`` features.
 
-    Full batches and a fixed start, so that equal input gives equal weights.
-    """
-    w, b = np.zeros(n), math.log(prior / (1 - prior))
-    p, u = positive, ~positive
-    n_p, n_u = max(p.sum(), 1), max(u.sum(), 1)
-    m, v, t = np.zeros(n + 1), np.zeros(n + 1), 0
-    for _ in range(EPOCHS):
-        z = np.bincount(rows, w[cols], len(p)) + b
-        s = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
-        slope = s * (1 - s)
-        rest = s[u].sum() / n_u - prior * s[p].sum() / n_p
-        if rest >= 0:  # the gradient of the whole risk
-            g = np.where(p, -2 * prior / n_p, 1 / n_u) * slope
-        else:  # climb back
-            g = np.where(p, prior / n_p, -1 / n_u) * slope
-        step = np.append(np.bincount(cols, g[rows], n) + DECAY * w, g.sum())
-        t += 1
-        m, v = 0.9 * m + 0.1 * step, 0.999 * v + 0.001 * step**2
-        move = RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-10)
-        w, b = w - move[:-1], b - move[-1]
-    return w, float(b)
-
-
-def train(docs: DataFrame, labels: DataFrame) -> Model:
+def train(docs: DataFrame, labels: DataFrame, local: int = linear.LOCAL) -> Model:
     """Fit on labels outside the held-out fold (crc32(doc_id as text) mod 4 is 2).
 
     A document is confirmed toxic if any of its labels in ``labels`` (doc_id,
     toxic) is 1; a null label says nothing. Of confirmed documents 20,000 at most
-    are used, and 40,000 of all as unlabelled ones, those whose ids have the
-    smallest hashes; texts that occur again count once. The prior is the share of toxic ones among
-    labelled documents, 0.05 where there are none. Without a confirmed document
-    the model gives every text the prior's probability, at most 0.05.
+    are used, those whose ids have the smallest hashes, and of their texts that
+    occur again one. All documents outside the fold are unlabelled ones, confirmed
+    ones among them; a text that makes up over one in 100,000 of them counts once.
+    The prior is the share of toxic ones among labelled documents, 0.05 where
+    there are none. Without a confirmed document the model gives every text the
+    prior's probability, at most 0.05. ``local``: see ``linear.Batch``.
     """
     spark = docs.sparkSession
     learn = F.coalesce(fold("doc_id", 4) != 2, F.lit(False))
@@ -111,63 +170,44 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     labels = written(labels, "toxic-labels")
     n, n_toxic = labels.agg(F.count("*"), F.coalesce(F.sum((F.col("toxic") == 1).cast("long")), F.lit(0))).first()
     prior = min(max(n_toxic / n, 1e-3), 0.5) if n else 0.05
+    unknown = Model({}, math.log(0.05 / 0.95), 0.05)
     if not n_toxic:
-        return Model({}, math.log(0.05 / 0.95), 0.05)
-    toxic = labels.filter("toxic = 1").select("doc_id")
+        return unknown
     docs = docs.filter(learn).select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    # both id lists are bounded by parameters, and so are the broadcasts
-    chosen = sample_ids(toxic, POSITIVES).withColumn("positive", F.lit(True))
-    # unlabelled text stands for all text, so it is drawn from all documents, confirmed ones among them
-    others = sample_ids(docs, UNLABELLED).withColumn("positive", F.lit(False))
-    chosen = written(chosen.unionByName(others), "toxic-sample")
-    sample = docs.join(F.broadcast(chosen), "doc_id")
-
-    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got: tuple[Counter, Counter] = Counter(), Counter()
-        for batch in batches:
-            for text, positive in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                got[positive].update(_held(text))
-                if len(got[0]) + len(got[1]) > 500_000:
-                    yield _tally(got)
-        yield _tally(got)
-
-    texts = written(sample.select("text", "positive").distinct(), "toxic-texts")
-    n_p, n_u = texts.agg(F.sum(F.col("positive").cast("long")), F.sum((~F.col("positive")).cast("long"))).first()
+    # a parameter bounds the ids, and so the broadcast
+    chosen = written(sample_ids(labels.filter("toxic = 1").select("doc_id"), POSITIVES), "toxic-sample")
+    toxic = written(docs.join(F.broadcast(chosen), "doc_id").select("text").distinct().withColumn("worth", F.lit(int(linear.UNIT)).cast("long")), "toxic-texts")
+    n_p = toxic.count()
     if not n_p:
-        return Model({}, math.log(0.05 / 0.95), 0.05)
-    table = texts.mapInArrow(count, "feature binary, p long, u long").groupBy("feature").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
+        return unknown
+    every = _worth(docs.select("text"))
+    # the features of enough confirmed texts; these, and so the broadcast, follow the bounded sample
+    common = _counted(toxic, None).filter(F.col("n") >= LEAST * int(linear.UNIT)).withColumnRenamed("n", "p")
+    common = written(common, "toxic-features")
+    candidates = _Shared(spark, frozenset(bytes(r.feature) for r in common.select("feature").toLocalIterator()))
+    n_u = written(every.groupBy("worth").agg(F.count("*").alias("rows")), "toxic-worths").agg(F.sum(F.col("worth") * F.col("rows"))).first()[0] / linear.UNIT
+    table = common.join(_counted(every, candidates).withColumnRenamed("n", "u"), "feature", "left")
+    p, u = F.col("p") / linear.UNIT, F.coalesce("u", F.lit(0)) / linear.UNIT
     # how far a feature's share among positives is above what its share among all would give
-    chance = (F.col("p") + F.col("u")) * (n_p / (n_p + n_u))
-    above = (F.col("p") - chance) / F.sqrt(chance * (n_u / (n_p + n_u)) + 1e-9)
-    table = table.filter((F.col("p") >= LEAST) & (above >= DEVIATIONS)).orderBy(F.desc(above), "feature").limit(FEATURES)
-    names = [bytes(r.feature) for r in table.select("feature").collect()]
+    chance = (p + u) * (n_p / (n_p + n_u))
+    above = (p - chance) / F.sqrt(chance * (n_u / (n_p + n_u)) + 1e-9)
+    names = sorted(bytes(r.feature) for r in table.filter(above >= DEVIATIONS).select("feature").collect())
     if not names:
         return Model({}, math.log(min(prior, 0.05) / (1 - min(prior, 0.05))), prior)
     place = _Shared(spark, {f: i for i, f in enumerate(names)})
 
     def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = place.value
+        own, found = place.value, _Found(place.value)
         for batch in batches:
-            found = [sorted(own[f] for f in _held(t) if f in own) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), batch.column(1)], ["found", "positive"])
-
-    # examples without any feature are alike and only counted; the order of the others is made the same on every run
-    hits = texts.mapInArrow(find, "found array<int>, positive boolean").groupBy("found", "positive").agg(F.count("*").alias("n")).orderBy("found", "positive").toArrow()
-    found, many = hits["found"].combine_chunks(), hits["n"].to_numpy()
-    sizes, flat = np.diff(found.offsets.to_numpy()), found.flatten().to_numpy().astype(np.int64)
-    begins, n_rows = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(many)), many)
-    rows = np.repeat(np.arange(len(n_rows)), sizes[n_rows])
-    cols = flat[np.repeat(begins[n_rows], sizes[n_rows]) + np.arange(len(rows)) - np.repeat(np.cumsum(sizes[n_rows]) - sizes[n_rows], sizes[n_rows])]
-    w, b = fit(rows, cols, hits["positive"].to_numpy(zero_copy_only=False)[n_rows], len(names), prior)
-    return Model({f: float(x) for f, x in zip(names, w, strict=True) if abs(x) > 1e-3}, b, prior)
-
-
-def _tally(got: tuple[Counter, Counter]) -> pa.RecordBatch:
-    u, p = got
-    names = [*p, *(f for f in u if f not in p)]
-    out = pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array([p[f] for f in names], pa.int64()), pa.array([u[f] for f in names], pa.int64())], ["feature", "p", "u"])
-    p.clear(), u.clear()
-    return out
+            lists = [sorted(own[f] for f in found(t)) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(lists, pa.list_(pa.int32())), *batch.columns[1:]], ["places", "worth", "class"])
+
+    texts = every.withColumn("class", F.lit(0)).unionByName(toxic.withColumn("class", F.lit(1)))
+    # examples with the same features are alike: their weights are summed
+    alike = texts.mapInArrow(find, "places array<int>, worth long, class int").groupBy("places", "class").agg((F.sum("worth") / linear.UNIT).alias("weight"))
+    alike = alike.select("places", F.transform("places", lambda x: F.lit(1.0).cast("float")).alias("shares"), "class", F.lit(0.0).alias("target"), "weight")
+    w, b = fit(linear.Batch(written(alike, "toxic-examples"), len(names), loss, local), n_u, n_p, prior)
+    return Model(dict(zip(names, w.tolist(), strict=True)), b, prior)
 
 
 def scored(docs: DataFrame, model: Model, name: str = "toxicity") -> DataFrame:
@@ -196,4 +236,5 @@ def judged(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) ->
 
 def reject(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without those scored ``threshold`` or higher, with the same columns."""
-    return scored(docs, train(docs, labels), "_toxicity").filter(F.col("_toxicity") < threshold).drop("_toxicity")
+    (name,) = free(docs, "toxicity")
+    return scored(docs, train(docs, labels), name).filter(F.col(name) < threshold).drop(name)

@@ -18,6 +18,17 @@ def test_sampled_ids_are_those_with_the_smallest_hashes(spark):
     assert C.sample_ids(ids, 10_000).count() == 5000 and C.sample_ids(ids.limit(0), 5).count() == 0
 
 
+def test_repeated_ids_make_no_sample_smaller(spark):
+    for n, rows in ((4000, 25_000), (9, 30_000), (1, 120_000), (6000, 60_000)):
+        ids = spark.range(rows).select((F.col("id") % n).alias("doc_id"))
+        assert sorted(r.doc_id for r in C.sample_ids(ids, 5000).collect()) == sorted(r.doc_id for r in spark.range(n).selectExpr("id doc_id").orderBy(F.xxhash64("doc_id")).limit(5000).collect())
+
+
+def test_free_names_and_columns(spark):
+    df = spark.range(1).selectExpr("id as `a.b`", "id as x", "id as X_")
+    assert C.free(df, "x", "y", "x") == ["x__", "y", "x___"] and df.select(*C.columns(df)).columns == df.columns
+
+
 def test_words():
     text = "A\x1cB É\x85x\xa0y z\x0b\x0c\r\n\t w"
     assert [w.decode() for w in C.words_of(text)] == re.findall(C.WORD_PATTERN, re.sub("[A-Z]", lambda m: m[0].lower(), text))

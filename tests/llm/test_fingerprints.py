@@ -61,10 +61,75 @@ def test_next_document_against_brute_force(spark):
         assert (r.near_edited, r.near_next) == (fp.likeness(own, changed), fp.likeness(own, nxt))
 
 
+def test_hot_ids_are_dealt_out_by_their_texts(spark, monkeypatch):
+    """Half of the ids are null and a third are one id: every row still meets the next one, in tasks of about as many rows each."""
+    rows = [(None, f"null {k} text", "a") for k in range(300)] + [(7, f"seven {k}", "a") for k in range(200)] + [(k, f"id {k}", "a") for k in range(100) if k != 7] + [(7, "same", "a")] * 5
+    docs = table(spark, rows)
+    monkeypatch.setattr(fp, "partitions", lambda *_: 16)
+    out = fp.edited_against_next(docs)
+    got = out.collect()
+    sizes = [n for n in out.rdd.mapPartitions(lambda p: [sum(1 for _ in p)]).collect() if n]
+    assert len(got) == len(rows) and max(sizes) < 0.2 * len(rows)
+    hashes = {r.text: r.h for r in docs.selectExpr("text", "xxhash64(text) h").collect()}
+    order = sorted(rows, key=lambda r: (-(r[0] if r[0] is not None else -(10**9)), -hashes[r[1]]))
+    want = []
+    for k, (i, text, _) in enumerate(order):
+        half, after = len(text) // 2, order[(k + 1) % len(order)][1]
+        want.append((i, hashlib.sha256((text[: len(text) - half] + after[:half]).encode()).hexdigest()))
+    assert sorted(want, key=str) == sorted(((r.doc_id, r.edited_sha256) for r in got), key=str)
+
+
+def brute_level(s: list[int], wide: bool) -> list[int]:
+    """One level of the parse, symbol by symbol, for one text."""
+    mask, a, b, c = (1 << 64) - 1, 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
+
+    def mix(x):
+        x ^= x >> 30
+        x = x * b & mask
+        x ^= x >> 27
+        x = x * c & mask
+        return x ^ x >> 31
+
+    runs = []
+    for x in s:
+        if runs and runs[-1][0] == x:
+            runs[-1][1] += 1
+        else:
+            runs.append([x, 1])
+    s = [x if n == 1 else mix(x + n * a & mask) if wide else x | (n * a & mask) >> 53 << 21 for x, n in runs]
+
+    def coin(own, left):
+        low = own ^ left
+        k = (low & -low).bit_length() - 1
+        return 2 * k + (own >> k & 1)
+
+    first = [coin(x, s[k - 1]) if k else s[0] & 1 for k, x in enumerate(s)]
+    labels = [coin(x, first[k - 1] if k else x ^ 1) for k, x in enumerate(first)]
+    cuts = [k for k in range(len(s)) if k == 0 or k < len(s) - 1 and labels[k - 1] < labels[k] > labels[k + 1]]
+    out = []
+    for begin, end in zip(cuts, [*cuts[1:], len(s)]):
+        name = sum(x * int(fp._FACTOR[k & 63]) for k, x in enumerate(s[begin:end])) & mask
+        out.append(mix(name ^ (end - begin) * c & mask))
+    return out
+
+
+def test_parse_against_brute_force():
+    rng = random.Random(9)
+    for text in [prose(1, 60), "aaaa", "ab" * 50, "x", "日本語" * 9 + "aab", *("".join(rng.choices("abé ", k=rng.randint(1, 200))) for _ in range(60))]:
+        s, slow = np.frombuffer(text.encode("utf-32-le"), np.uint32), [ord(x) for x in text]
+        first = np.zeros(len(s), bool)
+        first[0] = True
+        for level in range(3):
+            s, first = fp.parse(s, first)
+            slow = brute_level(slow, level > 0)
+            assert s.tolist() == slow
+
+
 def test_odd_rows(odd, none):
     got = fp.edited_against_next(odd).collect()
     assert len(got) == odd.count() and all(r.fingerprint and r.near_edited is not None for r in got)
     assert fp.edited_against_next(none).count() == 0
     lone = fp.edited_against_next(odd.filter("doc_id = 1")).collect()
     assert len(lone) == 1 and lone[0].near_next == 1.0
-    assert fp.with_fingerprint(odd).filter("fingerprint is null").count() == 0
+    marked = fp.with_fingerprint(fp.with_fingerprint(odd))
+    assert marked.columns == [*odd.columns, "fingerprint"] and marked.filter("fingerprint is null").count() == 0

@@ -2,10 +2,11 @@ from __future__ import annotations
 
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tests_llm_tools import prose, table
 
 from rankmesh.llm import mixing
@@ -28,13 +29,26 @@ def refilled(sizes, weights, total, most=3):
     return out
 
 
-def test_share():
+def test_targets(spark):
     rng = random.Random(1)
-    for _ in range(200):
+    for _ in range(12):
         n = rng.randint(1, 9)
         sizes = [rng.choice([0, 1, 10, 500, 3000]) for _ in range(n)]
-        weights = [1 + k % 3 for k in range(n)]
-        assert mixing.share(sizes, weights, sum(sizes)) == pytest.approx(refilled(sizes, weights, sum(sizes)))
+        names = sorted(rng.sample(["a", "B", "é", "", "zz", "日", "b", "A", "0", "~"], n - 1)) + [None]
+        rows = spark.createDataFrame(list(zip(names, sizes, strict=True)), "source string, words long").repartition(3)
+        got = {r.source: r.target for r in mixing.targets(rows).collect()}
+        assert [got[s] for s in names] == pytest.approx(refilled(sizes, [1 + k % 3 for k in range(n)], sum(sizes)))
+
+
+def test_very_many_sources(spark):
+    """Every row is a source of its own; none reaches the driver."""
+    n = 100_000
+    rows = spark.range(n).selectExpr("cast(id as string) source", "id % 7 words")
+    names = sorted(map(str, range(n)))
+    sizes = [int(s) % 7 for s in names]
+    got = mixing.targets(rows).toPandas().set_index("source").loc[names]
+    want = refilled(sizes, [1 + k % 3 for k in range(n)], sum(sizes))
+    assert np.allclose(got.target, want) and got.target.sum() == pytest.approx(sum(sizes))
 
 
 @pytest.mark.parametrize("alike", [True, False])
@@ -83,6 +97,39 @@ def test_reruns_agree_however_rows_are_dealt_out(docs):
     assert a == b
 
 
+def test_reruns_agree_on_repeated_ids(spark):
+    """Several texts of each id, and rows that occur again."""
+    rng = random.Random(5)
+    rows = [(i // 2, prose(i if i % 5 else 7, rng.choice([20, 20, 40])), rng.choice("ab")) for i in range(400)]
+    docs = table(spark, rows + rows[:60] + [(3, "same text", "a")] * 500)
+    got = [sorted((r.doc_id, r.key, r.copies) for r in mixing.plan(docs.repartition(n), leaf=32, fan=4).collect()) for n in (1, 2, 5, 7)]
+    assert got[0] == got[1] == got[2] == got[3] and len(got[0]) == 960
+    keys = Counter((i, k) for i, k, _ in got[0])
+    assert keys.most_common(1)[0][1] == 500
+    alike = [c for i, k, c in got[0] if (i, k) == keys.most_common(1)[0][0]]
+    assert max(alike) - min(alike) <= 1
+
+
+def test_rows_alike_are_dealt_out_by_count(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SPAN", 16)
+    docs = table(spark, [(1, "a b c", "s")] * 300 + [(k, prose(k, 10), "t") for k in range(2, 60)]).withColumn("n_chars", F.monotonically_increasing_id()).cache()
+    plan = mixing.plan(docs, leaf=8).cache()
+    assert plan.count() == docs.count()
+    copies = [r.copies for r in plan.filter("doc_id = 1").collect()]
+    assert len(copies) == 300 and max(copies) - min(copies) <= 1
+    assert abs(3 * sum(copies) - plan.filter("doc_id = 1").first().target) <= 30
+    out = mixing.apply(docs, plan).filter("doc_id = 1").groupBy("n_chars").count().collect()
+    each = [r["count"] for r in out] + [0] * (300 - len(out))
+    assert sum(each) == sum(copies) and max(each) - min(each) <= 1
+
+
+def test_callers_columns_survive(spark):
+    docs = spark.createDataFrame([(k, f"w{k} x y", "s", f"i{k}", f"k{k}", k, 2 * k) for k in range(30)], "doc_id long, text string, source string, _id string, _key string, _n long, `id` long").withColumn("copies", F.lit("c"))
+    out = mixing.apply(docs, mixing.plan(docs))
+    assert out.columns == docs.columns
+    assert {tuple(r) for r in out.collect()} <= {tuple(r) for r in docs.collect()}
+
+
 def test_apply_repeats_whole_rows(docs):
     plan = mixing.plan(docs, leaf=32).cache()
     out = mixing.apply(docs, plan)

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from tests_llm_tools import prose, table
 
+from rankmesh.llm import linear
 from rankmesh.llm import quality as Q
 
 
@@ -52,12 +53,60 @@ def test_estimates_come_near_the_truth():
 
 def test_traits():
     t = Q.Traits.of("AB cd\ncd CD!! é### x.")
-    assert (t.words, t.shouts, t.repeats, t.distinct, t.same_lines) == (6, 1 / 6, 1 / 6, 5 / 6, 0)
+    assert (t.words, t.shouts, t.repeats, t.distinct, t.same_lines) == (6, 1 / 6, 1 / 6, 5 / (0.634 * 6**0.75), 0)
     assert t.upper == 4 / 9 and t.marked == 1 / 6 and t.closed == 2 / 6 and t.top == 2 / 6
     assert Q.Traits.of("").words == 0 and Q.votes("") == 1 << list(Q.LABELLERS).index("empty")
     assert Q.shape("Wörld's12###") == "Aaa'a00##"
 
 
+def test_fit_against_brute_force(spark):
+    """Logistic regression with soft targets, example by example."""
+    rng = random.Random(4)
+    rows = []
+    for _ in range(60):
+        places = sorted(rng.sample(range(6), rng.randint(0, 4)))
+        target = rng.choice([0.02, 0.3, 0.9, 0.99])
+        rows.append((places, [rng.choice([0.25, 0.5, 1.0]) for _ in places], int(target > 0.5), target, 1.0))
+    n = [sum(r[2] == k for r in rows) for k in (0, 1)]
+    w, b, m, v = np.zeros(6), 0.0, np.zeros(7), np.zeros(7)
+    for t in range(1, Q.EPOCHS + 1):
+        g = np.zeros(7)
+        for places, shares, kind, target, _ in rows:
+            d = 0.5 / n[kind] * (1 / (1 + np.exp(-(b + sum(w[p] * s for p, s in zip(places, shares, strict=True))))) - target)
+            for p, s in zip(places, shares, strict=True):
+                g[p] += d * s
+            g[6] += d
+        g[:6] += Q.DECAY * w
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        move = Q.RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+        w, b = w - move[:6], b - move[6]
+    df = spark.createDataFrame(rows, linear.SCHEMA)
+    got = Q.fit(linear.Batch(df, 6, Q.loss))
+    assert np.allclose(got[0], w, atol=1e-3) and abs(got[1] - b) < 1e-3
+
+
+def test_the_executors_sums_are_the_drivers(data, monkeypatch):
+    docs, _ = data
+    monkeypatch.setattr(Q, "EPOCHS", 15)
+    a, b = (Q.train(docs.repartition(n), local=local) for n, local in ((3, 10**9), (5, 0)))
+    assert (a.weights == b.weights).all() and a.offset == b.offset and a.weights.any()
+
+
+def test_variety_at_every_length():
+    """No length switches the labeller off."""
+    flag = Q.LABELLERS["variety"]
+    words = [f"w{k}" for k in range(20_000)]
+    for n in (6, 20, 300, 2000, 20_000):
+        assert not flag(Q.Traits.of(" ".join(words[:n]))) and flag(Q.Traits.of(" ".join(words[:2] * (n // 2))))
+
+
+def test_callers_columns_survive(odd):
+    docs = odd.withColumnRenamed("fp", "_text").withColumnRenamed("ids", "_0").withColumnRenamed("row", "pattern")
+    out = Q.reject(docs)
+    rows = list(map(str, docs.collect()))
+    assert out.columns == docs.columns and all(str(r) in rows for r in out.collect())
+
+
 def test_odd_rows(odd, none):
     got = Q.judged(odd).collect()
     assert len(got) == odd.count() and all(0 <= r.score <= 1 for r in got)

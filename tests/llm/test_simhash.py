@@ -87,6 +87,39 @@ def test_groups_against_brute_force(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(groups_of(rows, brute).values()))
 
 
+def test_a_crowded_key_of_42_bits(spark, monkeypatch):
+    """Thousands of fingerprints that agree in 42 bits: no task meets more than a part, and no link is lost."""
+    rng = np.random.default_rng(7)
+    mask = S.masks(S.FINE)[5]
+    rest = [b for b in range(64) if not mask >> b & 1]
+    fps = np.zeros(3000, np.uint64)
+    for b in rest:
+        fps |= rng.integers(0, 2, 3000).astype(np.uint64) << np.uint64(b)
+    fps = np.unique(fps | np.uint64(0xABCDEF0123456789 & mask % (1 << 64)))
+    met, near = [], S.near
+    monkeypatch.setattr(S, "near", lambda x, *a: (met.append(len(x)), near(x, *a))[1])
+    rows = [(m, int(np.int64(np.uint64(f)) & np.int64(m)), int(np.int64(f))) for m in S.finest(mask) for f in fps.view(np.int64)]
+    rows.sort()
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], ["mask", "key", "fp"])
+    place = {int(f): k for k, f in enumerate(fps.view(np.int64))}
+    got = [(place[a], place[b]) for out in S._link(True)([batch]) for a, b in zip(out.column(0).to_pylist(), out.column(1).to_pylist(), strict=True)]
+    pairs = np.argwhere(np.triu(np.bitwise_count(fps[:, None] ^ fps) <= 3, 1))
+    assert joined(len(fps), got) == joined(len(fps), pairs) and max(met) < len(fps) / 40
+    assert all(64 - bin(m % (1 << 64)).count("1") <= 12 for x in S.masks(S.FINE) for m in S.finest(x))
+    monkeypatch.undo()
+    prints = spark.createDataFrame([(int(f),) for f in fps.view(np.int64)], "fp long")
+    found = [(place[r.a], place[r.b]) for r in S.links(prints, 200).collect()]
+    assert joined(len(fps), found) == joined(len(fps), pairs)
+
+
+def test_callers_columns_survive(spark):
+    docs = spark.createDataFrame([(k, f"text {k % 9} of words", f"i{k}", f"k{k}", k) for k in range(30)], "doc_id long, text string, _id string, _key string, id long").withColumnRenamed("id", "key")
+    out = S.one_of_each(docs)
+    assert out.columns == docs.columns and {tuple(r) for r in out.collect()} <= {tuple(r) for r in docs.collect()} and out.count() == 9
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(35)] + [(100 + k, 101 + k) for k in range(40)] + [(7, None)]

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import math
 import random
 import zlib
 
@@ -7,6 +8,7 @@ import numpy as np
 import pytest
 from tests_llm_tools import prose, table
 
+from rankmesh.llm import linear
 from rankmesh.llm import toxicity as T
 
 
@@ -50,17 +52,72 @@ def test_held_out_labels_are_not_used(data):
     assert a.weights == b.weights and a.offset == b.offset
 
 
-def test_risk():
+def examples(spark, rows):
+    return spark.createDataFrame(rows, linear.SCHEMA)
+
+
+def slow_fit(rows, n, prior):
+    """The same descent, example by example."""
+    w, b = np.zeros(n), math.log(prior / (1 - prior))
+    m, v = np.zeros(n + 1), np.zeros(n + 1)
+    n_u, n_p = (sum(r[4] for r in rows if r[2] == k) for k in (0, 1))
+    for t in range(1, T.EPOCHS + 1):
+        risk, pu, pp = 0.0, np.zeros(n + 1), np.zeros(n + 1)
+        for places, _, positive, _, weight in rows:
+            s = 1 / (1 + math.exp(-(b + sum(w[k] for k in places))))
+            g = np.zeros(n + 1)
+            g[[*places, n]] = weight * s * (1 - s)
+            if positive:
+                risk, pp = risk - prior * weight * s / n_p, pp + g / n_p
+            else:
+                risk, pu = risk + weight * s / n_u, pu + g / n_u
+        g = pu - 2 * prior * pp if risk >= 0 else prior * pp - pu
+        g[:-1] += T.DECAY * w
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        move = T.RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-10)
+        w, b = w - move[:-1], b - move[-1]
+    return w, b
+
+
+def test_fit_against_brute_force(spark):
+    """Many documents with one feature are confirmed, so that the unlabelled part's risk goes below zero, too."""
+    rng = random.Random(4)
+    rows = [(sorted(rng.sample(range(5), rng.randint(0, 3))), 0, 0.0, float(rng.choice([1, 1, 7]))) for _ in range(60)]
+    rows += [(sorted({0, rng.randrange(5)}), 1, 0.0, 1.0) for _ in range(25)]
+    rows = [(p, [1.0] * len(p), k, t, x) for p, k, t, x in rows]
+    n_u, n_p = (sum(r[4] for r in rows if r[2] == k) for k in (0, 1))
+    for prior in (0.1, 0.4):
+        w, b = T.fit(linear.Batch(examples(spark, rows), 5, T.loss), n_u, n_p, prior)
+        slow = slow_fit(rows, 5, prior)
+        assert np.allclose(w, slow[0], atol=2e-2) and abs(b - slow[1]) < 2e-2
+
+
+def test_risk(spark):
     # a feature of all positives and of the positives among the unlabelled, and one of everything
     rng = np.random.default_rng(1)
-    positive = np.arange(600) < 200
-    has = positive | (rng.random(600) < 0.2)
-    rows = np.concatenate([np.flatnonzero(has), np.arange(600)])
-    cols = np.concatenate([np.zeros(has.sum(), int), np.ones(600, int)])
-    w, b = T.fit(rows, cols, positive, 2, 0.2)
+    rows = [([0, 1] if k < 200 or rng.random() < 0.2 else [1], [1.0] * 2, int(k < 200), 0.0, 1.0) for k in range(600)]
+    rows = [(p, s[: len(p)], *rest) for p, s, *rest in rows]
+    w, b = T.fit(linear.Batch(examples(spark, rows), 2, T.loss), 400, 200, 0.2)
     assert w[0] + w[1] + b > 2 and w[1] + b < -1
 
 
+def test_the_executors_sums_are_the_drivers(data, monkeypatch):
+    docs, labels, _ = data
+    monkeypatch.setattr(T, "EPOCHS", 15)
+    a, b = (T.train(docs.repartition(n), labels, local) for n, local in ((3, 10**9), (5, 0)))
+    assert a.weights == b.weights and a.offset == b.offset and a.weights
+
+
+def test_very_frequent_copies_count_once(spark, data):
+    """A third of the documents are copies of one clean text, and as many of one toxic text."""
+    docs, labels, known = data
+    extra = table(spark, [(10_000 + k, "one clean text " + prose(1, 30), "a") for k in range(1500)] + [(20_000 + k, "vilewort " + prose(2, 30), "a") for k in range(1500)])
+    got = {r.doc_id: r for r in T.judged(docs.unionByName(extra), labels).collect()}
+    held = [(got[i].predicted, toxic) for i, _, toxic in known if got[i].held_out]
+    assert sum(p for p, t in held if t) >= 0.9 * sum(t for _, t in held) and sum(p for p, t in held if not t) <= 0.01 * len(held)
+    assert all(not r.predicted for i, r in got.items() if 10_000 <= i < 20_000) and all(r.predicted for i, r in got.items() if i >= 20_000)
+
+
 def test_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(1, 1, 1), (1, 1, 0), (2, 0, None), (None, None, 1), (7, None, 0), (5, 1, 0)], "doc_id long, quality int, toxic int")
     for known in (labels, labels.limit(0), labels.filter("toxic = 0")):
@@ -71,7 +128,12 @@ def test_odd_rows(spark, odd, none):
     assert T.reject(odd, labels.limit(0)).count() == odd.count()
 
 
-def test_training_bounds_are_not_cut():
-    from rankmesh.llm import toxicity
+def test_callers_columns_survive(spark, odd):
+    docs = odd.withColumnRenamed("fp", "toxicity").withColumnRenamed("ids", "_toxicity")
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    out = T.reject(docs, labels)
+    assert out.columns == docs.columns and sorted(map(str, out.collect())) == sorted(map(str, docs.collect()))
 
-    assert (toxicity.POSITIVES, toxicity.UNLABELLED) == (20_000, 40_000) and not hasattr(toxicity, "IMPLIED")
+
+def test_training_bounds_are_not_cut():
+    assert T.POSITIVES == 20_000 and not hasattr(T, "UNLABELLED") and not hasattr(T, "IMPLIED") and not hasattr(T, "FEATURES")
