@@ -14,6 +14,7 @@ import math
 import struct
 import uuid
 from collections.abc import Iterable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,8 @@ UNKNOWN_PENALTY = 10.0
 UNUSABLE = -1e6
 #: Scores are added as whole millionths, so that sums, and ties, don't hang on the order of adding.
 MICRO = 1e6
+#: Characters between two looks at whether all paths meet.
+LOOK = 32
 #: Words whose ids a worker keeps, and as many older ones.
 CACHE = 250_000
 
@@ -55,17 +58,27 @@ class Vocabulary:
         self.unknown = min(self.score.values(), default=0.0) - UNKNOWN_PENALTY
         self.whole_unknown = round(MICRO * self.unknown)
         self.longest = max(map(len, self.score), default=1)
-        #: every beginning of a piece -> (whole score, id) of the piece that it is, or None
-        self.begins: dict[str, tuple[float, int] | None] = {}
-        for p, i in self.id.items():
-            for n in range(1, len(p)):
-                self.begins.setdefault(p[:n], None)
-            self.begins[p] = (round(MICRO * self.score[p]), i)
+        #: whole score and id of each piece
+        self.whole = {p: (round(MICRO * self.score[p]), i) for p, i in self.id.items()}
         #: no piece has a space mark but at its beginning: then a boundary lies before each one
         self.by_word = all(SPACE not in p[1:] for p in self.score)
         #: what each id decodes to
         self.raw = [bytes([self.bytes.index(i)]) if k == "byte" else p.replace(SPACE, " ").encode() if k == "normal" else b"" for i, (p, k) in enumerate(zip(pieces, kinds, strict=True))]
 
+    @cached_property
+    def trie(self) -> dict:
+        """Character -> (further characters, whole score or None, id). Each worker builds its own."""
+        out: dict = {}
+        for p, (score, i) in sorted(self.whole.items()):
+            node = out
+            for c in p[:-1]:
+                node = node.setdefault(c, ({}, None, -1))[0]
+            node[p[-1]] = (node.get(p[-1], ({},))[0], score, i)
+        return out
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "trie"}
+
 
 def load(path: str = MODEL) -> Vocabulary:
     """Read a model file on the driver; workers get the vocabulary, whose size the file fixes, by broadcast."""
@@ -80,52 +93,74 @@ def load(path: str = MODEL) -> Vocabulary:
     return Vocabulary([m.id_to_piece(i) for i in ids], scores, kinds, bpe)
 
 
-def segment(v: Vocabulary, s: str) -> Iterator[tuple[int, int]]:
-    """Best segmentation of ``s`` as (begin, end) of each piece, in order, given out as it is settled.
+def segment(v: Vocabulary, s: str) -> Iterator[list[tuple[int, int, int]]]:
+    """Best segmentation of ``s``: lists of (begin, end, id or -1) in order, each given out as soon as it is settled.
 
-    Of equal scores the one with the longest last piece wins. A character that is
-    no piece makes a piece of its own.
+    Scores and back pointers are held from the last settled boundary on. A boundary
+    is settled when all paths that may still go on meet in it: at once where no piece
+    reaches beyond it, and else when their back pointers are followed, every 64
+    characters at first. Of equal scores the one with the shortest last piece wins, so that
+    paths through a run of one character have all but their ends in common. A
+    character that is no piece makes a piece of its own.
     """
-    n, done, floor, get, unknown = len(s), 0, float("-inf"), v.begins.get, v.whole_unknown
-    # scores are kept for the positions from i to i + the longest piece, in a ring
-    ring = v.longest + 1
-    best, back = [floor] * ring, {0: 0}
-    best[0] = 0.0
+    n, trie, unknown, longest = len(s), v.trie, v.whole_unknown, v.longest
+    floor, pad = float("-inf"), longest + 2 * LOOK
+    # position ``base`` is settled; the lists hold what is known of base, base + 1, ...
+    base, reach, next_look, room = 0, 0, LOOK, min(n, pad) + 1
+    best, back, piece = [floor] * room, [0] * room, [-1] * room
+    best[0] = 0
     for i in range(n):
-        at, best[i % ring] = best[i % ring], floor
-        single = False
-        for j in range(i + 1, n + 1):
-            hit = get(s[i:j], 0)
+        k = i - base
+        if i >= next_look:
+            meet = i if reach == i else _meet(best, back, base, i, reach)
+            if meet > base:
+                yield _trace(back, piece, base, meet)
+                k, cut = i - meet, meet - base
+                best, back, piece, base = best[cut:], back[cut:], piece[cut:], meet
+                room -= cut
+            next_look = i + max(LOOK, (i - base) // 2)  # paths that won't meet aren't followed again and again
+        if room <= k + longest and room <= n - base:
+            best += [floor] * pad
+            back += [0] * pad
+            piece += [-1] * pad
+            room += pad
+        at = best[k]
+        end, node = k + 1, trie
+        if at + unknown >= best[end]:
+            best[end], back[end], piece[end] = at + unknown, i, -1
+        for j, c in enumerate(s[i : i + longest], end):
+            hit = node.get(c)
             if hit is None:
-                continue
-            if hit == 0:
                 break
-            single |= j == i + 1
-            if at + hit[0] > best[j % ring]:
-                best[j % ring], back[j] = at + hit[0], i
-        if not single and at + unknown > best[(i + 1) % ring]:
-            best[(i + 1) % ring], back[i + 1] = at + unknown, i
-        if i & 63 == 63:  # do all live paths meet?
-            live = {j for j in range(i + 1, min(i + ring, n + 1)) if best[j % ring] > floor}
-            while len(live) > 1:
-                top = max(live)
-                live.discard(top)
-                live.add(back[top])
-            meet = live.pop()
-            if meet > done:
-                yield from _trace(back, done, meet)
-                back = {k: b for k, b in back.items() if k >= meet}
-                done = meet
-    if n > done:
-        yield from _trace(back, done, n)
-
-
-def _trace(back: dict[int, int], begin: int, end: int) -> Iterator[tuple[int, int]]:
-    path = [end]
-    while path[-1] > begin:
-        path.append(back[path[-1]])
-    path.reverse()
-    return zip(path, path[1:])
+            node, score, own = hit
+            if score is not None:
+                end = j
+                if at + score >= best[j]:
+                    best[j], back[j], piece[j] = at + score, i, own
+        if base + end > reach:
+            reach = base + end
+    if n > base:
+        yield _trace(back, piece, base, n)
+
+
+def _meet(best: list[float], back: list[int], base: int, i: int, reach: int) -> int:
+    """The last boundary that all paths through the positions from i to reach have in common."""
+    live = {j for j in range(i, reach + 1) if best[j - base] > float("-inf")}
+    while len(live) > 1:
+        top = max(live)
+        live.discard(top)
+        live.add(back[top - base])
+    return live.pop()
+
+
+def _trace(back: list[int], piece: list[int], base: int, end: int) -> list[tuple[int, int, int]]:
+    out = []
+    while end > base:
+        begin = back[end - base]
+        out.append((begin, end, piece[end - base]))
+        end = begin
+    out.reverse()
+    return out
 
 
 class _Cache(dict):
@@ -148,7 +183,12 @@ class _Cache(dict):
 
 
 class Encoder:
-    """Texts to ids and back, with a cache of words where the vocabulary lets words stand alone."""
+    """Texts to ids and back.
+
+    All ids come from ``segment``. Where no piece spans a space or a line end, every
+    path meets there, so that what is settled between two of them is the same in any
+    text: it is kept, and taken again when the word comes again.
+    """
 
     def __init__(self, v: Vocabulary):
         self.v = v
@@ -156,53 +196,21 @@ class Encoder:
         self.line_end = struct.pack("<i", v.bytes[10])
         self.cache = _Cache(self._word)
 
-        self.trie: dict = {}
-        for p, i in sorted(v.id.items()):
-            node = self.trie
-            for c in p[:-1]:
-                node = node.setdefault(c, ({}, None, -1))[0]
-            node[p[-1]] = (node.get(p[-1], ({},))[0], v.begins[p][0], i)
-
     def _word(self, word: str | tuple[str]) -> bytes:
         """Ids of a word after a space, or of a line end and the word after it, given as a tuple. A space mark in it is spelt in bytes."""
-        head, word = (b"", " " + word) if type(word) is str else (self.line_end, word[0])
-        if SPACE in word:
+        head, word = (b"", SPACE + word) if type(word) is str else (self.line_end, word[0])
+        if SPACE in word[1:] or word[:1] == SPACE and head:
             mark = struct.pack("<3i", *(self.v.bytes[b] for b in SPACE.encode()))
-            return head + mark.join(self._ids(w.replace(" ", SPACE)) for w in word.split(SPACE))
-        return head + self._ids(word.replace(" ", SPACE))
-
-    def _short(self, s: str) -> bytes:
-        """As ``_ids``, for a string so short that nothing need be settled early."""
-        n, trie, unknown = len(s), self.trie, self.v.whole_unknown
-        best, back, piece = [float("-inf")] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
-        best[0] = 0
-        for i in range(n):
-            at = best[i]
-            if at + unknown > best[i + 1]:
-                best[i + 1], back[i + 1], piece[i + 1] = at + unknown, i, -1
-            node = trie
-            for j, c in enumerate(s[i:], i + 1):
-                hit = node.get(c)
-                if hit is None:
-                    break
-                node, score, k = hit
-                if score is not None and at + score > best[j]:
-                    best[j], back[j], piece[j] = at + score, i, k
-        out: list[int] = []
-        while n:
-            i = back[n]
-            out += [piece[n]] if piece[n] >= 0 else [self.v.bytes[b] for b in reversed(s[i:n].encode("utf-8", "surrogatepass"))]
-            n = i
-        return struct.pack(f"<{len(out)}i", *reversed(out))
+            first, *rest = word[not head :].split(SPACE)
+            return head + mark.join([self._ids(first if head else SPACE + first), *map(self._ids, rest)])
+        return head + self._ids(word)
 
     def _ids(self, s: str) -> bytes:
-        if len(s) <= 64:
-            return self._short(s)
         out: list[int] = []
-        for i, j in segment(self.v, s):
-            k = self.v.id.get(s[i:j])
-            out += [k] if k is not None else [self.v.bytes[b] for b in s[i:j].encode("utf-8", "surrogatepass")]
-        return np.array(out, "<i4").tobytes()
+        for settled in segment(self.v, s):
+            for i, j, k in settled:
+                out += [k] if k >= 0 else [self.v.bytes[b] for b in s[i:j].encode("utf-8", "surrogatepass")]
+        return struct.pack(f"<{len(out)}i", *out)
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian int32. An empty text has none. A space mark in the text is spelt in bytes."""
