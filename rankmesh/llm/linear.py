@@ -1,29 +1,34 @@
-"""Linear models fitted by full batches, whose gradients are summed over executors.
+"""Linear models fitted by batches, whose gradients are summed over executors.
 
 An example has features (places in the weight vector, each with a share), a class,
 a target and a weight. Each step needs, for each class, the sum of its examples'
-values and gradients. What an example adds is a whole number of ``1 / UNIT``, so
-that sums are exact: they don't hang on how examples are dealt out, and few
-examples may be summed on the driver and many on the executors with the same
-result to the last bit.
+values, gradients and weights. What an example adds is a whole number of
+``1 / UNIT``, so that sums are exact: they don't hang on how examples are dealt out,
+and few examples may be summed on the driver and many on the executors with the
+same result to the last bit. Very many examples are dealt out to slices, of which
+each step takes one; all are taken in turn.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from rankmesh.llm.common import partitions, shared_dir, written
 from rankmesh.llm.spm import _Shared
 
 #: Rows of examples: places, shares, class (0 or 1), target and weight.
 SCHEMA = "places array<int>, shares array<float>, class int, target double, weight double"
 UNIT = float(1 << 20)
-#: Up to so many features in all examples together, 8 bytes each, the driver sums; beyond, the executors do.
-LOCAL = 4_000_000
+#: Up to so many features in all examples together, 8 bytes each, the driver sums; beyond, the executors do,
+#: and each step takes a slice of about as many, or of one part in ``SLICES`` if that is more.
+LOCAL, SLICES = 4_000_000, 250
 
 #: From scores, targets and classes to values and their derivatives.
 Loss = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
@@ -43,7 +48,7 @@ class Block:
         self.kind, self.target, self.weight = (rows[c].to_numpy(zero_copy_only=False) if isinstance(rows[c], pa.Array) else rows[c].to_numpy() for c in ("class", "target", "weight"))
 
     def sums(self, w: np.ndarray, b: float, loss: Loss) -> tuple[np.ndarray, np.ndarray]:
-        """Sums of values and of derivatives by class, and of gradients by class and place; whole numbers."""
+        """Sums of values, derivatives and weights by class, and of gradients by class and place; whole numbers."""
         full, n = self.sizes > 0, len(self.sizes)
         z = np.full(n, b)
         if full.any():
@@ -53,51 +58,60 @@ class Block:
         each = np.repeat(slope, self.sizes) * self.shares
         np.rint(each, out=each)
         kinds = np.repeat(self.kind, self.sizes)
-        heads = np.stack([np.bincount(self.kind, x, 2)[:2] for x in (value, slope)])
+        heads = np.stack([np.bincount(self.kind, x, 2)[:2] for x in (value, slope, np.rint(self.weight * UNIT))])
         return heads, np.stack([np.bincount(self.places[kinds == k], each[kinds == k], len(w)) for k in (0, 1)])
 
 
 class Batch:
-    """All examples: a function from weights to the sums over them."""
+    """All examples: a function from a step and weights to the sums over the step's examples."""
 
-    def __init__(self, examples: DataFrame, n: int, loss: Loss, local: int = LOCAL):
-        """``examples`` is written already, as it is read at each step."""
-        self.examples, self.n, self.loss = examples, n, loss
+    def __init__(self, examples: DataFrame, n: int, loss: Loss, local: int = LOCAL, always: int | None = None, slices: int | None = None):
+        """``always``: a class whose examples, of which a parameter bounds the number, belong to every slice."""
+        self.n, self.loss = n, loss
+        examples = written(examples, "examples")
         entries = examples.agg(F.sum(F.size("places").cast("long"))).first()[0] or 0
         self.block = Block(examples.toArrow()) if entries <= local else None
-
-    def sums(self, w: np.ndarray, b: float) -> tuple[np.ndarray, np.ndarray]:
+        self.slices = slices or min(max(1, -(-entries // LOCAL)), SLICES)
+        if self.block is None:
+            spark, mark = examples.sparkSession, F.xxhash64("places", "shares", "class", "target")
+            own = F.pmod(mark, F.lit(self.slices)).cast("int")
+            path = f"{shared_dir(spark)}/slices-{uuid.uuid4().hex}"
+            parts = partitions(spark, 8 * entries)
+            dealt = examples.withColumn("slice", own if always is None else F.when(F.col("class") == always, -1).otherwise(own))
+            dealt.repartition(parts, "slice", F.pmod(F.shiftright(mark, 20), F.lit(-(-parts // self.slices)))).write.partitionBy("slice").parquet(path)
+            self.examples = spark.read.schema(T.StructType([*examples.schema.fields, T.StructField("slice", T.IntegerType())])).parquet(path)
+
+    def sums(self, step: int, w: np.ndarray, b: float) -> tuple[np.ndarray, np.ndarray]:
         if self.block:
             return tuple(x / UNIT for x in self.block.sums(w, b, self.loss))
         shared, loss, n = _Shared(self.examples.sparkSession, (w, b)), self.loss, self.n
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own, offset = shared.value
-            heads, grads = np.zeros((2, 2)), np.zeros((2, n))
+            heads, grads = np.zeros((3, 2)), np.zeros((2, n))
             for batch in batches:
                 got = Block(batch).sums(own, offset, loss)
                 heads += got[0]
                 grads += got[1]
             some = np.flatnonzero(grads.any(0))
-            place = np.concatenate([some, [-1, -2]])
             both = [np.concatenate([grads[k, some], heads[:, k]]).astype(np.int64) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([pa.array(place.astype(np.int32)), *map(pa.array, both)], ["place", "g0", "g1"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([some, [-1, -2, -3]]).astype(np.int32)), *map(pa.array, both)], ["place", "g0", "g1"])
 
         # at most one row for each weight reaches the driver
-        rows = self.examples.mapInArrow(run, "place int, g0 long, g1 long").groupBy("place").agg(F.sum("g0").alias("g0"), F.sum("g1").alias("g1")).toArrow()
+        slice_ = self.examples.filter(F.col("slice").isin(-1, step % self.slices)).drop("slice")
+        rows = slice_.mapInArrow(run, "place int, g0 long, g1 long").groupBy("place").agg(F.sum("g0").alias("g0"), F.sum("g1").alias("g1")).toArrow()
         place, both = rows["place"].to_numpy(), np.stack([rows[c].to_numpy() for c in ("g0", "g1")]) / UNIT
-        heads, grads = np.zeros((2, 2)), np.zeros((2, n))
-        heads[0], heads[1] = (both[:, place == k].sum(1) for k in (-1, -2))
+        heads, grads = np.stack([both[:, place == k].sum(1) for k in (-1, -2, -3)]), np.zeros((2, n))
         grads[:, place[place >= 0]] = both[:, place >= 0]
         shared.broadcast.destroy()
         return heads, grads
 
 
-def descend(n: int, offset: float, step: Callable[[np.ndarray, float], np.ndarray], epochs: int, rate: float, floor: float = 1e-10) -> tuple[np.ndarray, float]:
-    """Adam over full batches from zero weights; ``step`` gives the gradient of all weights and, last, of the offset."""
+def descend(n: int, offset: float, gradient: Callable[[int, np.ndarray, float], np.ndarray], steps: int, rate: float, floor: float = 1e-10) -> tuple[np.ndarray, float]:
+    """Adam from zero weights; ``gradient`` gives that of all weights and, last, of the offset."""
     w, b, m, v = np.zeros(n), offset, np.zeros(n + 1), np.zeros(n + 1)
-    for t in range(1, epochs + 1):
-        g = step(w, b)
+    for t in range(1, steps + 1):
+        g = gradient(t, w, b)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g**2
         move = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + floor)
         w, b = w - move[:-1], b - move[-1]

@@ -159,8 +159,8 @@ def hashed(text: str) -> np.ndarray:
 
 
 def loss(z: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """1, so that values add up to the texts of a class, and the slope of the logistic loss with soft targets."""
-    return np.ones(len(z)), linear.sigmoid(z) - target
+    """The logistic loss with soft targets, and its slope."""
+    return np.logaddexp(0, z) - z * target, linear.sigmoid(z) - target
 
 
 def fit(batch: linear.Batch) -> tuple[np.ndarray, float]:
@@ -169,9 +169,9 @@ def fit(batch: linear.Batch) -> tuple[np.ndarray, float]:
     Full batches, exact sums and zero weights at the start, so that equal input gives equal weights.
     """
 
-    def gradient(w: np.ndarray, b: float) -> np.ndarray:
-        heads, grads = batch.sums(w, b)
-        g = (np.concatenate([grads, heads[1][:, None]], 1) * (0.5 / np.maximum(heads[0], 1))[:, None]).sum(0)
+    def gradient(step: int, w: np.ndarray, b: float) -> np.ndarray:
+        heads, grads = batch.sums(step, w, b)
+        g = (np.concatenate([grads, heads[1][:, None]], 1) * (0.5 / np.maximum(heads[2], 1))[:, None]).sum(0)
         g[:-1] += DECAY * w
         return g
 
@@ -225,7 +225,7 @@ def train(docs: DataFrame, sample: int = SAMPLE, local: int = linear.LOCAL) -> M
 
     # the parameter bounds the ids, and so the broadcast
     seen = docs.join(F.broadcast(chosen), F.col("doc_id").eqNullSafe(F.col("chosen"))).select("text").distinct()
-    w, b = fit(linear.Batch(written(seen.mapInArrow(see, linear.SCHEMA), "quality-examples"), 1 << BITS, loss, local))
+    w, b = fit(linear.Batch(seen.mapInArrow(see, linear.SCHEMA), 1 << BITS, loss, local))
     # the fit weighs both classes alike; a text is judged by how common they are
     return Model(w, b + math.log(accuracies.prior / (1 - accuracies.prior)), accuracies)
 

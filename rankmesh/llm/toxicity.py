@@ -11,6 +11,7 @@ difference is not let below zero. Its gradients are summed over executors.
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -25,8 +26,9 @@ from rankmesh.llm.spm import _Shared
 
 #: Confirmed toxic documents that the classifier is fitted on, at most. Unlabelled documents have no bound.
 POSITIVES = 20_000
-#: What a feature needs: confirmed documents, and standard deviations above chance.
-LEAST, DEVIATIONS = 3, 4.0
+#: What a feature needs: confirmed documents, standard deviations above chance, and that it is so many times
+#: as frequent in confirmed documents as in all.
+LEAST, DEVIATIONS, LIFT = 3, 4.0, 2.0
 #: Beginnings of words that are features, in characters. Whole words are features too.
 BEGINNINGS = (4, 5, 6)
 THRESHOLD = 0.3
@@ -69,25 +71,25 @@ def loss(z: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return s, s * (1 - s)
 
 
-def step(w: np.ndarray, values: np.ndarray, grads: np.ndarray, slopes: np.ndarray, n_u: float, n_p: float, prior: float) -> np.ndarray:
+def step(w: np.ndarray, heads: np.ndarray, grads: np.ndarray, prior: float) -> np.ndarray:
     """The gradient of the non-negative risk from sums over unlabelled (0) and positive (1) examples."""
-    whole = np.concatenate([grads, slopes[:, None]], 1) / [[max(n_u, 1)], [max(n_p, 1)]]
-    rest = values[0] / max(n_u, 1) - prior * values[1] / max(n_p, 1)
+    n = np.maximum(heads[2], 1)
+    whole = np.concatenate([grads, heads[1][:, None]], 1) / n[:, None]
+    rest = heads[0, 0] / n[0] - prior * heads[0, 1] / n[1]
     # the gradient of the whole risk, or the way back up where the unlabelled part's risk went below zero
     g = whole[0] - 2 * prior * whole[1] if rest >= 0 else prior * whole[1] - whole[0]
     g[:-1] += DECAY * w
     return g
 
 
-def fit(batch: linear.Batch, n_u: float, n_p: float, prior: float) -> tuple[np.ndarray, float]:
+def fit(batch: linear.Batch, prior: float) -> tuple[np.ndarray, float]:
     """Minimise the non-negative risk over all examples (class 1 is positive, 0 unlabelled).
 
-    Full batches, exact sums and a fixed start, so that equal input gives equal weights.
+    Exact sums and a fixed start, so that equal input gives equal weights.
     """
 
-    def gradient(w: np.ndarray, b: float) -> np.ndarray:
-        heads, grads = batch.sums(w, b)
-        return step(w, heads[0], grads, heads[1], n_u, n_p, prior)
+    def gradient(t: int, w: np.ndarray, b: float) -> np.ndarray:
+        return step(w, *batch.sums(t, w, b), prior)
 
     return linear.descend(batch.n, math.log(prior / (1 - prior)), gradient, EPOCHS, RATE)
 
@@ -110,27 +112,39 @@ def _worth(docs: DataFrame) -> DataFrame:
     return docs.join(often, mark() == F.col("mark"), "left").select("text", worth.alias("worth"))
 
 
-def _counted(rows: DataFrame, places: _Shared | None) -> DataFrame:
-    """Rows (feature, n): the worth of the texts (text, worth) that have it. With ``places``, features of that table only."""
+def _counted(rows: DataFrame, only: _Shared | None = None) -> DataFrame:
+    """Rows (feature, n, texts): the worth of the texts (text, worth) that hold it, once for each different word that has it, and once for each text.
+
+    With ``only``, of that set's features, and texts is left at 0: words are
+    counted first, and their features once for each different word of a task.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[bytes, int] = {}
-        found = None if places is None else _Found(places.value)
+        words: Counter = Counter()
+        texts: Counter = Counter()
+        one = int(linear.UNIT)
+
+        def out() -> pa.RecordBatch:
+            sums: Counter = Counter()
+            for w, n in words.items():
+                for f in features(w):
+                    if only is None or f in only.value:
+                        sums[f] += n
+            got = [pa.array(list(sums), pa.binary()), pa.array(list(sums.values()), pa.int64()), pa.array([texts[f] for f in sums], pa.int64())]
+            words.clear(), texts.clear()
+            return pa.RecordBatch.from_arrays(got, ["feature", "n", "texts"])
+
         for batch in batches:
             for text, worth in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for f in _held(text) if found is None else found(text):
-                    sums[f] = sums.get(f, 0) + worth
-                if len(sums) > 500_000:
-                    yield _sums(sums)
-        yield _sums(sums)
-
-    return rows.mapInArrow(run, "feature binary, n long").groupBy("feature").agg(F.sum("n").alias("n"))
-
+                held = dict.fromkeys(words_of(text), worth)
+                words.update(held)
+                if only is None:
+                    texts.update(dict.fromkeys(_held(text), worth))
+                if len(words) > 500_000:
+                    yield out()
+        yield out()
 
-def _sums(sums: dict[bytes, int]) -> pa.RecordBatch:
-    out = pa.RecordBatch.from_arrays([pa.array(list(sums), pa.binary()), pa.array(list(sums.values()), pa.int64())], ["feature", "n"])
-    sums.clear()
-    return out
+    return rows.mapInArrow(run, "feature binary, n long, texts long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("texts").alias("texts"))
 
 
 class _Found:
@@ -182,16 +196,16 @@ def train(docs: DataFrame, labels: DataFrame, local: int = linear.LOCAL) -> Mode
         return unknown
     every = _worth(docs.select("text"))
     # the features of enough confirmed texts; these, and so the broadcast, follow the bounded sample
-    common = _counted(toxic, None).filter(F.col("n") >= LEAST * int(linear.UNIT)).withColumnRenamed("n", "p")
+    common = _counted(toxic).filter(F.col("texts") >= LEAST * int(linear.UNIT)).select("feature", F.col("n").alias("p"))
     common = written(common, "toxic-features")
     candidates = _Shared(spark, frozenset(bytes(r.feature) for r in common.select("feature").toLocalIterator()))
     n_u = written(every.groupBy("worth").agg(F.count("*").alias("rows")), "toxic-worths").agg(F.sum(F.col("worth") * F.col("rows"))).first()[0] / linear.UNIT
-    table = common.join(_counted(every, candidates).withColumnRenamed("n", "u"), "feature", "left")
+    table = common.join(_counted(every, candidates).select("feature", F.col("n").alias("u")), "feature", "left")
     p, u = F.col("p") / linear.UNIT, F.coalesce("u", F.lit(0)) / linear.UNIT
     # how far a feature's share among positives is above what its share among all would give
     chance = (p + u) * (n_p / (n_p + n_u))
     above = (p - chance) / F.sqrt(chance * (n_u / (n_p + n_u)) + 1e-9)
-    names = sorted(bytes(r.feature) for r in table.filter(above >= DEVIATIONS).select("feature").collect())
+    names = sorted(bytes(r.feature) for r in table.filter((above >= DEVIATIONS) & (p / n_p >= LIFT * u / n_u)).select("feature").collect())
     if not names:
         return Model({}, math.log(min(prior, 0.05) / (1 - min(prior, 0.05))), prior)
     place = _Shared(spark, {f: i for i, f in enumerate(names)})
@@ -206,7 +220,7 @@ def train(docs: DataFrame, labels: DataFrame, local: int = linear.LOCAL) -> Mode
     # examples with the same features are alike: their weights are summed
     alike = texts.mapInArrow(find, "places array<int>, worth long, class int").groupBy("places", "class").agg((F.sum("worth") / linear.UNIT).alias("weight"))
     alike = alike.select("places", F.transform("places", lambda x: F.lit(1.0).cast("float")).alias("shares"), "class", F.lit(0.0).alias("target"), "weight")
-    w, b = fit(linear.Batch(written(alike, "toxic-examples"), len(names), loss, local), n_u, n_p, prior)
+    w, b = fit(linear.Batch(alike, len(names), loss, local, always=1), prior)
     return Model(dict(zip(names, w.tolist(), strict=True)), b, prior)
 
 

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 from itertools import combinations
 
+import numpy as np
 import pytest
 from tests_llm_tools import prose, table
 
@@ -28,14 +29,13 @@ def small():
 
 def spellings(m: L.Spelling, word: str):
     """Every way to cut a word into pieces, with its log probability."""
-    s = "▁" + word
+    s, table = "▁" + word, dict(zip(m.names, m.piece, strict=True))
     for k in range(len(s)):
         for cuts in combinations(range(1, len(s)), k):
             parts = [s[a:b] for a, b in zip((0, *cuts), (*cuts, len(s)))]
             out = m.end
             for n, p in enumerate(parts):
-                table = m.going if n else m.opening
-                if p in table:
+                if p in table and (n == 0 or p[0] != "▁"):
                     out += table[p]
                 elif n and len(p) == 1:
                     out += sum(m.byte[b] for b in p.encode())
@@ -46,32 +46,80 @@ def spellings(m: L.Spelling, word: str):
                 yield parts, out
 
 
-@pytest.mark.parametrize("word", ["", "a", "abc", "aabbc", "éab", "cabcab"])
-def test_marginal_and_expectations_against_all_spellings(small, word):
+def models(small):
     first = L.Spelling.of(small)
-    for m in (first, L.Spelling.learned(small, {("▁a", True): 3.0, ("b", False): 2.0, ("abc", False): 5.0, 195: 1.0}, 4)):
-        every = list(spellings(m, word))
-        want = math.log(sum(math.exp(p) for _, p in every))
-        assert m.log_probability(word) == pytest.approx(want, abs=1e-9)
-        got, expected = Counter(), Counter()
-        m.expect(word, got)
-        for parts, p in every:
-            for n, x in enumerate(parts):
-                keys = [(x, n == 0)] if x in (m.going if n else m.opening) else list(x.encode())
-                for k in keys:
-                    expected[k] += math.exp(p - want)
-        assert set(got) == set(expected) and all(got[k] == pytest.approx(expected[k], abs=1e-9) for k in got)
-
-
-def test_learned_probabilities_sum_to_one(small):
-    m = L.Spelling.learned(small, {("▁a", True): 3.0, ("b", False): 2.0, 65: 1.5}, 7)
-    assert sum(map(math.exp, m.opening.values())) == pytest.approx(1)
-    assert sum(map(math.exp, m.going.values())) + sum(map(math.exp, m.byte)) + math.exp(m.end) == pytest.approx(1)
+    counts = np.zeros(len(first.names) + 256)
+    for key, x in {"▁a": 3.0, "b": 2.0, "abc": 5.0}.items():
+        counts[first.names.index(key)] = x
+    counts[len(first.names) + 195] = 1.0
+    return first, first.learned(counts, 4, first)
+
+
+def test_marginals_and_expectations_against_all_spellings(small, monkeypatch):
+    words = ["", "a", "abc", "aabbc", "éab", "cabcab", "bca", "a", "日b", "a▁ab", "▁"]
+    for spans in (1 << 19, 1):  # the second looks up one position at a time
+        monkeypatch.setattr(L, "SPANS", spans)
+        for m in models(small):
+            every = [list(spellings(m, w)) for w in words]
+            want = [math.log(sum(math.exp(p) for _, p in e)) for e in every]
+            assert m.log_probabilities(words) == pytest.approx(want, abs=1e-9)
+            whole = np.array([-1.0, -np.inf, -3.0, -0.5, -np.inf, -2.0, -9.0, -4.0, -np.inf, -1.5, -2.5])
+            both = [math.log(math.exp(-0.7 + x) + math.exp(y)) for x, y in zip(want, whole, strict=True)]
+            assert m.log_probabilities(words, whole, -0.7) == pytest.approx(both, abs=1e-9)
+            expected = np.zeros(len(m.names) + 256)
+            for e, z in zip(every, want, strict=True):
+                for parts, p in e:
+                    for n, x in enumerate(parts):
+                        for k in [m.names.index(x)] if x in m.names and (n == 0 or x[0] != "▁") else [len(m.names) + b for b in x.encode()]:
+                            expected[k] += math.exp(p - z)
+            assert m.expected(words) == pytest.approx(expected, abs=1e-9)
+
+
+def test_a_documents_score_is_the_sum_over_all_its_segmentations(spark, small):
+    """Brute force over whole documents: every path through whole words and spellings, word boundary by word boundary."""
+    rows = [(i, t, "a") for i, t in enumerate(["ab abc", "a b", "abc abc ab", "c", "ab a ab", "bca é", "", "ab", "a abc b", "cc ab", "abc a", "é"] * 2)]
+    got = {r.doc_id: r.score for r in L.score(table(spark, rows), small).collect()}
+    words = [t.split() for _, t, _ in rows]
+    train = [k for k in range(len(rows)) if zlib.crc32(str(k).encode()) % 10]
+    c = Counter(w for k in train for w in words[k])
+    ones, twos = (sum(x == k for x in c.values()) for k in (1, 2))
+    d = ones / (ones + 2 * twos) if ones and twos else 0.5
+    n = sum(c.values()) + len(train)
+    first = L.Spelling.of(small)
+    m = first.learned(first.expected(sorted(c)), len(c), first)
+    for k, ws in enumerate(words):
+        paths = [(len(train) + 0.5) / (n + 1.5)]
+        for w in ws:
+            edges = [(d * len(c) + 1) / (n + 1.5) * math.exp(p) for _, p in spellings(m, w)] + [max(c[w] - d, 0) / (n + 1.5)]
+            paths = [p * e for p in paths for e in edges]
+        assert got[k] == pytest.approx(math.log10(math.fsum(paths)), abs=1e-9)
+
+
+def test_learned_probabilities_sum_to_one_and_hold_the_vocabularys(small):
+    first, m = models(small)
+    opens = np.array([p[0] == "▁" for p in m.names])
+    assert np.exp(m.piece[opens]).sum() == pytest.approx(1)
+    assert np.exp(m.piece[~opens]).sum() + np.exp(m.byte).sum() + math.exp(m.end) == pytest.approx(1)
+    own = np.exp(first.piece[opens])
+    assert (np.exp(m.piece[opens]) >= L.OWN * own / own.sum() - 1e-12).all()
 
 
 def test_long_words_do_not_underflow(vocabulary):
     m = L.Spelling.of(vocabulary)
-    assert -1e6 < m.log_probability("xq" * 3000) < -1000
+    assert -1e6 < m.log_probabilities(["xq" * 3000])[0] < -1000
+    assert -1e8 < m.log_probabilities(["ab" * 100_000])[0] < -1000
+
+
+def test_pieces_are_found(vocabulary):
+    names = sorted(vocabulary.score)
+    pieces = L.Pieces(names)
+    for p in names[::97]:
+        points = np.array([[ord(x) for x in p]], np.uint64)
+        got = pieces.find(pieces.prefixes(points), 0, len(p))
+        for i in range(len(p)):
+            for k in range(1, min(pieces.longest, len(p) - i) + 1):
+                at = got[0, i, k - 1]
+                assert (names[at] if at >= 0 else None) == (p[i : i + k] if p[i : i + k] in vocabulary.score else None)
 
 
 def brute(rows, vocabulary):
@@ -80,16 +128,14 @@ def brute(rows, vocabulary):
     c = Counter(w for i in train for w in words[i])
     ends = len(train)
     n, v = sum(c.values()) + ends, len(c) + (ends > 0)
-    first, counts = L.Spelling.of(vocabulary), Counter()
-    for w in c:
-        first.expect(w, counts)
-    m = L.Spelling.learned(vocabulary, counts, len(c))
+    first = L.Spelling.of(vocabulary)
+    m = first.learned(first.expected(sorted(c)), len(c), first)
     ones, twos = (sum(x == k for x in c.values()) for k in (1, 2))
     d = ones / (ones + 2 * twos) if ones and twos else 0.5
     out = {}
     for i, ws in words.items():
         base = sum(math.log10((x + 0.1) / (n + 0.1 * (v + 1))) for x in [*(c[w] for w in ws), ends])
-        own = sum(math.log10((max(c[w] - d, 0) + (d * len(c) + 1) * math.exp(m.log_probability(w))) / (n + 1.5)) for w in ws) + math.log10((ends + 0.5) / (n + 1.5))
+        own = sum(math.log10((max(c[w] - d, 0) + (d * len(c) + 1) * math.exp(m.log_probabilities([w])[0])) / (n + 1.5)) for w in ws) + math.log10((ends + 0.5) / (n + 1.5))
         out[i] = (i not in train, len(ws) + 1, sum(c[w] > 0 for w in ws) + (ends > 0), n, base, own)
     return out
 

@@ -85,9 +85,8 @@ def test_fit_against_brute_force(spark):
     rows = [(sorted(rng.sample(range(5), rng.randint(0, 3))), 0, 0.0, float(rng.choice([1, 1, 7]))) for _ in range(60)]
     rows += [(sorted({0, rng.randrange(5)}), 1, 0.0, 1.0) for _ in range(25)]
     rows = [(p, [1.0] * len(p), k, t, x) for p, k, t, x in rows]
-    n_u, n_p = (sum(r[4] for r in rows if r[2] == k) for k in (0, 1))
     for prior in (0.1, 0.4):
-        w, b = T.fit(linear.Batch(examples(spark, rows), 5, T.loss), n_u, n_p, prior)
+        w, b = T.fit(linear.Batch(examples(spark, rows), 5, T.loss), prior)
         slow = slow_fit(rows, 5, prior)
         assert np.allclose(w, slow[0], atol=2e-2) and abs(b - slow[1]) < 2e-2
 
@@ -97,10 +96,22 @@ def test_risk(spark):
     rng = np.random.default_rng(1)
     rows = [([0, 1] if k < 200 or rng.random() < 0.2 else [1], [1.0] * 2, int(k < 200), 0.0, 1.0) for k in range(600)]
     rows = [(p, s[: len(p)], *rest) for p, s, *rest in rows]
-    w, b = T.fit(linear.Batch(examples(spark, rows), 2, T.loss), 400, 200, 0.2)
+    w, b = T.fit(linear.Batch(examples(spark, rows), 2, T.loss), 0.2)
     assert w[0] + w[1] + b > 2 and w[1] + b < -1
 
 
+def test_slices_are_taken_in_turn(spark):
+    rng = random.Random(6)
+    rows = [(p, [1.0] * len(p), int(k < 30), 0.0, 1.0 + k) for k in range(200) for p in [sorted(rng.sample(range(6), rng.randint(1, 4)))]]
+    w, batch = np.linspace(-1, 1, 6), linear.Batch(examples(spark, rows), 6, T.loss, 0, always=1, slices=4)
+    whole = linear.Batch(examples(spark, rows), 6, T.loss).sums(0, w, 0.5)
+    parts = [batch.sums(t, w, 0.5) for t in range(1, 5)]
+    for k in (0, 1):  # every slice has all positives; each unlabelled example is in one
+        grads = [x[1][k] for x in parts]
+        assert np.array_equal(sum(grads) if k == 0 else grads[0], whole[1][k]) and np.array_equal(sum(x[0][:, 0] for x in parts), whole[0][:, 0])
+    assert all(np.array_equal(x[0][:, 1], whole[0][:, 1]) for x in parts) and all(x[0][2, 0] > 0 for x in parts)
+
+
 def test_the_executors_sums_are_the_drivers(data, monkeypatch):
     docs, labels, _ = data
     monkeypatch.setattr(T, "EPOCHS", 15)
