@@ -33,7 +33,7 @@ COUNTED, COUNTED_BYTES = 500_000, 64 << 20
 #: The part of a piece's probability that comes from the vocabulary's own score.
 OWN = 0.1
 #: E and M steps.
-ROUNDS = 1
+ROUNDS = 2
 LN10 = math.log(10)
 #: A count's place in the histogram that finds the frequent words: 8 steps for each doubling.
 STEPS = 8

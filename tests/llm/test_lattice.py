@@ -86,7 +86,9 @@ def test_a_documents_score_is_the_sum_over_all_its_segmentations(spark, small):
     d = ones / (ones + 2 * twos) if ones and twos else 0.5
     n = sum(c.values()) + len(train)
     first = L.Spelling.of(small)
-    m = first.learned(first.expected(sorted(c)), len(c), first)
+    m = first
+    for _ in range(L.ROUNDS):
+        m = m.learned(m.expected(sorted(c)), len(c), first)
     for k, ws in enumerate(words):
         paths = [(len(train) + 0.5) / (n + 1.5)]
         for w in ws:
@@ -129,7 +131,9 @@ def brute(rows, vocabulary):
     ends = len(train)
     n, v = sum(c.values()) + ends, len(c) + (ends > 0)
     first = L.Spelling.of(vocabulary)
-    m = first.learned(first.expected(sorted(c)), len(c), first)
+    m = first
+    for _ in range(L.ROUNDS):
+        m = m.learned(m.expected(sorted(c)), len(c), first)
     ones, twos = (sum(x == k for x in c.values()) for k in (1, 2))
     d = ones / (ones + 2 * twos) if ones and twos else 0.5
     out = {}
