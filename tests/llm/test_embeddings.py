@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from rankmesh.llm import embeddings as E
@@ -29,12 +30,12 @@ def vectors(n: int, seed: int):
     return np.concatenate([base, near, dense, same]).astype(np.float32)
 
 
-@pytest.mark.parametrize("cell", [1024, 16])
-def test_links_against_brute_force(spark, cell):
+@pytest.mark.parametrize(("cell", "wide"), [(1024, E.WIDE), (16, E.WIDE), (16, 0)])
+def test_links_against_brute_force(spark, cell, wide):
     x = vectors(400, 1)
     rows = [(3 * i, v.tolist(), 0, "clash", "clash") for i, v in enumerate(x)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, node string, links string")
-    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in E.linked(df, cell=cell).collect()}
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in E.linked(df, cell=cell, wide_bytes=wide).collect()}
     want = brute([r[0] for r in rows], x.astype(np.float64))
     assert len(got) == len(rows)
     found, there = sum(g[0] for g in got.values()), sum(w[0] for w in want.values())
@@ -43,25 +44,66 @@ def test_links_against_brute_force(spark, cell):
     assert all(k == (i == c) for i, (_, c, k) in got.items())
 
 
-def test_recall_at_the_very_threshold():
-    rng = np.random.default_rng(2)
-    a = rng.normal(0, 1, (3000, 64))
+def at_threshold(n: int, dim: int, seed: int, common: float = 0.0) -> np.ndarray:
+    """n pairs of unit vectors, each at a cosine of 0.9000001, all of them with a direction in common; nothing else links."""
+    rng = np.random.default_rng(seed)
+
+    def other(x):
+        y = rng.normal(0, 1, x.shape)
+        y[:, 0] = 0 if common else y[:, 0]
+        y -= (y * x).sum(1)[:, None] * x
+        return y / np.linalg.norm(y, axis=1)[:, None]
+
+    a = rng.normal(0, 1, (n, dim))
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    a[:, 0] += common
     a /= np.linalg.norm(a, axis=1)[:, None]
-    other = rng.normal(0, 1, (3000, 64))
-    other -= (other * a).sum(1)[:, None] * a
-    other /= np.linalg.norm(other, axis=1)[:, None]
-    b = 0.9000001 * a + np.sqrt(1 - 0.9000001**2) * other
-    found = 0
+    return np.stack([a, 0.9000001 * a + np.sqrt(1 - 0.9000001**2) * other(a)], 1).reshape(2 * n, dim)
+
+
+@pytest.mark.parametrize(("common", "wide"), [(0.0, E.WIDE), (1.5, E.WIDE), (1.5, 0)])
+def test_recall_at_the_very_threshold_from_end_to_end(spark, common, wide):
+    x = at_threshold(3000, 64, 2, common)
+    assert common == 0 or (x[::2] @ x[::2].T).mean() > 0.6
+    df = spark.createDataFrame(pa.table({"vec_id": pa.array(range(len(x))), "embedding": pa.array(x.tolist(), pa.list_(pa.float64()))}))
+    got = {r.vec_id: r for r in E.linked(df, cell=128, wide_bytes=wide).collect()}
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    there = int((np.triu(u @ u.T >= 0.9, 1)).sum())
+    found = sum(r.n_links for r in got.values()) // 2
+    assert 0.95 * there <= found <= there
+
+
+def test_a_common_direction_crowds_no_cell():
+    rng = np.random.default_rng(3)
+    x = rng.normal(0, 1, (40_000, 64))
+    x[:, 0] += 12
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    assert (x[:500] @ x[500:1000].T).mean() > 0.6
+    centre = x.mean(0)
+    r = np.linalg.norm(x - centre, axis=1)
+    signs, tables = E.tables_for(len(x), spread=r, counts=np.ones(len(r)))
+    own = E.cells(x, centre, signs, tables)
+    pairs = sum((np.bincount(own[:, t], minlength=1 << signs).astype(float) ** 2).sum() for t in range(tables))
+    plain = E.cells(x, 0.0, signs, tables)
+    assert np.bincount(own[:, 0]).max() < 4 * E.CELL and np.bincount(plain[:, 0]).max() > 4 * E.CELL
+    assert pairs < 2.5 * tables * len(x) ** 2 / 2**signs
+
+
+def test_the_least_work_is_taken():
+    assert E.tables_for(100) == (0, 1)
+    signs, tables = E.tables_for(10**6)
+    assert signs >= 8 and tables < 30
+    # all within the threshold of their mean: cells can't tell them apart, so all pairs are met at once
+    assert E.tables_for(50_000, spread=np.array([0.3]), counts=np.ones(1)) == (0, 1)
+
+
+def test_pairs_at_the_threshold_collide():
+    x = at_threshold(3000, 64, 5)
+    a, b, found = x[::2], x[1::2], 0
     for k in range(0, 3000, 500):
         i, j = E.near(a[k : k + 500], b[k : k + 500])
         found += (i == j).sum()
-    assert found / 3000 >= 0.96
-    signs, tables = E.tables_for(10**6)
-    met = np.zeros(3000, bool)
-    for _ in range(tables):
-        planes = rng.normal(0, 1, (signs, 64))
-        met |= ((a @ planes.T > 0) == (b @ planes.T > 0)).all(1)
-    assert met.mean() >= 0.96
+    assert found / 3000 >= 0.97
 
 
 def test_odd_vectors(spark):
