@@ -1,7 +1,7 @@
 """The reduction algebra as Spark columns.
 
-Integers wrap around as in two's complement, half-precision values are added in
-single precision and rounded to nearest-even, and a fixed order makes floating
+Integers wrap around as in two's complement, values of 16-bit floating types are
+added in single precision and rounded to nearest-even, and a fixed order makes floating
 sums the same however rows are partitioned. As in Spark, a NaN is the greatest
 value for max, and min passes it over.
 """
@@ -47,16 +47,30 @@ def wrapped_sum(val: Column, bits: int) -> Column:
     return F.shiftleft(high, 32).bitwiseOR(low.bitwiseAND(F.lit(_2_32 - 1)))
 
 
-def to_half(x: Column) -> Column:
-    """A float rounded to the nearest half-precision value, ties to even; beyond 65504 (rounded) infinite."""
+def _rounded(x: Column, places: int, least: int, most: float) -> Column:
+    """A float rounded to ``places`` binary places after the first, ties to even; exponents from ``least`` on; beyond ``most`` infinite."""
     d = F.abs(x.cast("double"))
     e = F.floor(F.log2(d))  # may be off by one next to a power of two
     two = F.lit(2.0)
     e = F.when(F.pow(two, e + 1) <= d, e + 1).when(F.pow(two, e) > d, e - 1).otherwise(e)
-    step = F.pow(two, F.greatest(e, F.lit(-14)) - 10)
-    half = F.rint(d / step) * step
-    half = F.when(half > 65504.0, F.lit(float("inf"))).otherwise(half) * F.signum(x.cast("double"))
-    return F.when((d == 0) | F.isnan(d) | (d == float("inf")), x.cast("double")).otherwise(half).cast("float")
+    step = F.pow(two, F.greatest(e, F.lit(least)) - places)
+    out = F.rint(d / step) * step
+    out = F.when(out > most, F.lit(float("inf"))).otherwise(out) * F.signum(x.cast("double"))
+    return F.when((d == 0) | F.isnan(d) | (d == float("inf")), x.cast("double")).otherwise(out).cast("float")
+
+
+def to_half(x: Column) -> Column:
+    """A float rounded to the nearest half-precision value, ties to even; beyond 65504 (rounded) infinite."""
+    return _rounded(x, 10, -14, 65504.0)
+
+
+def to_bfloat(x: Column) -> Column:
+    """A float rounded to the nearest bfloat16 value (8 bits of precision, the exponents of a float), ties to even."""
+    return _rounded(x, 7, -126, float.fromhex("0x1.fep127"))
+
+
+#: Types whose steps are rounded, and how.
+ROUNDED = {"fp16": to_half, "bfp16": to_bfloat}
 
 
 def _uint64_product(a: Column, b: Column) -> Column:
@@ -90,7 +104,7 @@ def combine(op: str, dtype: DType, a: Column, b: Column) -> Column:
         return let(F.struct(a.alias("a"), b.alias("b")), lambda v: _uint64_product(v["a"], v["b"]))
     if dtype.spark == "float":
         out = (a.cast("double") + b.cast("double") if op == "sum" else a.cast("double") * b.cast("double")).cast("float")
-        return let(out, to_half) if dtype.name == "fp16" else out
+        return let(out, ROUNDED[dtype.name]) if dtype.name in ROUNDED else out
     return a + b if op == "sum" else a * b
 
 
@@ -99,17 +113,38 @@ def fold(op: str, dtype: DType, values: list[Column]) -> Column:
     return left_fold(lambda a, b: combine(op, dtype, a, b), values)
 
 
-def halving_tree(op: str, dtype: DType, values: list[Column]) -> Column:
+def in_halving_tree(values: list[Column], step: Callable[[Column, Column], Column]) -> Column:
     """The strict order: while n > 1 values are left, with m the largest power of two below n, each value from m on is put before the one m places back."""
     left = list(values)
     while len(left) > 1:
         m = 1 << (len(left) - 1).bit_length() - 1
         for s in range(m, len(left)):
-            left[s % m] = combine(op, dtype, left[s], left[s % m])
+            left[s % m] = step(left[s], left[s % m])
         left = left[:m]
     return left[0]
 
 
+def halving_tree(op: str, dtype: DType, values: list[Column]) -> Column:
+    return in_halving_tree(values, lambda a, b: combine(op, dtype, a, b))
+
+
+def halving_tree_of(values: Column, size: int, step: Callable[[Column, Column], Column]) -> Column:
+    """The strict order over an array of ``size`` values: a few nested steps, however many there are."""
+
+    def halve(n: int) -> Callable[[Column], Column]:
+        m = 1 << (n - 1).bit_length() - 1
+
+        def run(v: Column) -> Column:
+            return F.transform(F.slice(v, 1, m), lambda x, s: F.when(s + m < n, step(F.get(v, s + m), x)).otherwise(x))
+
+        return run
+
+    while size > 1:
+        values = let(values, halve(size))
+        size = 1 << (size - 1).bit_length() - 1
+    return F.get(values, F.lit(0))
+
+
 def unordered(op: str, dtype: DType, val: Column) -> Column | None:
     """An aggregate that Spark can pre-aggregate in any order, or None if the reduction needs a fixed one."""
     if op in ("max", "min"):
@@ -121,7 +156,7 @@ def unordered(op: str, dtype: DType, val: Column) -> Column | None:
             return wrapped_sum(val, dtype.signed_bits).cast(dtype.spark)
         if dtype.name == "uint64":
             return F.pmod(F.sum(val.cast("decimal(38,0)")), F.lit(str(_2_64)).cast("decimal(38,0)")).cast("decimal(20,0)")
-        if dtype.name in ("fp32", "fp64", "bfp16"):
+        if dtype.name in ("fp32", "fp64"):
             return F.sum(val).cast(dtype.spark)
     return None
 
@@ -135,9 +170,12 @@ def ordered(op: str, dtype: DType, val: Column, rank: Column, size: int, tree: b
     if size <= MOST_COLUMNS:
         parts = [F.max(F.when(rank == r, val)).alias(f"v{r}") for r in range(size)]
         return parts, (halving_tree if tree else fold)(op, dtype, [F.col(f"v{r}") for r in range(size)])
-    if tree:
-        raise NotImplementedError(f"the strict order needs a column for each rank; there are over {MOST_COLUMNS}")
     rows = F.transform(F.array_sort(F.collect_list(F.struct(rank.alias("rank"), val.alias("val")))), lambda x: x["val"])
     own = F.col("v0")
-    first = F.element_at(own, 1)
-    return [rows.alias("v0")], F.aggregate(F.slice(own, 2, F.size(own)), first, lambda a, b: combine(op, dtype, a, b) if op == TRACE else combine(op, dtype, a, b).cast(dtype.spark))
+
+    def step(a: Column, b: Column) -> Column:
+        return combine(op, dtype, a, b) if op == TRACE else combine(op, dtype, a, b).cast(dtype.spark)
+
+    if tree:
+        return [rows.alias("v0")], halving_tree_of(own, size, step)
+    return [rows.alias("v0")], F.aggregate(F.slice(own, 2, F.size(own)), F.element_at(own, 1), step)

@@ -46,3 +46,17 @@ def broken_move(result: DataFrame, src_rank: Column, src_idx: Column) -> DataFra
 def gaps(result: DataFrame, count: int) -> DataFrame:
     """Ranks of a result that don't hold elements 0 to count - 1 just once."""
     return result.groupBy("rank").agg(F.count("*").alias("n"), F.countDistinct("idx").alias("places"), F.min("idx").alias("first"), F.max("idx").alias("last")).filter((F.col("n") != count) | (F.col("places") != count) | (F.col("first") != 0) | (F.col("last") != count - 1))
+
+
+def broken(result: DataFrame, want: DataFrame) -> DataFrame:
+    """Elements of a traced result that aren't there just as ``want`` (rank, idx, src_rank, src_idx) has them, and those that are missing or there twice.
+
+    Where values are arrays of sources, every one of them counts.
+    """
+    if result.schema["val"].dataType.typeName() == "array":
+        result = result.select("rank", "idx", F.explode_outer("val").alias("val"))
+    got = result.select(F.col("rank").cast("int").alias("rank"), F.col("idx").cast("bigint").alias("idx"), "val.src_rank", "val.src_idx")
+    cols = got.columns
+    want = want.select(*[F.col(c).cast(got.schema[c].dataType).alias(c) for c in cols])
+    both = got.withColumn("n", F.lit(1)).unionByName(want.withColumn("n", F.lit(-1)))
+    return both.groupBy(*cols).agg(F.sum("n").alias("n")).filter("n != 0")

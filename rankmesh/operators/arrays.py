@@ -2,37 +2,53 @@
 
 from __future__ import annotations
 
+from functools import reduce as left_fold
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankmesh import validate
 from rankmesh.functions import reductions as R
 from rankmesh.model import Comm
-from rankmesh.operators.collectives import _everywhere
+from rankmesh.operators import collectives as C
+from rankmesh.operators.collectives import _everywhere, _split
 
 
 def all_reduce(x: DataFrame, comm: Comm, op: str = "sum", dtype: str = "fp64", strict: bool = True) -> DataFrame:
     """Every rank gets the arrays reduced place by place over ranks, in the strict order or that of ascending ranks.
 
-    Arrays stay whole: there is one aggregate for each rank and no row for each
-    element. Over 64 ranks, explode and use the scalar operator.
+    Arrays stay whole: there is no row for each element. With few ranks there is one
+    aggregate for each, beyond that one array of the ranks' arrays.
     """
     d = validate.reduction(op, dtype)
-    if comm.size > R.MOST_COLUMNS:
-        raise NotImplementedError(f"the array form takes {R.MOST_COLUMNS} ranks at most")
-    parts = x.groupBy("idx").agg(*(F.max(F.when(F.col("rank") == r, F.col("vals"))).alias(f"v{r}") for r in range(comm.size)))
+    kind = f"array<{d.spark}>"
 
     def step(a: Column, b: Column) -> Column:
         return F.zip_with(a, b, lambda p, q: R.combine(op, d, p, q).cast(d.spark))
 
-    values = [F.col(f"v{r}").cast(f"array<{d.spark}>") for r in range(comm.size)]
-    if strict:
-        while len(values) > 1:
-            m = 1 << (len(values) - 1).bit_length() - 1
-            for s in range(m, len(values)):
-                values[s % m] = step(values[s], values[s % m])
-            values = values[:m]
+    if comm.size <= R.MOST_COLUMNS:
+        parts = x.groupBy("idx").agg(*(F.max(F.when(F.col("rank") == r, F.col("vals"))).cast(kind).alias(f"v{r}") for r in range(comm.size)))
+        values = [F.col(f"v{r}") for r in range(comm.size)]
+        out = R.in_halving_tree(values, step) if strict else left_fold(step, values)
     else:
-        for v in values[1:]:
-            values[0] = step(values[0], v)
-    return _everywhere(parts.select("idx", values[0].alias("val")), comm).withColumnRenamed("val", "vals")
+        rows = F.array_sort(F.collect_list(F.struct("rank", F.col("vals").cast(kind).alias("vals"))))
+        parts = x.groupBy("idx").agg(F.transform(rows, lambda r: r["vals"]).alias("v"))
+        out = R.halving_tree_of(F.col("v"), comm.size, step) if strict else F.aggregate(F.slice("v", 2, F.size("v")), F.element_at("v", 1), step)
+    return _everywhere(parts.select("idx", out.alias("val")), comm).withColumnRenamed("val", "vals")
+
+
+def reduce_scatter(x: DataFrame, comm: Comm, count: int, op: str = "sum", dtype: str = "fp64", strict: bool = True) -> DataFrame:
+    """As ``all_reduce``, but rank r gets the arrays of block r alone; every rank holds ``count`` arrays for each rank."""
+    validate.count(count)
+    out = all_reduce(x, Comm(comm.size), op, dtype, strict).filter("rank = 0").select("idx", F.col("vals").alias("val"))
+    return _split(out, count).withColumnRenamed("val", "vals")
+
+
+def all_gather(x: DataFrame, comm: Comm, count: int) -> DataFrame:
+    """Every rank gets all ranks' arrays, one rank after another; each holds ``count``."""
+    return C.all_gather(x.withColumnRenamed("vals", "val"), comm, count).withColumnRenamed("val", "vals")
+
+
+def all_to_all(x: DataFrame, comm: Comm, count: int) -> DataFrame:
+    """Block d of rank s becomes block s of rank d, whole arrays at a time."""
+    return C.all_to_all(x.withColumnRenamed("vals", "val"), comm, count).withColumnRenamed("val", "vals")

@@ -1,8 +1,10 @@
 """Collectives over distributed arrays (rank, idx, val).
 
 ``comm`` is the group of ranks. Element types are names of ``rankmesh.model.DTYPES``.
-Inputs follow the preconditions given with each operator; ``rankmesh.validate``
-checks them against data where that is wanted.
+Arguments and extents, which are small, are always checked. What only the data can
+tell is checked where ``held``, the number of elements that each rank must hold, is
+given; operators with an extent for each rank check the ranks' counts unless
+``check`` is False.
 """
 
 from __future__ import annotations
@@ -24,13 +26,16 @@ def _everywhere(x: DataFrame, comm: Comm) -> DataFrame:
     return x.crossJoin(F.broadcast(comm.ranks(x.sparkSession))).select("rank", "idx", "val")
 
 
-def reduced(x: DataFrame, comm: Comm, op: str = "sum", dtype: str = "int64", order: str = "any", hints: Mapping[str, int] | None = None, tuner: S.Tuner | None = None, operator: str = "all_reduce", trace: bool = False) -> DataFrame:
+def reduced(x: DataFrame, comm: Comm, op: str = "sum", dtype: str = "int64", order: str = "any", hints: Mapping[str, int] | None = None, tuner: S.Tuner | None = None, operator: str = "all_reduce", trace: bool = False, held: int | None = None) -> DataFrame:
     """(idx, val): element by element over all ranks.
 
     ``order`` is any, fixed (the same sums on every run: ranks in ascending order)
     or strict (the halving tree). A group of one rank is returned as it is.
     With ``trace``, values are arrays of sources, and the plan that would reduce puts them together instead.
+    With ``held``, ValueError unless every rank holds elements 0 to held - 1 just once.
     """
+    if held is not None:
+        validate.dense(x, comm, held)
     d = validate.reduction(op, dtype, operator)
     if order not in S.ORDERS:
         raise ValueError(f"no such order: {order}")
@@ -77,13 +82,16 @@ def _split(x: DataFrame, count: int) -> DataFrame:
 
 def reduce_scatter_v(x: DataFrame, comm: Comm, extents: DataFrame, op: str = "sum", dtype: str = "int64", **how) -> DataFrame:
     """Rank r gets the reduced elements of its extent (rank, cnt, displ), numbered from 0; extents may leave holes."""
+    validate.extents(extents, comm)
     out = reduced(x, comm, op, dtype, operator="reduce_scatter_v", **how)
     return E.within(out, extents, "cnt", "displ").select(F.col("rank").cast("int").alias("rank"), (F.col("idx") - F.col("displ")).cast("bigint").alias("idx"), "val")
 
 
-def all_gather(x: DataFrame, comm: Comm, count: int) -> DataFrame:
-    """Every rank gets all ranks' elements, one rank after another; each holds ``count``."""
+def all_gather(x: DataFrame, comm: Comm, count: int, check: bool = False) -> DataFrame:
+    """Every rank gets all ranks' elements, one rank after another; each holds ``count``, which ``check`` makes sure of."""
     validate.count(count)
+    if check:
+        validate.dense(x, comm, count)
     return _everywhere(x.select((F.col("rank").cast("bigint") * count + F.col("idx")).alias("idx"), "val"), comm)
 
 
@@ -94,10 +102,19 @@ def gather(x: DataFrame, comm: Comm, root: int, count: int) -> DataFrame:
     return x.select(F.lit(root).cast("int").alias("rank"), (F.col("rank").cast("bigint") * count + F.col("idx")).alias("idx"), "val")
 
 
-def all_gather_v(x: DataFrame, comm: Comm, extents: DataFrame) -> DataFrame:
-    """Every rank gets all ranks' elements; those of rank r go to its extent (rank, cnt, displ). Extents don't overlap, and may leave holes."""
-    where = F.broadcast(extents.select(F.col("rank").alias("_rank"), "displ", "cnt"))
-    moved = x.join(where, (x["rank"] == F.col("_rank")) & (x["idx"] < F.col("cnt"))).select((F.col("displ") + F.col("idx")).cast("bigint").alias("idx"), "val")
+def all_gather_v(x: DataFrame, comm: Comm, extents: DataFrame, check: bool = True) -> DataFrame:
+    """Every rank gets all ranks' elements; those of rank r go to its extent (rank, cnt, displ).
+
+    Extents don't overlap, and may leave holes. Raises ValueError if a rank holds
+    another count than its extent; without ``check`` (one aggregate over the
+    elements' places) an element beyond its extent still fails the query.
+    """
+    validate.extents(extents, comm, apart=[])
+    if check:
+        validate.counts(x, extents)
+    where = E.small(extents.select(F.col("rank").alias("_rank"), "displ", "cnt"))
+    at = F.when(F.col("idx") < F.col("cnt"), F.col("displ") + F.col("idx")).otherwise(F.raise_error(F.lit("an element beyond its rank's extent")).cast("bigint"))
+    moved = x.join(where, x["rank"] == F.col("_rank"), "left").select(at.cast("bigint").alias("idx"), "val")
     return _everywhere(moved, comm)
 
 
@@ -124,19 +141,23 @@ def all_to_all(x: DataFrame, comm: Comm, count: int) -> DataFrame:
 
 
 def all_to_all_v(x: DataFrame, comm: Comm, extents: DataFrame) -> DataFrame:
-    """Elements of rank src at [sdispl, sdispl + scnt) go to rank dst at rdispl and on; ``extents`` is (src, dst, scnt, sdispl, rcnt, rdispl)."""
+    """Elements of rank src at [sdispl, sdispl + scnt) go to rank dst at rdispl and on; ``extents`` is (src, dst, scnt, sdispl, rcnt, rdispl), where rcnt is scnt."""
+    validate.blocks(extents, comm)
     moved = E.within(x, extents, "scnt", "sdispl", [("rank", "src")])
     return moved.select(F.col("dst").cast("int").alias("rank"), (F.col("rdispl") + F.col("idx") - F.col("sdispl")).cast("bigint").alias("idx"), "val")
 
 
 def all_to_all_vc(x: DataFrame, comm: Comm, matrix: DataFrame) -> DataFrame:
     """As ``all_to_all_v``, from the matrix (src, dst, cnt) of counts; blocks follow one another."""
-    return all_to_all_v(x, comm, E.from_matrix(matrix))
+    validate.matrix(matrix, comm)
+    return all_to_all_v(x, comm, E.kept(E.from_matrix(matrix)))
 
 
 def send_recv(x: DataFrame, comm: Comm, pairs: DataFrame) -> DataFrame:
     """Rank dst gets what rank src holds, for each pair (src, dst); a rank may send to several, and receives from one."""
-    who = F.broadcast(pairs.select("src", "dst"))
+    validate.none(pairs, ~F.coalesce(F.col("src").between(0, comm.size - 1) & F.col("dst").between(0, comm.size - 1), F.lit(False)), "a rank that isn't one of the group")
+    validate.none(pairs.groupBy("dst").count(), F.col("count") > 1, "a rank that receives from several")
+    who = E.small(pairs.select("src", "dst"))
     return x.join(who, x["rank"] == F.col("src")).select(F.col("dst").cast("int").alias("rank"), "idx", "val")
 
 
@@ -149,9 +170,14 @@ def send(x: DataFrame, comm: Comm, src: int, dst: int) -> DataFrame:
     return x.filter(F.col("rank") == src).select(F.lit(dst).cast("int").alias("rank"), "idx", "val")
 
 
-def recv(x: DataFrame, comm: Comm, dst: int, src: int) -> DataFrame:
-    """The other half of ``send``: the same rows."""
-    return send(x, comm, src, dst)
+def recv(x: DataFrame, comm: Comm, dst: int, src: int, schema: str | None = None) -> DataFrame:
+    """The other half of ``send``: the same rows. With ``schema``, the receiver's declared type of val, into which values have to fit."""
+    out = send(x, comm, src, dst)
+    if schema is None:
+        return out
+    own = F.col("val").try_cast(schema)
+    fits = F.col("val").isNull() | (own.isNotNull() & own.cast(x.schema["val"].dataType).eqNullSafe(F.col("val")))
+    return out.withColumn("val", F.when(fits, own).otherwise(F.raise_error(F.lit(f"a value that {schema} can't hold")).cast(schema)))
 
 
 def item(rank: int, ordinal: int, kind: str, peer: int, base: int, cnt: int) -> tuple[int, int, str, int, int, int]:
@@ -190,11 +216,11 @@ def batch_send_recv(x: DataFrame, comm: Comm, items: DataFrame) -> DataFrame:
     return moved.select(F.col("dst").cast("int").alias("rank"), (F.col("rbase") + F.col("idx") - F.col("sbase")).cast("bigint").alias("idx"), "val")
 
 
-def barrier(x: DataFrame) -> DataFrame:
-    """``x`` unchanged, in a stage whose tasks all wait for one another before they hand on a row.
+def barrier(x: DataFrame, tasks: int = 2) -> DataFrame:
+    """``x`` unchanged, none of whose rows is handed on before ``tasks`` tasks have met.
 
-    The stage needs a free slot for each partition of ``x``, and can't hold a
-    ``coalesce``; ``repartition`` begins a stage of its own.
+    The tasks are a barrier stage of their own, which needs a free slot for each;
+    its single row gates ``x``, whose rows stay in the JVM.
     """
 
     def run(batches):
@@ -203,7 +229,8 @@ def barrier(x: DataFrame) -> DataFrame:
         BarrierTaskContext.get().barrier()
         yield from batches
 
-    return x.mapInArrow(run, x.schema, barrier=True)
+    met = x.sparkSession.range(0, tasks, 1, tasks).mapInArrow(run, "id long", barrier=True).agg(F.count("*").alias("_met")).filter(F.col("_met") == tasks)
+    return x.crossJoin(F.broadcast(met)).select(*[x[c] for c in x.columns])
 
 
 def by_rank(x: DataFrame, comm: Comm) -> DataFrame:

@@ -23,6 +23,17 @@ def local(spark: SparkSession, schema: str, rows: list[tuple]) -> DataFrame:
     return spark.createDataFrame(pa.table([pa.array(c, kinds[t]) for c, t in zip(columns, types, strict=True)], names=list(names)))
 
 
+def small(rows: DataFrame) -> DataFrame:
+    """Marked for broadcast if there are so few that it may be; else the join is a shuffle."""
+    return F.broadcast(rows) if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else rows
+
+
+def kept(rows: DataFrame) -> DataFrame:
+    """Extents that were computed, as a local relation if they are few: each use would compute them again otherwise."""
+    held = rows.limit(BROADCAST_ROWS + 1).toArrow()
+    return rows.sparkSession.createDataFrame(held) if held.num_rows <= BROADCAST_ROWS else rows
+
+
 def from_lists(spark: SparkSession, cnt: list[int], displ: list[int] | None = None) -> DataFrame:
     """(rank, cnt, displ); without displacements the blocks follow one another."""
     if displ is None:

@@ -102,7 +102,7 @@ def _any(q: Request) -> bool:
 register(Shape("one_stage", one_stage, ("any",), lambda q: 1.0, _any))
 register(Shape("by_level", by_level, ("any",), lambda q: 1.0 + len(q.comm.levels), lambda q: _any(q) and bool(q.comm.levels), lambda q: q.comm.size > 64))
 register(Shape("left_fold", left_fold, ("any", "fixed"), lambda q: 1.5))
-register(Shape("halving_tree", halving_tree, ("any", "strict"), lambda q: 2.0, lambda q: q.comm.size <= R.MOST_COLUMNS))
+register(Shape("halving_tree", halving_tree, ("any", "strict"), lambda q: 2.0))
 
 Tuner = Callable[[dict[str, float]], Mapping[str, float]]
 

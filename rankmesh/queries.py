@@ -6,17 +6,21 @@ which is dense and even at every scale factor, and splits evenly once more.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankmesh import lineage
+from rankmesh.functions import reductions as R
 from rankmesh.functions.reductions import to_half
-from rankmesh.model import Comm
+from rankmesh.model import DTYPES, Comm
 from rankmesh.operators import arrays
 from rankmesh.operators import collectives as C
 from rankmesh.plans import extents as E
+from rankmesh.sources import topology
 from rankmesh.sources.relations import read, spread
 
 P = 5
@@ -198,7 +202,7 @@ def all_to_all(spark, d):
 @query(f"WITH {_X}, {_MATRIX} SELECT mv.dst AS rank, CAST(mv.rdispl + 2 * mv.src + x.idx - mv.sdispl AS BIGINT) AS idx, x.val FROM x JOIN mv ON x.rank = mv.src AND x.idx >= mv.sdispl AND x.idx < mv.sdispl + mv.cnt")
 def all_to_all_v(spark, d):
     """Blocks of unequal length, received two elements further apart for each sender."""
-    apart = E.from_matrix(matrix(spark, per_rank(spark, d))).withColumn("rdispl", F.col("rdispl") + 2 * F.col("src"))
+    apart = E.kept(E.from_matrix(matrix(spark, per_rank(spark, d))).withColumn("rdispl", F.col("rdispl") + 2 * F.col("src")))
     return C.all_to_all_v(orders(spark, d), COMM, apart)
 
 
@@ -249,8 +253,8 @@ def embedding_all_reduce_max(spark, d):
 
 @query(f"WITH {_X} SELECT CAST(rank AS INTEGER) AS rank, idx, val FROM x")
 def barrier(spark, d):
-    """Two tasks, as a barrier stage needs a slot for each."""
-    return C.barrier(orders(spark, d).repartition(2))
+    """Two tasks meet before any row is handed on; a barrier stage needs a slot for each."""
+    return C.barrier(orders(spark, d), 2)
 
 
 @query("SELECT CAST(0 AS BIGINT) AS broken")
@@ -267,8 +271,296 @@ def lineage_all_to_all(spark, d):
     return lineage.broken_move(moved, F.floor(F.col("idx") / m), F.col("rank") * m + F.col("idx") % m).agg(F.count("*").alias("broken"))
 
 
-@query()
+def _round_sql(v: str, places: int, least: int) -> str:
+    """``v`` rounded to a 16-bit floating type, ties to even."""
+    q = f"pow(2.0, greatest(floor(log2(abs({v}))), {least}) - {places})"
+    return f"CASE WHEN {v} = 0 THEN 0.0 ELSE sign({v}) * round_even(abs({v}) / {q}, 0) * {q} END"
+
+
+#: Binary places after the first, and the lowest exponent, of the types whose steps are rounded.
+_FLOATS = {"fp16": (10, -14), "bfp16": (7, -126)}
+
+
+def _steps_sql(source: str, keys: str, kind: str) -> str:
+    """(keys, val) from (keys, v0 .. v4): added in order of ranks, each step rounded."""
+    out = f"SELECT {keys}, v0 AS s, v1, v2, v3, v4 FROM {source}"
+    for k in range(1, P):
+        rest = ", ".join(f"v{j}" for j in range(k + 1, P))
+        out = f"SELECT {keys}, {_round_sql('s', *_FLOATS[kind])} AS s{', ' + rest if rest else ''} FROM (SELECT {keys}, s + v{k} AS s{', ' + rest if rest else ''} FROM ({out}))"
+    return f"SELECT {keys}, s AS val FROM ({out})"
+
+
+def _short_sum(kind: str) -> str:
+    value = _round_sql("h", *_FLOATS[kind])
+    cols = ", ".join(f"max(CASE WHEN rank = {k} THEN v END) AS v{k}" for k in range(P))
+    return f"WITH {_X}, h AS (SELECT rank, idx, {value} AS v FROM (SELECT rank, idx, (val % 20011) / 16.0 AS h FROM x)), w AS (SELECT idx, {cols} FROM h GROUP BY idx), y AS ({_steps_sql('w', 'idx', kind)}) SELECT r.rank, y.idx, CAST(y.val AS FLOAT) AS val FROM y CROSS JOIN r"
+
+
+@query(_short_sum("fp16"))
 def half_precision_sum(spark, d):
-    """Half-precision values in the order of ranks, each step rounded; tested against numpy."""
+    """Half-precision values in the order of ranks, each step rounded."""
     val = to_half((cents() % 20011).cast("float") / F.lit(16.0).cast("float"))
     return C.all_reduce(orders(spark, d, val), COMM, "sum", "fp16")
+
+
+@query(_short_sum("bfp16"))
+def bfloat_sum(spark, d):
+    """bfloat16 values in the order of ranks, each step rounded."""
+    val = R.to_bfloat((cents() % 20011).cast("float") / F.lit(16.0).cast("float"))
+    return C.all_reduce(orders(spark, d, val), COMM, "sum", "bfp16")
+
+
+# the strict order over more ranks than there are columns, levels from a rank table, and checked data
+
+MANY = 80
+
+
+def _tree_sql() -> str:
+    left = [f"v{k}" for k in range(MANY)]
+    while len(left) > 1:
+        m = 1 << (len(left) - 1).bit_length() - 1
+        for k in range(m, len(left)):
+            left[k % m] = f"({left[k]} + {left[k % m]})"
+        left = left[:m]
+    return left[0]
+
+
+@query(f"WITH w AS (SELECT p_partkey // {MANY} AS idx, {', '.join(f'max(CASE WHEN p_partkey % {MANY} = {k} THEN p_retailprice END) AS v{k}' for k in range(MANY))} FROM part GROUP BY 1) SELECT CAST(0 AS INTEGER) AS rank, idx, {_tree_sql()} AS val FROM w")
+def reduce_sum_strict_many_ranks(spark, d):
+    """The halving tree over 80 ranks."""
+    x = spread(read(spark, d, "part"), "p_partkey", MANY, F.col("p_retailprice"))
+    return C.reduce(x, Comm(MANY), 0, "sum", "fp64", order="strict")
+
+
+RANK_TABLE = json.dumps({"rank_count": P, "rank_list": [{"rank_id": r, "level_list": [{"net_layer": 0, "net_instance_id": f"server{r // 2}"}, {"net_layer": 1, "net_instance_id": f"pod{r // 4}"}, {"net_layer": 2, "net_instance_id": "all"}]} for r in range(P)]})
+
+
+@query(SQL["all_reduce_sum"])
+def all_reduce_sum_three_levels(spark, d):
+    """Servers of two ranks, pods of two servers, the last of either incomplete; read from a rank table."""
+    return C.all_reduce(orders(spark, d), topology.from_rank_table(RANK_TABLE), hints={"by_level": 1})
+
+
+@query(SQL["all_reduce_sum"])
+def all_reduce_sum_checked(spark, d):
+    """Every rank is made sure to hold just as many elements."""
+    return C.all_reduce(orders(spark, d), COMM, held=per_rank(spark, d))
+
+
+@query(f"WITH {_X}, o AS (SELECT o_orderkey // 5 AS idx, o_orderstatus AS status, o_totalprice AS price FROM orders WHERE o_orderkey % 5 = 3) SELECT r.rank, o.* FROM o CROSS JOIN r")
+def broadcast_columns(spark, d):
+    """Several value columns of one root, of several types."""
+    table = read(spark, d, "orders")
+    x = table.select((F.col("o_orderkey") % P).cast("int").alias("rank"), F.floor(F.col("o_orderkey") / P).alias("idx"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price"))
+    return C.broadcast(x, COMM, 3)
+
+
+_VECTOR_COUNT = "n AS (SELECT count(*) // 5 AS n FROM embeddings)"
+
+
+@query(f"WITH {_VECTORS}, {_VECTOR_COUNT} SELECT r.rank, x.rank * n.n + x.idx AS idx, CAST(x.place AS INTEGER) AS place, x.val FROM x CROSS JOIN r CROSS JOIN n")
+def embedding_all_gather(spark, d):
+    return _places(arrays.all_gather(embedded(spark, d), COMM, read(spark, d, "embeddings").count() // P))
+
+
+@query(f"WITH {_VECTORS}, {_VECTOR_COUNT}, w AS (SELECT idx, place, {', '.join(f'max(CASE WHEN rank = {k} THEN val END) AS v{k}' for k in range(P))} FROM x GROUP BY idx, place) SELECT CAST(w.idx // (n.n // 5) AS INTEGER) AS rank, w.idx % (n.n // 5) AS idx, CAST(w.place AS INTEGER) AS place, (v3 + v1) + (v2 + (v4 + v0)) AS val FROM w, n")
+def embedding_reduce_scatter_sum(spark, d):
+    return _places(arrays.reduce_scatter(embedded(spark, d), COMM, read(spark, d, "embeddings").count() // P // P))
+
+
+@query(f"WITH {_VECTORS}, {_VECTOR_COUNT} SELECT CAST(x.idx // (n.n // 5) AS INTEGER) AS rank, x.rank * (n.n // 5) + x.idx % (n.n // 5) AS idx, CAST(x.place AS INTEGER) AS place, x.val FROM x, n")
+def embedding_all_to_all(spark, d):
+    return _places(arrays.all_to_all(embedded(spark, d), COMM, read(spark, d, "embeddings").count() // P // P))
+
+
+# every element type through every operator, over the customers' balances
+
+#: Balances as each type: (Spark expression over c, the balance in cents, and c_acctbal; the same in SQL).
+_M = {k: f"pmod(c * 7919, {k})" for k in (1 << 16, 1 << 24, 1 << 32)}
+KINDS = {
+    "int8": "pmod(c, 256) - 128",
+    "int16": f"{_M[1 << 16]} - 32768",
+    "int32": f"{_M[1 << 32]} - 2147483648",
+    "int64": "c * 1000003",
+    "uint8": "pmod(c, 256)",
+    "uint16": _M[1 << 16],
+    "uint32": _M[1 << 32],
+    "uint64": "pmod(c, 1000000) * 1000000000",
+    "fp16": "(pmod(c, 4096) - 2048) / 16.0D",
+    "bfp16": "(pmod(c, 256) - 128) / 8.0D",
+    "fp32": f"{_M[1 << 24]} / 256.0D",
+    "fp64": "c_acctbal",
+}
+REDUCED = [k for k, t in DTYPES.items() if k in KINDS and t.reduces]
+
+
+def balances(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    table = read(spark, sf_dir, "customer").withColumn("c", F.round(F.col("c_acctbal") * 100).cast("bigint"))
+    return spread(table, "c_custkey", P, F.expr(KINDS[kind]).cast(DTYPES[kind].spark))
+
+
+def _kind_sql(kind: str) -> str:
+    import re
+
+    value = KINDS[kind].replace("D", "")
+    while (new := re.sub(r"pmod\(([^(),]*), (\d+)\)", r"((\1) % \2 + \2) % \2", value)) != value:
+        value = new
+    return f"SELECT '{kind}' AS kind, c_custkey % 5 AS rank, c_custkey // 5 AS idx, CAST({value} AS DOUBLE) AS val FROM (SELECT *, CAST(round(c_acctbal * 100) AS BIGINT) AS c FROM customer)"
+
+
+_GRID = f"x AS ({' UNION ALL '.join(_kind_sql(k) for k in KINDS)}), r AS (SELECT CAST(unnest(range(5)) AS INTEGER) AS rank), n AS (SELECT count(*) // 5 AS n FROM customer)"
+
+
+def _sums_sql(kinds: list[str]) -> str:
+    """(kind, op, idx, val): each type's sums in its own arithmetic, and the largest and smallest values."""
+    cols = ", ".join(f"max(CASE WHEN rank = {k} THEN val END) AS v{k}" for k in range(P))
+    parts = []
+    for kind in kinds:
+        bits, of = DTYPES[kind].signed_bits, f"(SELECT * FROM w WHERE kind = '{kind}')"
+        if bits:
+            total = _wrap(" + ".join(f"CAST(v{k} AS HUGEINT)" for k in range(P)).join("()"), bits, "DOUBLE")
+            own = f"SELECT kind, idx, {total} AS val FROM {of}"
+        elif kind in _FLOATS:
+            own = _steps_sql(of, "kind, idx", kind)
+        elif kind == "fp32":
+            own = f"SELECT kind, idx, {reduce(lambda a, b: f'CAST(CAST({a} + {b} AS FLOAT) AS DOUBLE)', [f'v{k}' for k in range(P)])} AS val FROM {of}"
+        else:  # sums of the unsigned values don't reach 2^53
+            own = f"SELECT kind, idx, (((v0 + v1) + v2) + v3) + v4 AS val FROM {of}"
+        parts.append(f"SELECT kind, 'sum' AS op, idx, val FROM ({own})")
+        parts += [f"SELECT kind, '{op}' AS op, idx, {name}(v0, v1, v2, v3, v4) AS val FROM {of}" for op, name in (("max", "greatest"), ("min", "least"))]
+    return f"w AS (SELECT kind, idx, {cols} FROM x GROUP BY kind, idx), y AS ({' UNION ALL '.join(parts)})"
+
+
+def _all_kinds(make: Callable[[str], DataFrame], kinds) -> DataFrame:
+    out = [make(k).select(F.lit(k).alias("kind"), F.col("rank").cast("int").alias("rank"), F.col("idx").cast("bigint").alias("idx"), F.col("val").cast("double").alias("val")) for k in kinds]
+    return reduce(DataFrame.unionByName, out)
+
+
+def _all_sums(spark: SparkSession, d: str, kinds, run: Callable[..., DataFrame]) -> DataFrame:
+    out = [_all_kinds(lambda k: run(balances(spark, d, k), op, k, order="fixed"), kinds).withColumn("op", F.lit(op)) for op in ("sum", "max", "min")]  # noqa: B023
+    return reduce(DataFrame.unionByName, out)
+
+
+def _customers(spark: SparkSession, d: str) -> int:
+    return read(spark, d, "customer").count() // P
+
+
+@query(f"WITH {_GRID}, {_sums_sql(REDUCED)} SELECT kind, op, r.rank, idx, val FROM y CROSS JOIN r")
+def types_all_reduce(spark, d):
+    return _all_sums(spark, d, REDUCED, lambda x, op, k, **how: C.all_reduce(x, COMM, op, k, **how))
+
+
+@query(f"WITH {_GRID}, {_sums_sql(REDUCED)} SELECT kind, op, CAST(4 AS INTEGER) AS rank, idx, val FROM y")
+def types_reduce(spark, d):
+    return _all_sums(spark, d, REDUCED, lambda x, op, k, **how: C.reduce(x, COMM, 4, op, k, **how))
+
+
+@query(f"WITH {_GRID}, {_sums_sql(REDUCED)} SELECT kind, op, CAST(idx // (n // 5) AS INTEGER) AS rank, idx % (n // 5) AS idx, val FROM y, n")
+def types_reduce_scatter(spark, d):
+    m = _customers(spark, d) // P
+    return _all_sums(spark, d, REDUCED, lambda x, op, k, **how: C.reduce_scatter(x, COMM, m, op, k, **how))
+
+
+_REDUCED_V = [k for k in REDUCED if k not in ("uint64", "fp64")]
+
+
+@query(f"WITH {_GRID}, {_EXTENTS}, {_sums_sql(_REDUCED_V)} SELECT kind, op, ed.rank, CAST(y.idx - ed.displ AS BIGINT) AS idx, val FROM y JOIN ed ON y.idx >= ed.displ AND y.idx < ed.displ + ed.cnt")
+def types_reduce_scatter_v(spark, d):
+    ext = uneven(spark, _customers(spark, d))
+    return _all_sums(spark, d, _REDUCED_V, lambda x, op, k, **how: C.reduce_scatter_v(x, COMM, ext, op, k, **how))
+
+
+@query(f"WITH {_GRID} SELECT kind, r.rank, x.idx, x.val FROM x CROSS JOIN r WHERE x.rank = 2")
+def types_broadcast(spark, d):
+    return _all_kinds(lambda k: C.broadcast(balances(spark, d, k), COMM, 2), KINDS)
+
+
+@query(f"WITH {_GRID} SELECT kind, r.rank, x.rank * n.n + x.idx AS idx, x.val FROM x CROSS JOIN r CROSS JOIN n")
+def types_all_gather(spark, d):
+    n = _customers(spark, d)
+    return _all_kinds(lambda k: C.all_gather(balances(spark, d, k), COMM, n), KINDS)
+
+
+@query(f"WITH {_GRID} SELECT kind, r.rank, (4 - x.rank) * (n.n + 2) + 1 + x.idx AS idx, x.val FROM x CROSS JOIN r CROSS JOIN n")
+def types_all_gather_v(spark, d):
+    n = _customers(spark, d)
+    ext = E.from_lists(spark, [n] * P, [(P - 1 - r) * (n + 2) + 1 for r in range(P)])
+    return _all_kinds(lambda k: C.all_gather_v(balances(spark, d, k), COMM, ext, check=k == "int8"), KINDS)
+
+
+@query(f"WITH {_GRID} SELECT kind, CAST(x.idx // (n.n // 5) AS INTEGER) AS rank, x.idx % (n.n // 5) AS idx, x.val FROM x, n WHERE x.rank = 1")
+def types_scatter(spark, d):
+    m = _customers(spark, d) // P
+    return _all_kinds(lambda k: C.scatter(balances(spark, d, k), COMM, 1, m), KINDS)
+
+
+@query(f"WITH {_GRID} SELECT kind, CAST(x.idx // (n.n // 5) AS INTEGER) AS rank, x.rank * (n.n // 5) + x.idx % (n.n // 5) AS idx, x.val FROM x, n")
+def types_all_to_all(spark, d):
+    m = _customers(spark, d) // P
+    return _all_kinds(lambda k: C.all_to_all(balances(spark, d, k), COMM, m), KINDS)
+
+
+@query(f"WITH {_GRID}, {_MATRIX} SELECT kind, mv.dst AS rank, CAST(mv.rdispl + 2 * mv.src + x.idx - mv.sdispl AS BIGINT) AS idx, x.val FROM x JOIN mv ON x.rank = mv.src AND x.idx >= mv.sdispl AND x.idx < mv.sdispl + mv.cnt")
+def types_all_to_all_v(spark, d):
+    apart = E.kept(E.from_matrix(matrix(spark, _customers(spark, d))).withColumn("rdispl", F.col("rdispl") + 2 * F.col("src")))
+    return _all_kinds(lambda k: C.all_to_all_v(balances(spark, d, k), COMM, apart), KINDS)
+
+
+@query(f"WITH {_GRID}, {_MATRIX} SELECT kind, mv.dst AS rank, CAST(mv.rdispl + x.idx - mv.sdispl AS BIGINT) AS idx, x.val FROM x JOIN mv ON x.rank = mv.src AND x.idx >= mv.sdispl AND x.idx < mv.sdispl + mv.cnt")
+def types_all_to_all_vc(spark, d):
+    m = matrix(spark, _customers(spark, d))
+    return _all_kinds(lambda k: C.all_to_all_vc(balances(spark, d, k), COMM, m), KINDS)
+
+
+@query(f"WITH {_GRID} SELECT kind, CAST(rank + 1 AS INTEGER) AS rank, idx, val FROM x WHERE rank IN (0, 2)")
+def types_send_recv(spark, d):
+    pairs = E.local(spark, "src int, dst int", [(0, 1), (2, 3)])
+    return _all_kinds(lambda k: C.send_recv(balances(spark, d, k), COMM, pairs), KINDS)
+
+
+@query(f"WITH {_GRID} SELECT kind, CAST((x.rank + 1) % 5 AS INTEGER) AS rank, x.idx + 7 AS idx, x.val FROM x")
+def types_batch_send_recv(spark, d):
+    n = _customers(spark, d)
+    ring = [i for r in range(P) for i in (C.item(r, 0, "send", (r + 1) % P, 0, n), C.item(r, 1, "recv", (r - 1) % P, 7, n))]
+    return _all_kinds(lambda k: C.batch_send_recv(balances(spark, d, k), COMM, C.items(spark.range(1), ring)), KINDS)
+
+
+# where the elements of every other operator's result come from
+
+_TRACED = ("all_gather", "all_gather_v", "all_to_all_v", "all_to_all_vc", "batch_send_recv", "broadcast", "gather", "reduce", "reduce_scatter", "reduce_scatter_v", "scatter", "send_recv")
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{name}', CAST(0 AS BIGINT))" for name in _TRACED) + ") AS t(operator, broken)")
+def lineage_of_all_others(spark, d):
+    """For each operator how many elements of its result don't come from where its rule says, are missing, or are there twice."""
+    n = _customers(spark, d)
+    own = balances(spark, d, "int64")
+    x, at, m = lineage.traced(own), own.select("rank", "idx"), n // P
+    sets = x.withColumn("val", F.array("val"))
+    every = at.select(F.col("rank").alias("src_rank"), F.col("idx").alias("src_idx"))
+    ranks = COMM.ranks(spark)
+    ext, mat = uneven(spark, n), matrix(spark, n)
+    blocks = E.kept(E.from_matrix(mat))
+    ring = C.items(x, [i for r in range(P) for i in (C.item(r, 0, "send", (r + 1) % P, 0, n), C.item(r, 1, "recv", (r - 1) % P, 7, n))])
+    held = every.join(F.broadcast(ext), (F.col("src_idx") >= F.col("displ")) & (F.col("src_idx") < F.col("displ") + F.col("cnt")))
+    sent = every.join(F.broadcast(blocks), (F.col("src_rank") == F.col("src")) & (F.col("src_idx") >= F.col("sdispl")) & (F.col("src_idx") < F.col("sdispl") + F.col("scnt")))
+    sent = sent.select(F.col("dst").alias("rank"), (F.col("rdispl") + F.col("src_idx") - F.col("sdispl")).alias("idx"), "src_rank", "src_idx")
+    gathered = every.select((F.col("src_rank") * n + F.col("src_idx")).alias("idx"), "src_rank", "src_idx")
+    root = every.filter("src_rank = 3")
+    split = [F.floor(F.col("src_idx") / m).cast("int").alias("rank"), (F.col("src_idx") % m).alias("idx")]
+    cases = {
+        "all_gather": (C.all_gather(x, COMM, n), gathered.crossJoin(ranks)),
+        "all_gather_v": (C.all_gather_v(x, COMM, E.from_lists(spark, [n] * P), check=False), gathered.crossJoin(ranks)),
+        "all_to_all_v": (C.all_to_all_v(x, COMM, blocks), sent),
+        "all_to_all_vc": (C.all_to_all_vc(x, COMM, mat), sent),
+        "batch_send_recv": (C.batch_send_recv(x, COMM, ring), every.select(((F.col("src_rank") + 1) % P).alias("rank"), (F.col("src_idx") + 7).alias("idx"), "src_rank", "src_idx")),
+        "broadcast": (C.broadcast(x, COMM, 3), root.withColumn("idx", F.col("src_idx")).crossJoin(ranks)),
+        "gather": (C.gather(x, COMM, 1, n), gathered.withColumn("rank", F.lit(1))),
+        "reduce": (C.reduce(sets, COMM, 2, trace=True), every.withColumns({"rank": F.lit(2), "idx": F.col("src_idx")})),
+        "reduce_scatter": (C.reduce_scatter(sets, COMM, m, trace=True), every.select(*split, "src_rank", "src_idx")),
+        "reduce_scatter_v": (C.reduce_scatter_v(sets, COMM, ext, trace=True), held.select("rank", (F.col("src_idx") - F.col("displ")).alias("idx"), "src_rank", "src_idx")),
+        "scatter": (C.scatter(x, COMM, 3, m), root.select(*split, "src_rank", "src_idx")),
+        "send_recv": (C.send_recv(x, COMM, E.local(spark, "src int, dst int", [(0, 1), (2, 3)])), every.filter("src_rank in (0, 2)").withColumns({"rank": F.col("src_rank") + 1, "idx": F.col("src_idx")})),
+    }
+    found = [lineage.broken(got, want).agg(F.count("*").alias("broken")).select(F.lit(name).alias("operator"), "broken") for name, (got, want) in cases.items()]
+    return reduce(DataFrame.unionByName, found)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -68,5 +71,24 @@ def extents(rows: DataFrame, comm: Comm, cnt: str = "cnt", displ: str = "displ",
         none(rows.filter(F.col(cnt) > 0).withColumn("before", end), F.col("before") > F.col(displ), "overlapping extents")
 
 
-def matching(left: Column, right: Column, rows: DataFrame, what: str) -> None:
-    none(rows, ~left.eqNullSafe(right), what)
+def blocks(rows: DataFrame, comm: Comm) -> None:
+    """Extents (src, dst, scnt, sdispl, rcnt, rdispl): counts in range, what is sent is what is received, and no pair comes twice."""
+    some = [F.col(c).between(0, MOST_COUNT) for c in ("scnt", "sdispl", "rcnt", "rdispl")] + [F.col(c).between(0, comm.size - 1) for c in ("src", "dst")]
+    none(rows, ~F.coalesce(reduce(and_, some), F.lit(False)), "an extent out of range")
+    none(rows, F.col("scnt") != F.col("rcnt"), "a rank that expects another count than is sent")
+    none(rows.groupBy("src", "dst").count(), F.col("count") > 1, "two extents for one pair of ranks")
+
+
+def matrix(rows: DataFrame, comm: Comm) -> None:
+    """A matrix (src, dst, cnt): the largest entry is a legal count, the smallest isn't negative, and no pair comes twice."""
+    none(rows, ~F.coalesce(F.col("cnt").between(0, MOST_COUNT) & F.col("src").between(0, comm.size - 1) & F.col("dst").between(0, comm.size - 1), F.lit(False)), "a count out of range")
+    none(rows.groupBy("src", "dst").count(), F.col("count") > 1, "two counts for one pair of ranks")
+
+
+def counts(x: DataFrame, extents: DataFrame) -> None:
+    """Every rank holds just as many elements as its extent (rank, cnt, displ) has, without holes."""
+    per = x.groupBy("rank").agg(F.count("*").alias("n"), F.countDistinct("idx").alias("places"), F.min("idx").alias("first"), F.max("idx").alias("last"))
+    both = extents.select("rank", "cnt").join(per, "rank", "full")
+    n = F.coalesce("n", F.lit(0))
+    fine = (n == F.col("cnt")) & ((n == 0) | (F.col("places") == n) & (F.col("first") == 0) & (F.col("last") == n - 1))
+    none(both, ~F.coalesce(fine, F.lit(False)), "a rank that holds another count than its extent")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import json
 import operator
 
 import numpy as np
@@ -12,11 +13,11 @@ from pyspark.sql import functions as F
 from rankmesh import lineage, validate
 from rankmesh.functions import reductions as R
 from rankmesh.model import DTYPES, Comm
-from rankmesh.operators import arrays
+from rankmesh.operators import arrays, registry
 from rankmesh.operators import collectives as C
 from rankmesh.plans import extents as E
-from rankmesh.plans import families, shapes
-from rankmesh.sources import relations
+from rankmesh.plans import families, rules, shapes
+from rankmesh.sources import relations, topology
 
 P = 8
 COMM = Comm(P)
@@ -301,12 +302,178 @@ def test_forms_and_placement(spark, own):
 
 
 def test_barrier(own):
-    assert sorted(C.barrier(own.repartition(2)).collect()) == sorted(own.collect())
+    out = C.barrier(own, 2)
+    assert out.columns == own.columns and sorted(out.collect()) == sorted(own.collect())
 
 
-def test_rank_filter_is_pushed_below_the_copies(own):
-    plan = C.all_reduce(own, COMM).filter("rank = 3")._jdf.queryExecution().executedPlan().toString()
-    assert "BroadcastNestedLoopJoin" in plan or "CartesianProduct" not in plan
+def test_rank_filter_is_pushed_below_the_copies(spark, own):
+    """The filter is on the small side of the join that makes the copies, not above it."""
+    plan = C.broadcast(own, COMM, 1).filter("rank = 3")._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    join = next(k for k, line in enumerate(plan) if "Join" in line)
+    assert not any("Filter" in line for line in plan[:join])
+    ranks = next(k for k, line in enumerate(plan) if "Range (" in line)
+    assert any("Filter" in line and "3" in line for line in plan[join:ranks])
+
+
+def bfloat(x: np.ndarray) -> np.ndarray:
+    """Nearest bfloat16, ties to even, by the bits of a float."""
+    bits = x.astype(np.float32).view(np.uint32).astype(np.uint64)
+    rounded = (bits + 0x7FFF + (bits >> 16 & 1)) >> 16 << 16
+    return rounded.astype(np.uint32).view(np.float32)
+
+
+def test_bfloat_rounds_to_even(spark):
+    rng = np.random.default_rng(2)
+    some = np.concatenate([rng.integers(0, 1 << 32, 4000, dtype=np.uint32).view(np.float32), rng.normal(0, 1, 2000).astype(np.float32), np.float32([0, -0.0, 1 + 2**-10, 1 + 2**-8, 1 + 3 * 2**-8, 3.39e38, 3.4e38, -3.4e38, 2**-126, 1e-40, np.inf, -np.inf])])
+    some = some[~np.isnan(some)]
+    got = [r[0] for r in spark.createDataFrame([(float(v),) for v in some], "v float").select(R.to_bfloat(F.col("v"))).collect()]
+    assert np.array_equal(np.float32(got), bfloat(some))
+
+
+def test_bfloat_sum_rounds_each_step(spark):
+    rng = np.random.default_rng(4)
+    values = bfloat(rng.normal(0, 100, (5, 50)))
+    x = array(spark, [[float(v) for v in b] for b in values], "float")
+    want = values[0]
+    for b in values[1:]:
+        want = bfloat(want + b)
+    assert np.array_equal(np.float32(held(C.all_reduce(x, Comm(5), "sum", "bfp16"))[2]), want)
+    assert held(C.all_reduce(array(spark, [[1.0], [2.0**-10]], "float"), Comm(2), "sum", "bfp16"))[0] == [1.0]
+
+
+@pytest.mark.parametrize("p", [65, 100, 128])
+def test_strict_order_over_many_ranks(spark, p):
+    rng = np.random.default_rng(p)
+    v = (rng.normal(0, 1, (p, 4)) * 10.0 ** rng.integers(-8, 8, (p, 4))).tolist()
+
+    def tree(x):
+        x = list(x)
+        while len(x) > 1:
+            m = 1 << (len(x) - 1).bit_length() - 1
+            for s in range(m, len(x)):
+                x[s % m] = x[s] + x[s % m]
+            x = x[:m]
+        return x[0]
+
+    want = [tree(c) for c in zip(*v, strict=True)]
+    assert held(C.reduce(array(spark, v, "double"), Comm(p), 0, "sum", "fp64", order="strict"))[0] == want
+    rows = spark.createDataFrame([(r, 0, b) for r, b in enumerate(v)], "rank int, idx bigint, vals array<double>")
+    assert arrays.all_reduce(rows, Comm(p)).filter("rank = 1").first().vals == want
+    left = arrays.all_reduce(rows, Comm(p), strict=False).filter("rank = 0").first().vals
+    assert left == [functools.reduce(operator.add, c) for c in zip(*v, strict=True)]
+
+
+def test_preconditions_of_unequal_blocks(spark, own):
+    ext = E.from_lists(spark, [P] * P)
+    with pytest.raises(ValueError):  # rank 2 holds fewer, then more, than its extent
+        C.all_gather_v(own.filter("rank != 2 or idx != 7"), COMM, ext)
+    with pytest.raises(ValueError):
+        C.all_gather_v(own, COMM, E.from_lists(spark, [P] * 2 + [P - 1] + [P] * 5))
+    with pytest.raises(ValueError):
+        C.all_gather_v(own, COMM, E.from_lists(spark, [P] * P, [0] * P))
+    with pytest.raises(Exception, match="beyond its rank's extent"):
+        C.all_gather_v(own, COMM, E.from_lists(spark, [P - 1] * P), check=False).collect()
+    block = "src int, dst int, scnt bigint, sdispl bigint, rcnt bigint, rdispl bigint"
+    for rows in ([(0, 1, 4, 0, 2, 0)], [(0, P, 1, 0, 1, 0)], [(0, 1, -1, 0, -1, 0)], [(0, 1, 1, 0, 1, 0)] * 2, [(0, None, 1, 0, 1, 0)]):
+        with pytest.raises(ValueError):
+            C.all_to_all_v(own, COMM, spark.createDataFrame(rows, block))
+    for rows in ([(0, 1, -1)], [(0, 1, 1 << 40)], [(0, 1, 1)] * 2, [(0, 9, 1)]):
+        with pytest.raises(ValueError):
+            C.all_to_all_vc(own, COMM, spark.createDataFrame(rows, "src int, dst int, cnt bigint"))
+    for rows in ([(0, P)], [(0, 1), (2, 1)]):
+        with pytest.raises(ValueError):
+            C.send_recv(own, COMM, spark.createDataFrame(rows, "src int, dst int"))
+    with pytest.raises(ValueError):
+        C.all_reduce(own.filter("rank != 3 or idx != 2"), COMM, held=P)
+    with pytest.raises(ValueError):
+        C.all_gather(own, COMM, P - 1, check=True)
+    assert held(C.all_reduce(own, COMM, held=P))[0] == [sum(range(P))] * P
+
+
+def test_received_schema(spark):
+    x = array(spark, [[1, 300], [0, 0]])
+    assert dict(C.recv(x, Comm(2), 1, 0, "smallint").dtypes)["val"] == "smallint"
+    assert held(C.recv(x, Comm(2), 1, 0, "smallint")) == {1: [1, 300]}
+    with pytest.raises(Exception, match="tinyint can't hold"):
+        C.recv(x, Comm(2), 1, 0, "tinyint").collect()
+
+
+def rank_table(levels, **more) -> str:
+    return json.dumps({"rank_count": len(levels), "rank_list": [{"rank_id": r, "level_list": [{"net_layer": k, "net_instance_id": n} for k, n in own.items()]} for r, own in enumerate(levels)]} | more)
+
+
+def test_rank_tables():
+    comm = topology.from_rank_table(rank_table([{0: "b", 1: "x"}, {0: "b", 1: "x"}, {0: "a", 1: "x"}, {0: "c", 1: "y"}], version="2.0"))
+    assert comm == Comm(4, ((0, 0, 1, 2), (0, 0, 0, 1)))
+    assert topology.from_rank_table(rank_table([{}, {}])) == Comm(2)
+    for bad in (rank_table([{0: "a"}, {}]), rank_table([{0: "a", 1: "x"}, {0: "a", 1: "y"}]), rank_table([{}], rank_count=2), rank_table([{k: "a" for k in range(5)}]), json.dumps({"rank_list": [{"rank_id": 0}, {"rank_id": 0}]}), json.dumps({"rank_list": [{"rank_id": 1}]})):
+        with pytest.raises(ValueError):
+            topology.from_rank_table(bad)
+
+
+def test_tuner_rules():
+    text = json.dumps({"version": 1, "op_types": {"allreduce": {"rules": [
+        {"match": {"min_ranks": 4, "max_ranks": 8, "min_bytes": 0, "max_bytes": 64, "data_type": "FP32"}, "template": "meshoneshot", "cost": 0.25},
+        {"match": {"min_ranks": 8, "max_ranks": 8, "min_bytes": 0, "max_bytes": 1000}, "template": "nhr", "cost": 0.0},
+        {"match": {"min_ranks": 8, "max_ranks": 8}, "template": "mesh", "cost": -1},
+    ]}}})
+    table = rules.load(text)
+    comm = Comm.nested([[0, 1, 2, 3], [4, 5, 6, 7]])
+    for dtype, count, want in (("fp32", 16, {"one_stage": 0.25}), ("fp32", 17, {"by_level": 0.0}), ("int64", 16, {"by_level": 0.0}), ("int64", 1000, {"one_stage": -1.0})):
+        q = shapes.Request("sum", DTYPES[dtype], comm)
+        tune = rules.tuner(table, "all_reduce", q, count)
+        plain = {"one_stage": 1.0, "by_level": 2.0, "left_fold": 1.5}
+        assert tune(plain) == plain | want
+        taken = shapes.choose(q, tuner=tune).shape.name
+        assert taken == ("left_fold" if want.get("one_stage") == -1 else next(iter(want)))
+    assert rules.tuner(table, "reduce", q, 1)({"one_stage": 1.0}) == {"one_stage": 1.0}
+    assert rules.shape_of("meshconcurnhrnhr") == "one_stage" and rules.shape_of("nothing") is None
+    for bad in ({"version": 2}, {"version": 1, "op_types": {"x": {"rules": [{"match": {}}]}}}, {"version": 1, "op_types": {"x": {"rules": [{"match": {}, "template": "mesh", "cost": -2}]}}}):
+        with pytest.raises(ValueError):
+            rules.load(json.dumps(bad))
+
+
+def test_operators_by_name(spark, same, own, monkeypatch):
+    monkeypatch.setattr(registry, "OPERATORS", {k: dict(v) for k, v in registry.OPERATORS.items()})
+    assert held(registry.run("all_reduce", same, COMM)) == held(C.all_reduce(same, COMM)) == held(registry.run("all_reduce", same, COMM, plan="one_shot"))
+    for name, args in (("broadcast", (3,)), ("all_gather", (P,)), ("all_to_all", (1,))):
+        plans = list(registry.OPERATORS[name])
+        assert len(plans) > 1 and registry.choose(name, own, COMM, *args).name == "plain"
+        results = [held(registry.run(name, own, COMM, *args, plan=p)) for p in plans]
+        assert all(r == results[0] for r in results)
+
+    @registry.operator("turned")
+    def turned(x, comm, by):
+        return x.select(((F.col("rank") + by) % comm.size).cast("int").alias("rank"), "idx", "val")
+
+    @registry.operator("turned", "slow", cost=lambda *a, **k: 5.0)
+    def slow(x, comm, by):
+        return turned(x, comm, by).repartition(2)
+
+    assert held(registry.run("turned", own, COMM, 2))[2] == [0] * P == held(registry.run("turned", own, COMM, by=2, plan="slow"))[2]
+    registry.operator("turned", legal=lambda *a, **k: False)(turned)
+    assert registry.choose("turned", own, COMM, 1).name == "slow"
+    for call in (lambda: registry.run("nothing", own, COMM), lambda: registry.run("turned", own, COMM, plan="x")):
+        with pytest.raises(ValueError):
+            call()
+
+
+def test_lineage_of_moves(own):
+    x, at = lineage.traced(own), own.select("rank", "idx", F.col("rank").alias("src_rank"), F.col("idx").alias("src_idx"))
+    assert lineage.broken(x, at).count() == 0
+    assert lineage.broken(x.filter("rank != 1 or idx != 0"), at).count() == 1
+    assert lineage.broken(x.unionByName(x.filter("rank = 1 and idx = 0")), at).count() == 1
+    assert lineage.broken(x.withColumn("idx", 7 - F.col("idx")), at).count() == 2 * P * P
+    assert lineage.broken(x.withColumn("val", F.array("val", "val")), at).count() == P * P
+
+
+def test_array_forms(spark):
+    v = np.random.default_rng(8).normal(0, 1, (3, 6, 2))
+    x = spark.createDataFrame([(r, i, v[r, i].tolist()) for r in range(3) for i in range(6)], "rank int, idx bigint, vals array<double>")
+    got = {(r["rank"], r.idx): r.vals for r in arrays.reduce_scatter(x, Comm(3), 2).collect()}
+    assert got == {(i // 2, i % 2): (v[1, i] + (v[2, i] + v[0, i])).tolist() for i in range(6)}
+    assert {(r["rank"], r.idx): r.vals for r in arrays.all_gather(x, Comm(3), 6).collect()} == {(d, r * 6 + i): v[r, i].tolist() for d in range(3) for r in range(3) for i in range(6)}
+    assert {(r["rank"], r.idx): r.vals for r in arrays.all_to_all(x, Comm(3), 2).collect()} == {(i // 2, r * 2 + i % 2): v[r, i].tolist() for r in range(3) for i in range(6)}
 
 
 def test_costs_and_output_counts():
@@ -318,3 +485,12 @@ def test_costs_and_output_counts():
     assert families.output_count("all_to_all_v", 0, counts=[1, 2], displs=[5, 0]) == 6
     with pytest.raises(ValueError):
         families.output_count("reduce_scatter", 5, 4)
+    assert families.cost("broadcast", "ring", 10, 4, 1, 1, 0) == 33 and families.cost("reduce_scatter", "ring", 8, 4, 0, 0, 1) == 6
+    assert families.cost("all_gather", "star", 8, 4, 1, 1, 1) == 9 and families.cost("scatter", "uneven_bruck", 8, 5, 1, 0, 0) == 3
+    assert families.cost("reduce_scatter", "halving_doubling", 8, 6, 1, 0, 0) == 3  # one step to fold, two to halve
+    assert families.pairwise_cost([[0, 3, 1], [2, 0, 5], [4, 1, 0]], 1, 1) == 2 + 5 + 2
+    assert families.pipeline_cost("all_reduce", 16, 8, 3, (0, 1), (1, 2)) == 2 * (5 * 2 + 2)
+    assert families.levels_cost(12, [2, 4], 2, 1, 0, 0) == 6
+    for call in (lambda: families.cost("all_to_all", "ring", 1, 2, 1, 1, 1), lambda: families.cost("reduce", "none", 1, 2, 1, 1, 1), lambda: families.pipeline_cost("reduce", 1, 2, 2, (1, 1), (1, 1))):
+        with pytest.raises(ValueError):
+            call()

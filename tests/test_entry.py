@@ -17,6 +17,12 @@ def test_imports_and_lists_without_a_session():
     subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True)
 
 
+@pytest.mark.parametrize("missing", ["xxhash", "rankmesh.llm", "corpus_pipeline"])
+def test_the_other_queries_stay_when_something_is_missing(missing):
+    code = f"import sys; sys.modules[{missing!r}] = None; import __spark_entry__ as e; q, s = e.queries(), e.oracle_sql(); assert set(s) <= set(q) and 'all_reduce_sum' in q and 'pipeline' not in q"
+    subprocess.run([sys.executable, "-W", "ignore", "-c", code], cwd=ROOT, check=True)
+
+
 @pytest.mark.skipif(not SMALL.exists(), reason="the driver's tables aren't here")
 def test_flagship(spark):
     import __spark_entry__ as entry
