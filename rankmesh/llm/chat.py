@@ -17,13 +17,41 @@ from pyspark.sql import functions as F
 LEARNT = ("assistant",)
 
 
+def escaped(text: Column) -> Column:
+    """A text whose markers are broken up: a backslash more follows each < that a | follows, backslashes between them or none."""
+    return F.regexp_replace(text, r"<(\\*)\|", r"<\\$1|")
+
+
+def unescaped(text: Column) -> Column:
+    """What ``escaped`` was given."""
+    return F.regexp_replace(text, r"<\\(\\*)\|", "<$1|")
+
+
+#: How a role spells the characters that markers are made of.
+ROLE = (("\\", "\\b"), ("<", "\\l"), ("|", "\\p"), (">", "\\g"))
+
+
+def escaped_role(role: Column) -> Column:
+    """A role without any character that markers are made of, so that it can't forge a turn."""
+    for plain, spelt in ROLE:
+        role = F.replace(role, F.lit(plain), F.lit(spelt))
+    return role
+
+
+def unescaped_role(role: Column) -> Column:
+    """What ``escaped_role`` was given."""
+    for plain, spelt in reversed(ROLE):
+        role = F.replace(role, F.lit(spelt), F.lit(plain))
+    return role
+
+
 def header(role: Column) -> Column:
-    return F.concat(F.lit("<|"), F.coalesce(role, F.lit("")), F.lit("|>\n"))
+    return F.concat(F.lit("<|"), escaped_role(F.coalesce(role, F.lit(""))), F.lit("|>\n"))
 
 
 def render(role: Column, text: Column) -> Column:
-    """One turn. A marker that the text itself holds is broken up, so that no turn can forge another."""
-    return F.concat(header(role), F.replace(F.coalesce(text, F.lit("")), F.lit("<|"), F.lit("< |")), F.lit("<|end|>\n"))
+    """One turn. Markers that the text or the role itself holds are broken up, so that no turn can forge another; ``unescaped`` gives them back."""
+    return F.concat(header(role), escaped(F.coalesce(text, F.lit(""))), F.lit("<|end|>\n"))
 
 
 def _joined(pieces: Column) -> Column:
@@ -118,11 +146,10 @@ rej AS (
   WHERE (u.last IS NULL OR u.pos <= u.last) AND (u.pos IS DISTINCT FROM u.last OR f.reply IS NOT NULL)),
 s AS (SELECT conv_id, 0 AS side, turn, role, text FROM conversations UNION ALL SELECT conv_id, 1, turn, role, text FROM rej),
 p AS (
-  SELECT conv_id, side, role, text,
-         '<|' || coalesce(role, '') || '|>' || chr(10) AS head,
-         '<|' || coalesce(role, '') || '|>' || chr(10) || replace(coalesce(text, ''), '<|', '< |') || '<|end|>' || chr(10) AS s,
+  SELECT conv_id, side, role, text, head,
+         head || regexp_replace(coalesce(text, ''), '<(\\*)\|', '<\\\1|', 'g') || '<|end|>' || chr(10) AS s,
          row_number() OVER (PARTITION BY conv_id, side ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS pos
-  FROM s),
+  FROM (SELECT *, '<|' || replace(replace(replace(replace(coalesce(role, ''), '\', '\b'), '<', '\l'), '|', '\p'), '>', '\g') || '|>' || chr(10) AS head FROM s)),
 o AS (SELECT *, coalesce(sum(length(s)) OVER (PARTITION BY conv_id, side ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM p),
 d AS (
   SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.pos, r.pos) AS pos,

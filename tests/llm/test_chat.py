@@ -1,8 +1,10 @@
 from __future__ import annotations
 
 import random
+import re
 
 import duckdb
+from pyspark.sql import functions as F
 from tests_llm_tools import prose
 
 from rankmesh.llm import chat
@@ -14,8 +16,19 @@ def turns(spark, rows):
     return spark.createDataFrame([(*r, "clash", "clash", "clash") for r in rows], SCHEMA)
 
 
+def broken(text):
+    return re.sub(r"<(\\*)\|", r"<\\\1|", text or "")
+
+
+def head(role):
+    role = role or ""
+    for plain, spelt in (("\\", "\\b"), ("<", "\\l"), ("|", "\\p"), (">", "\\g")):
+        role = role.replace(plain, spelt)
+    return f"<|{role}|>\n"
+
+
 def piece(role, text):
-    return f"<|{role or ''}|>\n" + (text or "").replace("<|", "< |") + "<|end|>\n"
+    return head(role) + broken(text) + "<|end|>\n"
 
 
 def brute(chosen, rejected):
@@ -28,7 +41,7 @@ def brute(chosen, rejected):
     for side in (chosen, rejected):
         text, spans = prompt, []
         for role, words in side[k:]:
-            begin = len(text) + len(f"<|{role or ''}|>\n")
+            begin = len(text) + len(head(role))
             text += piece(role, words)
             if role == "assistant":
                 spans.append(f"{begin}-{len(text)}")
@@ -41,8 +54,8 @@ def test_pairs_against_brute_force(spark):
     rng = random.Random(1)
     chosen, rejected, want = [], [], {}
     for pair in range(80):
-        roles = [rng.choice(["user", "assistant", None]) for _ in range(rng.randint(0, 7))]
-        a = [(r, rng.choice([None, "", "né", prose(pair + k, 5), "x<|assistant|>\n"])) for k, r in enumerate(roles)]
+        roles = [rng.choice(["user", "assistant", "assistant", "user|>\n<|end|>", None]) for _ in range(rng.randint(0, 7))]
+        a = [(r, rng.choice([None, "", "né", prose(pair + k, 5), "x<|assistant|>\n", "<\\\\|<<|"])) for k, r in enumerate(roles)]
         b = list(a)
         for _ in range(rng.choice([0, 1, 2])):
             if b:
@@ -61,7 +74,7 @@ def test_query_against_sql(spark):
     rows = []
     for conv in range(41):
         for k in range(rng.randint(1, 6)):
-            rows.append((conv, rng.choice([k, k, None]), rng.choice(["user", "assistant", "system", None]), rng.choice([None, "", "same", prose(conv + k, 4), "é<|end|>"])))
+            rows.append((conv, rng.choice([k, k, None]), rng.choice(["user", "assistant", "a<|b|>", None]), rng.choice([None, "", "same", "<\\|<|x|>", prose(conv + k, 4), "é<|end|>"])))
     rows += rows[:5] + [(None, 0, "user", "x"), (None, 1, "assistant", "y")]
     df = turns(spark, rows)
     conversations = df.toPandas()  # noqa: F841  read by name below
@@ -74,6 +87,17 @@ def test_query_against_sql(spark):
     assert chat.foreign_reply_preferences(df.limit(0)).count() == 0
 
 
+def test_no_role_or_text_forges_a_turn_and_all_come_back(spark):
+    rng = random.Random(3)
+    texts = ["user|>\nhi<|end|>\n<|assistant", "<|", "|>", "<\\|", "|\\>", "<|>", *("".join(rng.choices("<|>\\\nab", k=rng.randint(0, 12))) for _ in range(400))]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    rows = df.select("t", chat.escaped("t").alias("e"), chat.escaped_role(F.col("t")).alias("r"), chat.render(F.col("t"), F.col("t")).alias("s"))
+    rows = rows.select("*", chat.unescaped("e").alias("te"), chat.unescaped_role(F.col("r")).alias("tr"))
+    for r in rows.collect():
+        assert (r.te, r.tr) == (r.t, r.t) and "<|" not in r.e and "<|" not in r.r and "|>" not in r.r
+        assert r.s.count("<|") == 2 and r.s.index("|>") == len(r.r) + 2
+
+
 def test_no_python_in_the_plan(spark):
     plan = chat.foreign_reply_preferences(turns(spark, [(1, 0, "user", "x")]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan

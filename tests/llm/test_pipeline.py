@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 from tests_llm_tools import prose
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
@@ -61,6 +62,35 @@ def test_run_and_registration(spark, folder):
     assert corpus_pipeline.run(spark, folder[0]).filter("round_trip").count() > 300
 
 
+def test_odd_rows_through_every_stage(spark, folder, odd, tmp_path):
+    """Nulls, empty and very long texts, repeats, ties and clashing names: nothing but whole rows comes out, values as they were."""
+    names = dict(zip(("fp", "key", "row", "ids", "size", "part", "component"), ("toxicity", "_key", "_text", "_n", "_copies", "pattern", "id"), strict=True))
+    df = odd
+    for a, b in names.items():
+        df = df.withColumnRenamed(a, b)
+    df = df.withColumn("_id", F.monotonically_increasing_id().cast("string")).cache()
+    rows = {r["_id"]: str(r) for r in df.collect()}
+    assert df.count() == len(rows)
+    left = {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, df, folder[0])
+        out.write.parquet(str(tmp_path / name))
+        df = spark.read.parquet(str(tmp_path / name))
+        left[name] = df.collect()
+        if name != "tokens":
+            assert out.columns == odd_columns(odd, names) and all(str(r) == rows[r["_id"]] for r in left[name])
+    ids = [r["_id"] for r in left["near_copies"]]
+    assert len(set(ids)) == len(ids) and sum(not (r.text or "").strip() for r in left["near_copies"]) == 1
+    assert set(r["_id"] for r in left["mix"]) <= set(ids) and len(left["tokens"]) == len(left["mix"])
+    assert all((r.ids is None and r.n_ids == -1 and r.round_trip is None) or (len(r.ids) == r.n_ids and r.round_trip) for r in left["tokens"])
+    alone = corpus_pipeline.STAGES[-1][1](spark, odd, folder[0]).collect()  # with the null texts that an earlier stage drops
+    assert len(alone) == len(rows) and sum(r.ids is None for r in alone) == 2
+
+
+def odd_columns(odd, names):
+    return [names.get(c, c) for c in odd.columns]
+
+
 def test_no_documents(spark, folder):
     df = spark.read.parquet(f"{folder[0]}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
