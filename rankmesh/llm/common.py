@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -45,14 +46,43 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+#: Folders of the work at hand that nothing reads once it is done; the innermost work last.
+_SCRATCH: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What is written in here is deleted at the end, but for what is to be kept: for work whose result holds no plan over it."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        for path in _SCRATCH.pop():
+            discard(spark, path)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def new_folder(spark: SparkSession, name: str, keep: bool = False) -> str:
+    """A path in the shared folder that nothing has; deleted after the work at hand unless it is to be kept."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _SCRATCH and not keep:
+        _SCRATCH[-1].append(path)
+    return path
+
+
+def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Cut the lineage: write ``df`` to the shared folder and read it again.
 
     A lost executor then costs only its own tasks, and a row that depends on the
     order of rows (an assigned number, a random draw) stays as it was written.
+    ``keep``: see ``scratch``.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = new_folder(spark, name, keep)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

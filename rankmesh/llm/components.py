@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankmesh.llm.common import written
+from rankmesh.llm.common import discard, new_folder
 
 #: Rounds in which any graph that fits a cluster has settled; each halves the paths at least.
 ROUNDS = 64
@@ -19,8 +19,10 @@ def components(edges: DataFrame) -> DataFrame:
     is computed for it is a minimum, pre-aggregated, and the join on it can be split.
     """
     now = edges.select(F.greatest("a", "b").cast("long").alias("u"), F.least("a", "b").cast("long").alias("v")).filter("a is not null and b is not null and u > v").distinct()
-    now = written(now, "graph")
-    mark = None
+    spark = now.sparkSession
+    path = new_folder(spark, "graph")
+    now.write.parquet(path)
+    now, mark = spark.read.schema(now.schema).parquet(path), None
     for _ in range(ROUNDS):
         # large star: each node's greater neighbours move to its smallest neighbour
         ways = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -29,7 +31,11 @@ def components(edges: DataFrame) -> DataFrame:
         # small star: each node and its smaller neighbours move to the smallest of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         both = large.join(low, "u")
-        now = written(both.select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").filter("u > v").distinct(), "graph")
+        next_ = both.select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").filter("u > v").distinct()
+        last, path = path, new_folder(spark, "graph")
+        next_.write.parquet(path)
+        now = spark.read.schema(next_.schema).parquet(path)
+        discard(spark, last)  # one round's edges are all that the next needs
         new = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if new == mark:
             break

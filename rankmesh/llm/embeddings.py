@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rankmesh.llm.common import written
+from rankmesh.llm.common import scratch, written
 from rankmesh.llm.components import components
 
 COSINE = 0.9
@@ -303,7 +303,8 @@ def linked(rows: DataFrame, cosine: float = COSINE, cell: int = CELL, wide_bytes
     found = filed.groupBy("table", "cell", "a", "b").applyInArrow(_cell(cosine, centres), "a long, b long, links long")
     found = written(found, "vector-links")
     links = found.filter("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
-    parts = written(components(found.filter("b is not null").select("a", "b")), "vector-components")
+    with scratch(rows.sparkSession):
+        parts = written(components(found.filter("b is not null").select("a", "b")), "vector-components", keep=True)
     own = classes.select("node", "low").join(parts, "node")
     lows = own.join(own.groupBy("component").agg(F.min("low").alias("component_id")), "component").select("node", "component_id")
     classes = classes.join(links, "node", "left").join(lows, "node", "left")

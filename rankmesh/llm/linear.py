@@ -11,7 +11,6 @@ each step takes one; all are taken in turn.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -20,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rankmesh.llm.common import partitions, shared_dir, written
+from rankmesh.llm.common import new_folder, partitions, written
 from rankmesh.llm.spm import _Shared
 
 #: Rows of examples: places, shares, class (0 or 1), target and weight.
@@ -75,7 +74,7 @@ class Batch:
         if self.block is None:
             spark, mark = examples.sparkSession, F.xxhash64("places", "shares", "class", "target")
             own = F.pmod(mark, F.lit(self.slices)).cast("int")
-            path = f"{shared_dir(spark)}/slices-{uuid.uuid4().hex}"
+            path = new_folder(spark, "slices")
             parts = partitions(spark, 8 * entries)
             dealt = examples.withColumn("slice", own if always is None else F.when(F.col("class") == always, -1).otherwise(own))
             dealt.repartition(parts, "slice", F.pmod(F.shiftright(mark, 20), F.lit(-(-parts // self.slices)))).write.partitionBy("slice").parquet(path)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankmesh.llm import linear
-from rankmesh.llm.common import chunks, columns, plus, sample_ids, text_or_empty, written
+from rankmesh.llm.common import chunks, columns, plus, sample_ids, scratch, text_or_empty, written
 from rankmesh.llm.spm import _Shared
 
 #: Documents that the scorer is fitted on, at most.
@@ -198,6 +198,11 @@ def train(docs: DataFrame, sample: int = SAMPLE, local: int = linear.LOCAL) -> M
     smallest hashes; the labellers' accuracies come from all documents.
     ``local``: see ``linear.Batch``.
     """
+    with scratch(docs.sparkSession):
+        return _train(docs, sample, local)
+
+
+def _train(docs: DataFrame, sample: int, local: int) -> Model | None:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankmesh.llm.common import chunks, columns, free, partitions, text_or_empty, words_of, written
+from rankmesh.llm.common import chunks, columns, free, partitions, scratch, text_or_empty, words_of, written
 from rankmesh.llm.components import components
 
 SEED, SHINGLE, DISTANCE = 42, 3, 3
@@ -235,7 +235,8 @@ def groups(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
 
 def _parts(prints: DataFrame, crowd: int) -> DataFrame:
     """Rows (fp, component) of those of the different fingerprints ``prints`` that are linked."""
-    return written(components(links(prints.select("fp"), crowd)), "components").withColumnRenamed("node", "fp")
+    with scratch(prints.sparkSession):
+        return written(components(links(prints.select("fp"), crowd)), "components", keep=True).withColumnRenamed("node", "fp")
 
 
 def one_of_each(docs: DataFrame, crowd: int = CROWD) -> DataFrame:

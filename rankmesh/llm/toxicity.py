@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankmesh.llm import linear
-from rankmesh.llm.common import chunks, fold, free, plus, sample_ids, text_or_empty, words_of, written
+from rankmesh.llm.common import chunks, fold, free, plus, sample_ids, scratch, text_or_empty, words_of, written
 from rankmesh.llm.spm import _Shared
 
 #: Confirmed toxic documents that the classifier is fitted on, at most. Unlabelled documents have no bound.
@@ -178,6 +178,11 @@ def train(docs: DataFrame, labels: DataFrame, local: int = linear.LOCAL) -> Mode
     there are none. Without a confirmed document the model gives every text the
     prior's probability, at most 0.05. ``local``: see ``linear.Batch``.
     """
+    with scratch(docs.sparkSession):
+        return _train(docs, labels, local)
+
+
+def _train(docs: DataFrame, labels: DataFrame, local: int) -> Model:
     spark = docs.sparkSession
     learn = F.coalesce(fold("doc_id", 4) != 2, F.lit(False))
     labels = labels.filter(learn & F.col("toxic").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))

@@ -52,3 +52,33 @@ def test_written_rows_come_back(spark):
     df = spark.range(10).withColumn("x", F.array(F.lit(1)))
     again = C.written(df, "t")
     assert again.dtypes == df.dtypes and again.count() == 10 and C.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_scratch_is_deleted_and_what_is_to_be_kept_is_not(spark):
+    import os
+
+    top = C.shared_dir(spark).removeprefix("file:")
+    df = spark.range(3).withColumn("x", F.lit(1))
+    before = set(os.listdir(top))
+    with C.scratch(spark):
+        C.written(df, "gone")
+        with C.scratch(spark):
+            kept = C.written(C.written(df, "gone"), "stays", keep=True)
+        assert kept.count() == 3
+    assert [x.split("-")[0] for x in set(os.listdir(top)) - before] == ["stays"] and kept.count() == 3
+
+
+def test_operators_leave_little_behind(spark):
+    import os
+
+    from tests_llm_tools import prose, table
+
+    from rankmesh.llm import nearcopies, quality, simhash, toxicity
+
+    top = C.shared_dir(spark).removeprefix("file:")
+    docs = table(spark, [(i, prose(i % 20, 60) + (" vilewort" if i % 9 == 0 else ""), "a") for i in range(200)])
+    labels = spark.createDataFrame([(i, 1, int(i % 9 == 0)) for i in range(200)], "doc_id long, quality int, toxic int")
+    for work, left in ((lambda: toxicity.reject(docs, labels), 0), (lambda: quality.reject(docs), 0), (lambda: nearcopies.one_of_each(docs), 2), (lambda: simhash.one_of_each(docs), 2)):
+        before = set(os.listdir(top))
+        out = work()
+        assert len(set(os.listdir(top)) - before) <= left and out.count() > 0

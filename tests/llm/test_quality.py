@@ -107,6 +107,42 @@ def test_callers_columns_survive(odd):
     assert out.columns == docs.columns and all(str(r) in rows for r in out.collect())
 
 
+def test_the_query_against_brute_force(data):
+    """Votes, accuracies, a dense descent and scores, text by text, without Spark."""
+    docs, _ = data
+    rows = [(r.doc_id, r.text) for r in docs.filter("doc_id < 150").collect()]
+    votes = np.array([Q.votes(t) for _, t in rows])
+    patterns, counts = np.unique(votes, return_counts=True)
+    found = Q.estimate(patterns, counts.astype(float))
+    texts = sorted({t for _, t in rows})
+    used = sorted({int(b) for t in texts for b in Q.hashed(t)})
+    place = {b: k for k, b in enumerate(used)}
+
+    def features(t):
+        x = np.zeros(len(used) + 1)
+        for b in Q.hashed(t).tolist():
+            if b in place:
+                x[place[b]] += 1 / max(len(t.split()), 1)
+        x[-1] = 1
+        return x
+
+    x, target = np.stack([features(t) for t in texts]), found.posterior(np.array([Q.votes(t) for t in texts]))
+    good = target > 0.5
+    weight = np.where(good, 0.5 / max(good.sum(), 1), 0.5 / max((~good).sum(), 1))
+    w, m, v = np.zeros(x.shape[1]), np.zeros(x.shape[1]), np.zeros(x.shape[1])
+    for t in range(1, Q.EPOCHS + 1):
+        g = x.T @ (weight * (1 / (1 + np.exp(-(x @ w))) - target))
+        g[:-1] += Q.DECAY * w[:-1]
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        w = w - Q.RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    w[-1] += np.log(found.prior / (1 - found.prior))
+    got = {r.doc_id: r for r in Q.judged(docs.filter("doc_id < 150")).collect()}
+    for (i, t), pattern in zip(rows, votes.tolist(), strict=True):
+        want = 1 / (1 + np.exp(-(features(t) @ w)))
+        assert abs(got[i].score - want) < 0.02 and got[i].votes == "".join(str(pattern >> k & 1) for k in range(len(Q.LABELLERS)))
+        assert abs(got[i].posterior - found.posterior(np.array([pattern]))[0]) < 1e-9
+
+
 def test_odd_rows(odd, none):
     got = Q.judged(odd).collect()
     assert len(got) == odd.count() and all(0 <= r.score <= 1 for r in got)

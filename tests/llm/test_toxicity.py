@@ -3,6 +3,7 @@ from __future__ import annotations
 import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -119,6 +120,52 @@ def test_the_executors_sums_are_the_drivers(data, monkeypatch):
     assert a.weights == b.weights and a.offset == b.offset and a.weights
 
 
+def test_the_query_against_brute_force(data):
+    """Features, their choice, a dense descent and scores, without Spark."""
+    docs, labels, known = data
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    learn = [i for i in texts if zlib.crc32(str(i).encode()) % 4 != 2]
+    known = [(i, toxic) for i, _, toxic in known if i in set(learn)]
+    prior = sum(t for _, t in known) / len(known)
+    positive = sorted({texts[i] for i, t in known if t})
+    every = [texts[i] for i in learn]
+    words = {t: set(t.lower().encode().split()) for t in [*positive, *every]}
+    held = {t: {f for w in ws for f in T.features(w)} for t, ws in words.items()}
+    p, u, docs_of = Counter(), Counter(), Counter()
+    for t in positive:
+        p.update(f for w in words[t] for f in T.features(w))
+        docs_of.update(held[t])
+    copies = Counter(every)
+    for t in every:
+        for w in words[t]:
+            for f in T.features(w):
+                u[f] += 1 / copies[t]
+    n_p, n_u = len(positive), len(copies)
+    names = []
+    for f in sorted(p):
+        chance = (p[f] + u[f]) * n_p / (n_p + n_u)
+        if docs_of[f] >= 3 and (p[f] - chance) / math.sqrt(chance * n_u / (n_p + n_u)) >= 4 and p[f] / n_p >= 2 * u[f] / n_u:
+            names.append(f)
+    got = T.train(docs, labels)
+    assert sorted(got.weights) == names and got.prior == prior
+
+    def dense(ts):
+        return np.array([[f in held[t] for f in names] + [True] for t in ts], float)
+
+    x_p, x_u = dense(positive), dense(sorted(copies))
+    w, m, v = np.append(np.zeros(len(names)), math.log(prior / (1 - prior))), 0.0, 0.0
+    for t in range(1, T.EPOCHS + 1):
+        s_p, s_u = (1 / (1 + np.exp(-(x @ w))) for x in (x_p, x_u))
+        pp, pu = (x.T @ (s * (1 - s)) / len(s) for x, s in ((x_p, s_p), (x_u, s_u)))
+        g = pu - 2 * prior * pp if s_u.mean() - prior * s_p.mean() >= 0 else prior * pp - pu
+        g[:-1] += T.DECAY * w[:-1]
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        w = w - T.RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-10)
+    for t in [*positive[:50], *every[:200]]:
+        want = 1 / (1 + math.exp(-float(dense([t])[0] @ w)))
+        assert abs(got.score(t) - want) < 0.05
+
+
 def test_very_frequent_copies_count_once(spark, data):
     """A third of the documents are copies of one clean text, and as many of one toxic text."""
     docs, labels, known = data
