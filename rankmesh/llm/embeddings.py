@@ -10,7 +10,8 @@ To keep this from all pairs, vectors meet only within cells: the signs of a few
 further projections, in several tables. Signs are taken from the mean of all
 vectors on, so that a direction that all have in common doesn't crowd a cell. How
 many signs and tables follows from the number of vectors and from how far they lie
-from their mean: the least work that lets the share of pairs asked for meet.
+from their mean: the least work that lets the share of pairs asked for meet. A cell
+that is crowded all the same is split in the same way, from a mean of its own.
 Projections are kept as whole steps of a byte each. Where vectors are wide, only
 these are dealt out by cells; vectors follow where a pair collides.
 """
@@ -34,8 +35,9 @@ COSINE = 0.9
 MEET, PASS_FIRST, PASS = 0.98, 0.995, 0.985
 #: Directions in which collisions are counted, at first and in all; half a window in units of the distance at the threshold, and in steps.
 FIRST, DIRECTIONS, WINDOW, STEPS = 32, 128, 1.5, 20
-#: Vectors in a cell on average; a cell with over four times as many is dealt out in pairs of chunks of twice as many.
-CELL = 1024
+#: Vectors in a cell on average; a cell with over four times as many is split by signs from its own mean, for which
+#: about ``SAMPLE`` of its vectors stand, and what is crowded then is dealt out in pairs of chunks of twice as many.
+CELL, SAMPLE = 1024, 64
 BLOCK = 256
 #: What it costs to deal a vector out to a table, in pairs whose collisions are counted.
 COPY = 256
@@ -89,9 +91,9 @@ def tables_for(vectors: int, cosine: float = COSINE, share: float = MEET, cell:
     return best[1:]
 
 
-def cells(units: np.ndarray, centre: np.ndarray | float, signs: int, tables: int) -> np.ndarray:
+def cells(units: np.ndarray, centre: np.ndarray | float, signs: int, tables: int, seed: int = 60) -> np.ndarray:
     """The cell of each unit vector in each table."""
-    planes = np.random.default_rng([60, units.shape[1]]).standard_normal((signs * tables, units.shape[1]))
+    planes = np.random.default_rng([seed, units.shape[1]]).standard_normal((signs * tables, units.shape[1]))
     sides = ((units - centre) @ planes.T > 0).reshape(len(units), tables, signs)
     return (sides * (1 << np.arange(signs, dtype=np.int32))).sum(2, dtype=np.int32)
 
@@ -188,6 +190,9 @@ def _cell(cosine: float, centres: dict[int, np.ndarray]) -> Callable[[tuple, pa.
         i, j = first[i], (first if second is None else second)[j]
         # a pair that shares a cell of an earlier table has been counted there
         new = ~(cells[i, :table] == cells[j, :table]).any(1)
+        if (sub := key[1].as_py()["sub"]) > 0:
+            parts = _matrix(rows["subs"])
+            new &= ~(parts[i, :sub] == parts[j, :sub]).any(1)
         i, j = i[new], j[new]
         links = np.bincount(np.concatenate([i, j]), np.concatenate([n[j], n[i]]), len(node)).astype(np.int64)
         some = np.flatnonzero(links)
@@ -246,6 +251,48 @@ def _spread(classes: DataFrame, size: int, centre: np.ndarray) -> tuple[np.ndarr
     return (got["bin"].to_numpy() + 0.5) * BIN, got["n"].to_numpy().astype(float)
 
 
+def _split(placed: DataFrame, crowded: DataFrame, cosine: float, cell: int) -> DataFrame:
+    """Rows (node, table, cell, size, subs: the parts of the cell that the vector is in) for the vectors of crowded cells (table, cell, size, m)."""
+    at = ["table", "cell", "size"]
+    rows = placed.select("node", "vector", F.size("vector").alias("size"), F.posexplode("cells").alias("table", "cell")).join(crowded, at)
+    some = rows.filter(F.pmod(F.xxhash64("node"), F.ceil(F.col("m") / SAMPLE)) == 0)
+    some = some.groupBy(*at, "m").agg(F.array_sort(F.collect_list(F.struct("node", "vector"))).alias("some"))
+    some = some.select(*at, "m", F.flatten(F.transform("some", lambda x: x["vector"])).alias("some"))
+
+    def describe(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for size, m, flat in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
+                units = _units(np.array(flat).reshape(-1, size))
+                centre = units.mean(0)
+                spread = np.linalg.norm(units - centre, axis=1)
+                out.append((centre, *tables_for(m, cosine, MEET, cell, spread, np.ones(len(spread)))))
+            centres, signs, tables = zip(*out, strict=True) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(centres, pa.list_(pa.float64())), pa.array(signs, pa.int32()), pa.array(tables, pa.int32())], [*at, "centre", "signs", "tables"])
+
+    centres = some.mapInArrow(describe, "table int, cell int, size int, centre array<double>, signs int, tables int")
+
+    def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own = np.stack([batch.column(k).to_numpy() for k in range(3)], 1)
+            subs: list[np.ndarray] = [np.zeros(1, np.int32)] * batch.num_rows
+            cases, which = np.unique(own, axis=0, return_inverse=True)
+            for k in range(len(cases)):
+                rows = np.flatnonzero(which.ravel() == k)
+                first = int(rows[0])
+                # a cell of which no vector stands for the others stays whole
+                if (centre := batch.column(5)[first].as_py()) is not None:
+                    units = _units(batch.column(4).take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1))
+                    for r, x in zip(rows.tolist(), cells(units, np.array(centre), batch.column(6)[first].as_py(), batch.column(7)[first].as_py(), 61), strict=True):
+                        subs[r] = x
+            yield pa.RecordBatch.from_arrays([batch.column(3), *batch.columns[:3], pa.array(subs, pa.list_(pa.int32()))], ["node", *at, "subs"])
+
+    rows = rows.join(centres, at, "left").select(*at, "node", "vector", "centre", "signs", "tables")
+    return rows.mapInArrow(place, "node long, table int, cell int, size int, subs array<int>")
+
+
 def linked(rows: DataFrame, cosine: float = COSINE, cell: int = CELL, wide_bytes: int = WIDE) -> DataFrame:
     """Rows (vec_id, n_links, component_id, kept), one for each row of ``rows`` (vec_id, embedding); other columns are ignored.
 
@@ -263,7 +310,9 @@ def linked(rows: DataFrame, cosine: float = COSINE, cell: int = CELL, wide_bytes
     rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>" if exact else "array<double>").alias("vector"))
     good = rows.filter(valid(F.col("vector")))
     classes = good.groupBy("vector").agg(F.count("*").alias("n"), F.min("vec_id").alias("low"))
-    classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "vectors")
+    # two hashes stand for the vector in the last join
+    same = [F.xxhash64("vector").alias("h"), F.xxhash64(F.lit(1), "vector").alias("k")]
+    classes = written(classes.select("*", *same, F.monotonically_increasing_id().alias("node")), "vectors")
     # lengths that fill a cell, which the others can't crowd; there is at most one for each CELL vectors
     sizes = classes.groupBy(F.size("vector").alias("size")).agg(F.count("*").alias("m"))
     sizes = {r["size"]: r.m for r in sizes.filter(F.col("m") > cell).collect()}
@@ -291,12 +340,22 @@ def linked(rows: DataFrame, cosine: float = COSINE, cell: int = CELL, wide_bytes
     held = ["marks"] if wide else ["vector", "n", "cells"]
     filed = placed.select("node", *held, size, F.posexplode("cells").alias("table", "cell"))
     counted = placed.select(F.posexplode("cells").alias("table", "cell"), size).groupBy("table", "cell", "size").agg(F.count("*").alias("m"))
-    crowded = counted.filter(F.col("m") > 4 * cell).select("table", "cell", "size", F.ceil(F.col("m") / (2 * cell)).cast("int").alias("chunks"))
-    filed = filed.join(crowded, ["table", "cell", "size"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    crowded = written(counted.filter(F.col("m") > 4 * cell), "crowded")
+    at = ["table", "cell", "size"]
+    none = {"sub": F.lit(-1), "subcell": F.lit(0), "subs": F.array().cast("array<int>"), "chunks": F.lit(1)}
+    if crowded.isEmpty():
+        filed = filed.withColumns(none)
+    else:
+        split = written(_split(placed, crowded, cosine, cell), "split")
+        each = split.select("node", *at, "subs", F.posexplode("subs").alias("sub", "subcell"))
+        parts = [*at, "sub", "subcell"]
+        chunks = each.groupBy(*parts).agg(F.count("*").alias("m")).withColumn("chunks", F.when(F.col("m") > 4 * cell, F.ceil(F.col("m") / (2 * cell))).otherwise(1).cast("int"))
+        fine = each.join(chunks.drop("m"), parts).join(placed.select("node", *held), "node")
+        filed = filed.join(crowded.drop("m"), at, "left_anti").withColumns(none).unionByName(fine)
     filed = filed.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     # a chunk meets every chunk of its cell, itself among them
     filed = filed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    filed = filed.select("node", *held, "table", F.struct("cell", "size").alias("cell"), F.least("chunk", "with").alias("a"), F.greatest("chunk", "with").alias("b"), "chunk")
+    filed = filed.select("node", *held, "subs", "table", F.struct("cell", "size", "sub", "subcell").alias("cell"), F.least("chunk", "with").alias("a"), F.greatest("chunk", "with").alias("b"), "chunk")
     if wide:
         met = filed.groupBy("table", "cell", "a", "b").applyInArrow(_colliding, filed.drop("marks").schema)
         filed = written(met, "vectors-colliding").join(placed.drop("marks"), "node")
@@ -308,7 +367,7 @@ def linked(rows: DataFrame, cosine: float = COSINE, cell: int = CELL, wide_bytes
     own = classes.select("node", "low").join(parts, "node")
     lows = own.join(own.groupBy("component").agg(F.min("low").alias("component_id")), "component").select("node", "component_id")
     classes = classes.join(links, "node", "left").join(lows, "node", "left")
-    classes = classes.select("vector", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component_id", "low").alias("component_id"))
-    out = good.join(classes, "vector").select("vec_id", "n_links", "component_id")
+    classes = classes.select("h", "k", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component_id", "low").alias("component_id"))
+    out = good.select("vec_id", *same).join(classes, ["h", "k"]).select("vec_id", "n_links", "component_id")
     rest = rows.filter(~valid(F.col("vector"))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return out.unionByName(rest).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -73,6 +73,26 @@ def test_recall_at_the_very_threshold_from_end_to_end(spark, common, wide):
     assert 0.95 * there <= found <= there
 
 
+@pytest.mark.parametrize("wide", [E.WIDE, 0])
+def test_crowded_cells_are_split_from_their_own_mean(spark, monkeypatch, wide):
+    """Most vectors lie in two tight regions, which no plane through the mean of all divides: the links are still found, within parts."""
+    rng = np.random.default_rng(11)
+    directions = np.linalg.qr(rng.normal(0, 1, (32, 32)))[0]
+    x = np.concatenate([directions[0] + 0.11 * rng.normal(0, 1, (2500, 32)), directions[1] + 0.11 * rng.normal(0, 1, (2500, 32)), rng.normal(0, 1, (1000, 32))])
+    x = np.concatenate([x, x[::10] + 0.01 * rng.normal(0, 1, x[::10].shape)])
+    df = spark.createDataFrame(pa.table({"vec_id": pa.array(range(len(x))), "embedding": pa.array(x.astype(np.float32).tolist(), pa.list_(pa.float32()))}))
+    called, split = [], E._split
+    monkeypatch.setattr(E, "_split", lambda *a: (called.append(1), split(*a))[1])
+    got = {r.vec_id: r for r in E.linked(df, cell=64, wide_bytes=wide).collect()}
+    u = x.astype(np.float32).astype(float)
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    close = u @ u.T >= 0.9
+    np.fill_diagonal(close, False)
+    found = sum(r.n_links for r in got.values())
+    assert called and 0.95 * close.sum() <= found <= close.sum() and all(got[i].n_links <= close[i].sum() for i in got)
+    assert all(got[len(x) - 600 + k].component_id == got[10 * k].component_id for k in range(600))
+
+
 def test_a_common_direction_crowds_no_cell():
     rng = np.random.default_rng(3)
     x = rng.normal(0, 1, (40_000, 64))
