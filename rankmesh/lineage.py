@@ -43,11 +43,6 @@ def broken_move(result: DataFrame, src_rank: Column, src_idx: Column) -> DataFra
     return result.filter((F.col("val.src_rank") != src_rank) | (F.col("val.src_idx") != src_idx))
 
 
-def gaps(result: DataFrame, count: int) -> DataFrame:
-    """Ranks of a result that don't hold elements 0 to count - 1 just once."""
-    return result.groupBy("rank").agg(F.count("*").alias("n"), F.countDistinct("idx").alias("places"), F.min("idx").alias("first"), F.max("idx").alias("last")).filter((F.col("n") != count) | (F.col("places") != count) | (F.col("first") != 0) | (F.col("last") != count - 1))
-
-
 def broken(result: DataFrame, want: DataFrame) -> DataFrame:
     """Elements of a traced result that aren't there just as ``want`` (rank, idx, src_rank, src_idx) has them, and those that are missing or there twice.
 

@@ -20,6 +20,7 @@ from rankmesh.model import DTYPES, Comm
 from rankmesh.operators import arrays
 from rankmesh.operators import collectives as C
 from rankmesh.plans import extents as E
+from rankmesh.plans import families
 from rankmesh.sources import topology
 from rankmesh.sources.relations import read, spread
 
@@ -564,3 +565,41 @@ def lineage_of_all_others(spark, d):
     }
     found = [lineage.broken(got, want).agg(F.count("*").alias("broken")).select(F.lit(name).alias("operator"), "broken") for name, (got, want) in cases.items()]
     return reduce(DataFrame.unionByName, found)
+
+
+_SHAPED = ("all_gather", "all_gather_v", "all_reduce", "all_to_all", "all_to_all_v", "all_to_all_vc", "broadcast", "receive", "reduce", "reduce_scatter", "reduce_scatter_v", "send")
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{name}', CAST(0 AS BIGINT))" for name in _SHAPED) + ") AS t(operator, wrong)")
+def shape_rules(spark, d):
+    """For each operator how many ranks' results have another length than the shape rule says, told from counts and extents alone."""
+    n = _customers(spark, d)
+    x, m = balances(spark, d, "int64"), n // P
+    ends = [n * ((r + 1) * (r + 2) // 2) // 15 for r in range(P)]
+    uneven_counts = [b - a for a, b in zip([0, *ends], ends)]
+    counts = {(s, t): n * ((s + t) % P) // 10 for s in range(P) for t in range(P)}
+    received = {r: [counts[s, r] for s in range(P)] for r in range(P)}
+    apart = E.kept(E.from_matrix(matrix(spark, n)).withColumn("rdispl", F.col("rdispl") + 2 * F.col("src")))
+    gathered = [(P - 1 - r) * (n + 2) + 1 for r in range(P)]
+    rule = families.output_count
+    shifted = {r: [sum(received[r][:k]) + 2 * k for k in range(P)] for r in range(P)}
+    cases = {
+        "all_gather": (C.all_gather(x, COMM, n), [rule("all_gather", n, P)] * P),
+        "all_gather_v": (C.all_gather_v(x, COMM, E.from_lists(spark, [n] * P, gathered), check=False), [rule("all_gather_v", n, counts=[n] * P, displs=gathered)] * P),
+        "all_reduce": (C.all_reduce(x, COMM), [rule("all_reduce", n)] * P),
+        "all_to_all": (C.all_to_all(x, COMM, m), [rule("all_to_all", n)] * P),
+        "all_to_all_v": (C.all_to_all_v(x, COMM, apart), [rule("all_to_all_v", n, counts=received[r], displs=shifted[r]) for r in range(P)]),
+        "all_to_all_vc": (C.all_to_all_vc(x, COMM, matrix(spark, n)), [rule("all_to_all_vc", n, counts=received[r]) for r in range(P)]),
+        "broadcast": (C.broadcast(x, COMM, 1), [rule("broadcast", n)] * P),
+        "receive": (C.recv(x, COMM, 3, 2, "bigint"), [rule("receive", n) if r == 3 else 0 for r in range(P)]),
+        "reduce": (C.reduce(x, COMM, 4), [rule("reduce", n) if r == 4 else 0 for r in range(P)]),
+        "reduce_scatter": (C.reduce_scatter(x, COMM, m), [rule("reduce_scatter", n, P)] * P),
+        "reduce_scatter_v": (C.reduce_scatter_v(x, COMM, E.from_lists(spark, uneven_counts)), [rule("reduce_scatter_v", n, counts=[k]) for k in uneven_counts]),
+        "send": (C.send(x, COMM, 0, 1), [rule("send", n) if r == 1 else 0 for r in range(P)]),
+    }
+    found = []
+    for name, (got, want) in cases.items():
+        per = got.groupBy("rank").agg(F.max(F.col("idx") + 1).alias("length"))
+        both = E.local(spark, "of int, want bigint", list(enumerate(want))).join(per, F.col("of") == F.col("rank"), "full")
+        found.append(both.filter(~F.coalesce("length", F.lit(0)).eqNullSafe(F.col("want"))).agg(F.count("*").alias("wrong")).select(F.lit(name).alias("operator"), "wrong"))
+    return reduce(DataFrame.unionByName, found)

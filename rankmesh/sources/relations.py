@@ -15,11 +15,6 @@ def spread(table: DataFrame, key: str, ranks: int, val: Column) -> DataFrame:
     return table.select((F.col(key) % ranks).cast("int").alias("rank"), F.floor(F.col(key) / ranks).cast("bigint").alias("idx"), val.alias("val"))
 
 
-def block(table: DataFrame, key: str, size: int, val: Column) -> DataFrame:
-    """(rank, idx, val) from a table with a dense key: each rank holds ``size`` neighbouring keys."""
-    return table.select(F.floor(F.col(key) / size).cast("int").alias("rank"), (F.col(key) % size).cast("bigint").alias("idx"), val.alias("val"))
-
-
 def explode(x: DataFrame) -> DataFrame:
     """(rank, idx, val) from the dense form (rank, vals: array)."""
     return x.select("rank", F.posexplode("vals").alias("idx", "val")).withColumn("idx", F.col("idx").cast("bigint"))

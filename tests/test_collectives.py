@@ -269,9 +269,8 @@ def test_lineage(spark, own):
     assert lineage.broken_reduction(own, P).count() == 0
     assert lineage.broken_reduction(own.filter("rank != 2 or idx != 0"), P).count() == 1
     moved = C.all_to_all(x, COMM, 1)
-    assert lineage.broken_move(moved, F.col("idx"), F.col("rank")).count() == 0 == lineage.gaps(moved, P).count()
+    assert lineage.broken_move(moved, F.col("idx"), F.col("rank")).count() == 0
     assert lineage.broken_move(C.all_gather(x, COMM, P), F.floor(F.col("idx") / P), F.col("idx") % P).count() == 0
-    assert lineage.gaps(moved.filter("idx != 1"), P).count() == P
 
 
 def test_lineage_goes_through_the_plan(spark, own, monkeypatch):
