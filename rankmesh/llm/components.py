@@ -11,6 +11,16 @@ from rankmesh.llm.common import discard, new_folder
 ROUNDS = 64
 
 
+def lowest(rows: DataFrame, key: str, value: str, out: str) -> DataFrame:
+    """Rows (key, out): the smallest value of each key, pre-aggregated.
+
+    Grouped by the key's complement, so that a join with ``rows`` by the key deals
+    both sides out anew, and a key with very many rows can be split there.
+    """
+    least = rows.groupBy(F.bitwise_not(F.col(key)).alias("_turned")).agg(F.min(value).alias(out))
+    return least.select(F.bitwise_not(F.col("_turned")).alias(key), out)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Rows (node, component) for the nodes of ``edges`` (a, b: long), component being the smallest node reachable.
 
@@ -26,10 +36,10 @@ def components(edges: DataFrame) -> DataFrame:
     for _ in range(ROUNDS):
         # large star: each node's greater neighbours move to its smallest neighbour
         ways = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = ways.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = lowest(ways, "u", "v", "m").select("u", F.least("u", "m").alias("m"))
         large = ways.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # small star: each node and its smaller neighbours move to the smallest of them
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = lowest(large, "u", "v", "m")
         both = large.join(low, "u")
         next_ = both.select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").filter("u > v").distinct()
         last, path = path, new_folder(spark, "graph")

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rankmesh.llm.common import scratch, written
-from rankmesh.llm.components import components
+from rankmesh.llm.components import components, lowest
 
 COSINE = 0.9
 #: Shares of the pairs at the very threshold that meet in a cell, and that pass the first and the whole count; nearer pairs do more often.
@@ -365,7 +365,7 @@ def linked(rows: DataFrame, cosine: float = COSINE, cell: int = CELL, wide_bytes
     with scratch(rows.sparkSession):
         parts = written(components(found.filter("b is not null").select("a", "b")), "vector-components", keep=True)
     own = classes.select("node", "low").join(parts, "node")
-    lows = own.join(own.groupBy("component").agg(F.min("low").alias("component_id")), "component").select("node", "component_id")
+    lows = own.join(lowest(own, "component", "low", "component_id"), "component").select("node", "component_id")
     classes = classes.join(links, "node", "left").join(lows, "node", "left")
     classes = classes.select("h", "k", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component_id", "low").alias("component_id"))
     out = good.select("vec_id", *same).join(classes, ["h", "k"]).select("vec_id", "n_links", "component_id")

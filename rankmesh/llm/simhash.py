@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankmesh.llm.common import chunks, columns, free, partitions, scratch, text_or_empty, words_of, written
-from rankmesh.llm.components import components
+from rankmesh.llm.components import components, lowest
 
 SEED, SHINGLE, DISTANCE = 42, 3, 3
 #: Reference fingerprints: drawn once from a fixed seed.
@@ -227,7 +227,7 @@ def groups(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     classes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("low")), "classes")
     parts = _parts(classes, crowd)
     own = classes.join(parts, "fp")
-    lows = own.join(own.groupBy("component").agg(F.min("low").alias("component_id")), "component").select("fp", "component_id")
+    lows = own.join(lowest(own, "component", "low", "component_id"), "component").select("fp", "component_id")
     # written, so that both sides of the next join come straight from a shuffle and a crowded fingerprint can be split
     of = written(classes.join(lows, "fp", "left").select("fp", F.coalesce("component_id", "low").alias("component_id")), "groups")
     return rows.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
