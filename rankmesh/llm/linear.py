@@ -15,6 +15,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,31 +35,28 @@ Loss = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 
 class Block:
-    """Some examples as arrays."""
-
-    def __init__(self, rows: pa.Table | pa.RecordBatch):
-        places, shares = (pa.chunked_array(rows[c]) if isinstance(rows[c], pa.Array) else rows[c] for c in ("places", "shares"))
-        places, shares = places.combine_chunks(), shares.combine_chunks()
-        if isinstance(places, pa.ChunkedArray):
-            places, shares = (pa.concat_arrays(x.chunks) if x.num_chunks else pa.array([], x.type) for x in (places, shares))
-        self.sizes = np.diff(places.offsets.to_numpy()) if len(places) else np.zeros(0, np.int64)
-        self.begins = np.cumsum(self.sizes) - self.sizes
-        self.places, self.shares = places.flatten().to_numpy(), shares.flatten().to_numpy()
-        self.kind, self.target, self.weight = (rows[c].to_numpy(zero_copy_only=False) if isinstance(rows[c], pa.Array) else rows[c].to_numpy() for c in ("class", "target", "weight"))
+    """Some examples over ``n`` weights as arrays."""
+
+    def __init__(self, rows: pa.Table, n: int):
+        rows = rows.combine_chunks()
+        lists = rows["places"].combine_chunks()
+        self.n, self.sizes = n, pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        self.places, self.shares = (rows[c].combine_chunks().flatten().to_numpy() for c in ("places", "shares"))
+        self.kind, self.target, self.weight = (rows[c].to_numpy() for c in ("class", "target", "weight"))
+        self.begins = (np.cumsum(self.sizes) - self.sizes)[self.sizes > 0]
+        #: where an entry's gradient goes: its place, and the places of the other class after those of the first
+        self.to = self.places + np.repeat(self.kind, self.sizes).astype(np.int64) * n
 
     def sums(self, w: np.ndarray, b: float, loss: Loss) -> tuple[np.ndarray, np.ndarray]:
         """Sums of values, derivatives and weights by class, and of gradients by class and place; whole numbers."""
-        full, n = self.sizes > 0, len(self.sizes)
-        z = np.full(n, b)
-        if full.any():
-            z[full] += np.add.reduceat(w[self.places] * self.shares, self.begins[full])
+        z = np.full(len(self.sizes), b)
+        if len(self.begins):
+            z[self.sizes > 0] += np.add.reduceat(w[self.places] * self.shares, self.begins)
         value, slope = loss(z, self.target)
-        value, slope = np.rint(value * self.weight * UNIT), np.rint(slope * self.weight * UNIT)
-        each = np.repeat(slope, self.sizes) * self.shares
-        np.rint(each, out=each)
-        kinds = np.repeat(self.kind, self.sizes)
-        heads = np.stack([np.bincount(self.kind, x, 2)[:2] for x in (value, slope, np.rint(self.weight * UNIT))])
-        return heads, np.stack([np.bincount(self.places[kinds == k], each[kinds == k], len(w)) for k in (0, 1)])
+        value, slope, weight = (np.rint(x * UNIT) for x in (value * self.weight, slope * self.weight, self.weight))
+        each = np.rint(np.repeat(slope, self.sizes) * self.shares)
+        heads = np.stack([np.bincount(self.kind, x, 2) for x in (value, slope, weight)])
+        return heads, np.bincount(self.to, each, 2 * self.n).reshape(2, self.n)
 
 
 class Batch:
@@ -69,7 +67,7 @@ class Batch:
         self.n, self.loss = n, loss
         examples = written(examples, "examples")
         entries = examples.agg(F.sum(F.size("places").cast("long"))).first()[0] or 0
-        self.block = Block(examples.toArrow()) if entries <= local else None
+        self.block = Block(examples.toArrow(), n) if entries <= local else None
         self.slices = slices or min(max(1, -(-entries // LOCAL)), SLICES)
         if self.block is None:
             spark, mark = examples.sparkSession, F.xxhash64("places", "shares", "class", "target")
@@ -89,7 +87,7 @@ class Batch:
             own, offset = shared.value
             heads, grads = np.zeros((3, 2)), np.zeros((2, n))
             for batch in batches:
-                got = Block(batch).sums(own, offset, loss)
+                got = Block(pa.Table.from_batches([batch]), n).sums(own, offset, loss)
                 heads += got[0]
                 grads += got[1]
             some = np.flatnonzero(grads.any(0))

@@ -17,10 +17,10 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, n_chars, n_ids, ids, round_trip of every document; all but doc_id are null for a null text (n_ids is -1), an empty text has no ids."""
+    """doc_id, n_chars, n_ids, ids, round_trip of every document; all but doc_id are null for a null text, an empty text has no ids."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", F.char_length("text").alias("n_chars"))
     coded = spm.encode(docs, out="ids", check="round_trip")
-    return coded.select("doc_id", "n_chars", F.coalesce(F.size("ids"), F.lit(-1)).alias("n_ids"), "ids", "round_trip")
+    return coded.select("doc_id", "n_chars", F.when(F.col("ids").isNotNull(), F.size("ids")).alias("n_ids"), "ids", "round_trip")
 
 
 def op3_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
