@@ -30,9 +30,20 @@ BITS = 18
 THRESHOLD = 0.5
 EPOCHS, RATE, DECAY = 150, 0.3, 1e-6
 _SYMBOLS = b"#$%&*|<>{}[]\\^~=@_+"
+_WHITE, _CLOSING = b" \t\n\v\f\r", b".,!?;:"
 _UPPER, _LOWER, _ASCII, _BLACK = bytes(range(65, 91)), bytes(range(97, 123)), bytes(range(128)), bytes(range(33, 127))
 
 
+def _among(own: bytes) -> np.ndarray:
+    """Whether each byte is one of these."""
+    out = np.zeros(256, bool)
+    out[list(own)] = True
+    return out
+
+
+_IS_WHITE, _IS_CLOSING, _IS_SYMBOL = map(_among, (_WHITE, _CLOSING, _SYMBOLS))
+
+
 @dataclass
 class Traits:
     """What the labellers look at. Shares are 0 to 1."""
@@ -55,6 +66,9 @@ class Traits:
         words = raw.lower().split()
         n, size = max(len(words), 1), max(len(raw), 1)
         count = Counter(words)
+        white = _IS_WHITE[np.frombuffer(raw + b" ", np.uint8)]
+        # the last byte of each word
+        last = np.frombuffer(raw, np.uint8)[~white[:-1] & white[1:]]
         upper, lower, digits, black = (len(raw) - len(raw.translate(None, x)) for x in (_UPPER, _LOWER, b"0123456789", _BLACK))
         lines = raw.split(b"\n")
         return cls(
@@ -62,12 +76,12 @@ class Traits:
             upper / max(upper + lower, 1),
             (size - len(raw.translate(None, _SYMBOLS))) / size if raw else 0.0,
             (upper + lower + digits + len(raw.translate(None, _ASCII))) / max(black + len(raw.translate(None, _ASCII)), 1),
-            sum(w[-1] in _SYMBOLS for w in words) / n,
+            int(_IS_SYMBOL[last].sum()) / n,
             raw.count(b"!!") / n,
             sum(map(bytes.__eq__, words, words[1:])) / n,
             max(count.values(), default=0) / n,
             len(count) / (0.634 * n**0.75),
-            sum(w.endswith((b".", b",", b"!", b"?", b";", b":")) for w in words) / n,
+            int(_IS_CLOSING[last].sum()) / n,
             1 - len(set(lines)) / len(lines),
         )
 
@@ -149,7 +163,10 @@ _WORDS = _Words()
 
 def hashed(text: str) -> np.ndarray:
     """Bucket of every word, shape, pair of shapes and repeated word; the last bucket is for repeats alone."""
-    words = text.encode().split()
+    return _buckets(text.encode().split())
+
+
+def _buckets(words: list[bytes]) -> np.ndarray:
     both = np.fromiter(map(_WORDS.__getitem__, words), np.int64, len(words))
     word, form = both & 0x7FFFFFFF, both >> 31
     half = (1 << BITS - 1) - 1
@@ -186,8 +203,8 @@ class Model:
 
     def score(self, text: str) -> float:
         """Probability that the text is good, by the linear scorer."""
-        got = hashed(text)
-        z = self.offset + self.weights[got].sum() / max(len(text.encode().split()), 1)
+        words = text.encode().split()
+        z = self.offset + self.weights[_buckets(words)].sum() / max(len(words), 1)
         return 1 / (1 + math.exp(-min(max(z, -500), 500)))
 
 

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -143,6 +144,16 @@ def test_the_query_against_brute_force(data):
         assert abs(got[i].posterior - found.posterior(np.array([pattern]))[0]) < 1e-9
 
 
+def test_ends_of_words_against_brute_force():
+    rng = random.Random(12)
+    for _ in range(300):
+        text = "".join(rng.choices("ab.,!?;:#$%é日 \t\n\x0b\x0c\r\x1c\x85", k=rng.randint(0, 60)))
+        words, t = re.findall(r"[^\x20\x09-\x0D]+", text), Q.Traits.of(text)
+        n = max(len(words), 1)
+        assert t.words == len(words) and t.closed == sum(w[-1] in ".,!?;:" for w in words) / n
+        assert t.marked == sum(w[-1] in "#$%&*|<>{}[]\\^~=@_+" for w in words) / n
+
+
 def test_odd_rows(odd, none):
     got = Q.judged(odd).collect()
     assert len(got) == odd.count() and all(0 <= r.score <= 1 for r in got)
