@@ -29,6 +29,8 @@ UNIT = float(1 << 20)
 #: Up to so many features in all examples together, 8 bytes each, the driver sums; beyond, the executors do,
 #: and each step takes a slice of about as many, or of one part in ``SLICES`` if that is more.
 LOCAL, SLICES = 4_000_000, 250
+#: Features of the examples that the driver works on at a time.
+ENTRIES = 500_000
 
 #: From scores, targets and classes to values and their derivatives.
 Loss = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
@@ -45,7 +47,7 @@ class Block:
         self.kind, self.target, self.weight = (rows[c].to_numpy() for c in ("class", "target", "weight"))
         self.begins = (np.cumsum(self.sizes) - self.sizes)[self.sizes > 0]
         #: where an entry's gradient goes: its place, and the places of the other class after those of the first
-        self.to = self.places + np.repeat(self.kind, self.sizes).astype(np.int64) * n
+        self.to = self.places + np.repeat(self.kind, self.sizes).astype(np.int32) * n
 
     def sums(self, w: np.ndarray, b: float, loss: Loss) -> tuple[np.ndarray, np.ndarray]:
         """Sums of values, derivatives and weights by class, and of gradients by class and place; whole numbers."""
@@ -67,9 +69,15 @@ class Batch:
         self.n, self.loss = n, loss
         examples = written(examples, "examples")
         entries = examples.agg(F.sum(F.size("places").cast("long"))).first()[0] or 0
-        self.block = Block(examples.toArrow(), n) if entries <= local else None
+        self.blocks: list[Block] = []
+        self.local = entries <= local
         self.slices = slices or min(max(1, -(-entries // LOCAL)), SLICES)
-        if self.block is None:
+        if self.local:
+            rows = examples.toArrow().combine_chunks()
+            # few at a time, as a step's own arrays are several times as large as the examples
+            step = max(1, len(rows) * ENTRIES // max(entries, 1))
+            self.blocks = [Block(rows.slice(k, step), n) for k in range(0, len(rows), step)]
+        else:
             spark, mark = examples.sparkSession, F.xxhash64("places", "shares", "class", "target")
             own = F.pmod(mark, F.lit(self.slices)).cast("int")
             path = new_folder(spark, "slices")
@@ -79,8 +87,13 @@ class Batch:
             self.examples = spark.read.schema(T.StructType([*examples.schema.fields, T.StructField("slice", T.IntegerType())])).parquet(path)
 
     def sums(self, step: int, w: np.ndarray, b: float) -> tuple[np.ndarray, np.ndarray]:
-        if self.block:
-            return tuple(x / UNIT for x in self.block.sums(w, b, self.loss))
+        if self.local:
+            heads, grads = np.zeros((3, 2)), np.zeros((2, self.n))
+            for block in self.blocks:
+                got = block.sums(w, b, self.loss)
+                heads += got[0]
+                grads += got[1]
+            return heads / UNIT, grads / UNIT
         shared, loss, n = _Shared(self.examples.sparkSession, (w, b)), self.loss, self.n
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
