@@ -43,6 +43,16 @@ def features(word: bytes) -> list[bytes]:
     return [word, *(text[:k].encode() + b" " for k in BEGINNINGS if len(text) >= k)]
 
 
+def head(word: bytes) -> bytes:
+    """The first characters of a word, as many as its shortest beginning among the features has: all its features have the same."""
+    return word[: BEGINNINGS[0]] if word.isascii() else word.decode("utf-8", "replace")[: BEGINNINGS[0]].encode()
+
+
+def heads(table: Iterable[bytes]) -> frozenset[bytes]:
+    """The heads of features: a word with another has none of them, which most words are soon told by."""
+    return frozenset(head(f.rstrip(b" ")) for f in table)
+
+
 def _held(text: str) -> set[bytes]:
     return set().union(*(features(w) for w in set(words_of(text))))
 
@@ -115,32 +125,41 @@ def _worth(docs: DataFrame) -> DataFrame:
 def _counted(rows: DataFrame, only: _Shared | None = None) -> DataFrame:
     """Rows (feature, n, texts): the worth of the texts (text, worth) that hold it, once for each different word that has it, and once for each text.
 
-    With ``only``, of that set's features, and texts is left at 0: words are
+    With ``only``, of that set's features, and texts is left at 0. Words are
     counted first, and their features once for each different word of a task.
+    Texts are counted as if all were worth 1, as confirmed ones are.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: Counter = Counter()
+        words: Counter = Counter()  # of texts that count once each
+        shared: Counter = Counter()  # the worth of the others'
         texts: Counter = Counter()
         one = int(linear.UNIT)
+        some = None if only is None else heads(only.value)
 
         def out() -> pa.RecordBatch:
             sums: Counter = Counter()
-            for w, n in words.items():
+            for w in words.keys() | shared.keys():
+                if some is not None and head(w) not in some:
+                    continue
+                n = words[w] * one + shared[w]
                 for f in features(w):
                     if only is None or f in only.value:
                         sums[f] += n
-            got = [pa.array(list(sums), pa.binary()), pa.array(list(sums.values()), pa.int64()), pa.array([texts[f] for f in sums], pa.int64())]
-            words.clear(), texts.clear()
+            got = [pa.array(list(sums), pa.binary()), pa.array(list(sums.values()), pa.int64()), pa.array([texts[f] * one for f in sums], pa.int64())]
+            words.clear(), shared.clear(), texts.clear()
             return pa.RecordBatch.from_arrays(got, ["feature", "n", "texts"])
 
         for batch in batches:
             for text, worth in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                held = dict.fromkeys(words_of(text), worth)
-                words.update(held)
+                held = set(words_of(text))
+                if worth == one:
+                    words.update(held)
+                else:
+                    shared.update(dict.fromkeys(held, worth))
                 if only is None:
-                    texts.update(dict.fromkeys(_held(text), worth))
-                if len(words) > 500_000:
+                    texts.update(_held(text))
+                if len(words) + len(shared) > 500_000:
                     yield out()
         yield out()
 
@@ -151,16 +170,16 @@ class _Found:
     """Which features of a table a text has, each once; what a word gives is kept."""
 
     def __init__(self, table):
-        self.table, self.cache = table, {}
+        self.table, self.heads, self.cache = table, heads(table), {}
 
     def __call__(self, text: str) -> set[bytes]:
-        cache, table, found = self.cache, self.table, set()
+        cache, table, heads_, found = self.cache, self.table, self.heads, set()
         if len(cache) > 400_000:
             cache.clear()
         for w in set(words_of(text)):
             hit = cache.get(w)
             if hit is None:
-                hit = cache[w] = tuple(f for f in features(w) if f in table)
+                hit = cache[w] = tuple(f for f in features(w) if f in table) if head(w) in heads_ else ()
             if hit:
                 found.update(hit)
         return found

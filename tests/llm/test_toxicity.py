@@ -166,6 +166,16 @@ def test_the_query_against_brute_force(data):
         assert abs(got.score(t) - want) < 0.05
 
 
+def test_heads_tell_no_feature_away():
+    rng = random.Random(5)
+    words = {"".join(rng.choices("abé日", k=rng.randint(1, 8))).encode() for _ in range(400)}
+    table = frozenset(rng.sample(sorted({f for w in words for f in T.features(w)}), 60))
+    found = T._Found(table)
+    for w in words:
+        assert found(w.decode()) == {f for f in T.features(w) if f in table}
+        assert all(T.head(f.rstrip(b" ")) == T.head(w) for f in T.features(w))
+
+
 def test_very_frequent_copies_count_once(spark, data):
     """A third of the documents are copies of one clean text, and as many of one toxic text."""
     docs, labels, known = data
