@@ -18,18 +18,23 @@ def all_reduce(x: DataFrame, comm: Comm, op: str = "sum", dtype: str = "fp64", s
     """Every rank gets the arrays reduced place by place over ranks, in the strict order or that of ascending ranks.
 
     Arrays stay whole: there is no row for each element. With few ranks there is one
-    aggregate for each, beyond that one array of the ranks' arrays.
+    aggregate for each, beyond that one array of the ranks' arrays. A rank without an
+    array at an idx counts as one of nulls, which a sum keeps and max and min pass over.
     """
     d = validate.reduction(op, dtype)
     kind = f"array<{d.spark}>"
+    # zip_with fills up the shorter array with nulls
+    none = F.array().cast(kind)
 
     def step(a: Column, b: Column) -> Column:
         return F.zip_with(a, b, lambda p, q: R.combine(op, d, p, q).cast(d.spark))
 
     if comm.size <= R.MOST_COLUMNS:
         parts = x.groupBy("idx").agg(*(F.max(F.when(F.col("rank") == r, F.col("vals"))).cast(kind).alias(f"v{r}") for r in range(comm.size)))
-        values = [F.col(f"v{r}") for r in range(comm.size)]
+        own = [F.col(f"v{r}") for r in range(comm.size)]
+        values = [F.coalesce(v, none) for v in own]
         out = R.in_halving_tree(values, step) if strict else left_fold(step, values)
+        out = F.when(F.coalesce(*own).isNotNull(), out)
     else:
         rows = F.array_sort(F.collect_list(F.struct("rank", F.col("vals").cast(kind).alias("vals"))))
         parts = x.groupBy("idx").agg(F.transform(rows, lambda r: r["vals"]).alias("v"))
