@@ -37,8 +37,12 @@ def all_reduce(x: DataFrame, comm: Comm, op: str = "sum", dtype: str = "fp64", s
         out = F.when(F.coalesce(*own).isNotNull(), out)
     else:
         rows = F.array_sort(F.collect_list(F.struct("rank", F.col("vals").cast(kind).alias("vals"))))
-        parts = x.groupBy("idx").agg(F.transform(rows, lambda r: r["vals"]).alias("v"))
+        # each rank's place is its own, also where others have no array
+        by_rank = F.transform(F.sequence(F.lit(0), F.lit(comm.size - 1)), lambda k: F.get(F.filter("rows", lambda r: r["rank"] == k), 0)["vals"])
+        own = F.when(F.size("rows") == comm.size, F.transform("rows", lambda r: r["vals"])).otherwise(by_rank)
+        parts = x.groupBy("idx").agg(rows.alias("rows")).select("idx", F.transform(own, lambda v: F.coalesce(v, none)).alias("v"), F.exists("rows", lambda r: r["vals"].isNotNull()).alias("some"))
         out = R.halving_tree_of(F.col("v"), comm.size, step) if strict else F.aggregate(F.slice("v", 2, F.size("v")), F.element_at("v", 1), step)
+        out = F.when(F.col("some"), out)
     return _everywhere(parts.select("idx", out.alias("val")), comm).withColumnRenamed("val", "vals")
 
 

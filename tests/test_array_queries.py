@@ -7,6 +7,8 @@ import numpy as np
 import pytest
 
 from rankmesh import queries as Q
+from rankmesh.model import Comm
+from rankmesh.operators import arrays
 
 
 @pytest.fixture(scope="module")
@@ -30,3 +32,20 @@ def same(spark, folder: str, name: str) -> int:
 
 def test_max_passes_over_ranks_without_an_array(spark, vectors):
     assert same(spark, vectors, "embedding_all_reduce_max") == 7 * 5 * 64
+
+
+def test_sums_with_ranks_without_an_array_are_null(spark, vectors):
+    assert same(spark, vectors, "embedding_all_reduce_sum") == 7 * 5 * 64
+
+
+@pytest.mark.parametrize("ranks", [3, 70])
+def test_a_missing_array_counts_as_nulls(spark, ranks):
+    """With a column for each rank, and with an array of all; sums in either order."""
+    rows = [(r, i, [float(r), -float(r)] if (r, i) != (1, 2) else None) for r in range(ranks) for i in range(3) if (r, i) != (0, 1)] + [(1, 3, None)]
+    x = spark.createDataFrame(rows, "rank int, idx bigint, vals array<double>")
+    total, last = ranks * (ranks - 1) / 2, ranks - 1.0
+    for strict in (True, False):
+        got = {r.idx: r.vals for r in arrays.all_reduce(x, Comm(ranks), strict=strict).filter("rank = 1").collect()}
+        assert got == {0: [total, -total], 1: [None, None], 2: [None, None], 3: None}
+    most = {r.idx: r.vals for r in arrays.all_reduce(x, Comm(ranks), "max").filter("rank = 1").collect()}
+    assert most == {0: [last, 0.0], 1: [last, -1.0], 2: [last, 0.0], 3: None}
