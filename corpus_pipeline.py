@@ -41,6 +41,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: runs of five words in common, at a Jaccard likeness of 0.8 or more; same columns.
 
+    By SimHash fingerprints and pivot distance tables, as op8, with wider fingerprints,
+    a radius for that likeness and a count of the runs themselves.
     Texts without words, null ones among them, are copies of one another; a text of
     fewer than five words is one run. Texts are compared whole, however long. Of a
     group the row with the smallest doc_id stays, null ids last, of several rows with

@@ -60,6 +60,56 @@ def simhashes(texts: list[str], n: int = SHINGLE) -> np.ndarray:
     return out
 
 
+#: What each word of a wide fingerprint adds to a shingle's hash before it is mixed.
+_ADDED = np.arange(1, 19, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+
+
+def wide(hashes: np.ndarray) -> np.ndarray:
+    """A fingerprint of ``len(_ADDED)`` words of 64 bits from shingles' hashes (uint64, one at least): a bit is 1 if over half of them have it."""
+    counts = np.zeros(64 * len(_ADDED), np.int64)
+    for k in range(0, len(hashes), 255):  # so that a byte holds the counts
+        x = hashes[k : k + 255, None] + _ADDED
+        for shift, times in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x ^= x >> np.uint64(shift)
+            x *= np.uint64(times)
+        x ^= x >> np.uint64(31)
+        counts += np.add.reduce(np.unpackbits(x.view(np.uint8), axis=1), axis=0, dtype=np.uint8)
+    return np.packbits(2 * counts > len(hashes)).view("<u8")
+
+
+def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of fingerprints of several words, row by row."""
+    return np.bitwise_count(a ^ b).sum(-1, dtype=np.int32)
+
+
+def close(group: np.ndarray, prints: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs (i, j) of one group at ``distance`` or fewer differing bits; rows are sorted by ``group``, ``prints`` has some words of each.
+
+    By tables of distances to reference fingerprints, many groups at once. At large
+    distances references drawn at random discard nothing, so they are the group's own:
+    its first fingerprint, by which it is sorted, and the one farthest from that.
+    """
+    n = len(group)
+    first = np.searchsorted(group, group)
+    table = apart(prints, prints[first])
+    order = np.lexsort((table, group))
+    own, table, group = prints[order], table[order], group[order]
+    last = np.searchsorted(group, group, side="right") - 1
+    other = apart(own, own[last])
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    i, step = np.arange(n), 0
+    while len(i):
+        step += 1
+        i = i[i + step <= last[i]]
+        i = i[table[i + step] - table[i] <= distance]
+        j = i + step
+        keep = np.abs(other[i] - other[j]) <= distance
+        x, y = i[keep], j[keep]
+        keep = apart(own[x], own[y]) <= distance
+        found.append((order[x[keep]], order[y[keep]]))
+    return tuple(np.concatenate([p[k] for p in found] or [np.zeros(0, np.int64)]) for k in (0, 1))
+
+
 def row_key() -> Column:
     """What tells rows of one doc_id apart: a hash of the text, and whether the id is null."""
     return F.xxhash64(F.col("doc_id").isNull(), "text")

@@ -2,10 +2,13 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from tests_llm_tools import prose, table
 
 from rankmesh.llm import nearcopies as N
+from rankmesh.llm.simhash import apart, wide
 
 
 def brute_set(text: str) -> set:
@@ -101,3 +104,50 @@ def test_odd_rows(odd, none):
     assert len(texts) == len(set(texts)) and set(texts) == {r.text for r in odd.collect() if (r.text or "").strip()}
     assert sum(not (r.text or "").strip() for r in rows) == 1
     assert N.one_of_each(none).count() == 0
+
+
+@pytest.mark.parametrize("n", [1000, 12_000_000])
+def test_texts_at_the_likeness_share_a_key_and_stay_within_the_radius(n):
+    rng = np.random.default_rng(13)
+    bits, number = N.tables(n)
+    places = N.choices(bits, number)
+    assert places.shape == (number, bits) and all(len(set(p)) == bits for p in places.tolist())
+    shared = close = 0
+    for _ in range(400):
+        all_ = rng.integers(0, 1 << 64, 200, dtype=np.uint64)  # 180 each, 160 in common
+        a, b = wide(all_[:180]), wide(all_[20:])
+        x, y = (np.unpackbits(p[: N.KEYED].view(np.uint8))[places] for p in (a, b))
+        shared += bool((x == y).all(1).any())
+        close += bool(apart(a[N.KEYED :], b[N.KEYED :]) <= N.radius(128, 0.8, N.SPARE) and apart(a, b) <= N.radius(64 * len(a), 0.8, N.WIDE_SPARE))
+    assert shared >= 398 and close >= 399
+
+
+def test_candidates_connect_what_is_close_whatever_the_size_of_a_key(monkeypatch):
+    """SimHash keys of up to 24 texts are held, others handed on whole, also over several batches."""
+    monkeypatch.setattr(N, "ROWS", 64)
+    rng = np.random.default_rng(14)
+    base = rng.integers(0, 1 << 64, (30, 2), dtype=np.uint64)
+    rows = []
+    for band, size in enumerate([5, 1, 20, 300, 2, 24, 60, 7, 200]):
+        for fp in sorted(rng.choice(10_000, size, replace=False).tolist()):
+            p = base[rng.integers(0, 30)].copy()
+            for k in rng.integers(0, 128, 18).tolist():
+                p[k // 64] ^= np.uint64(1) << np.uint64(k % 64)
+            rows.append((band, fp, *p.view(np.int64).tolist()))
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[k : k + 17], strict=True)], ["band", "fp", "p0", "p1"]) for k in range(0, len(rows), 17)]
+    found = [r for b in N._candidates(40, 24)(batches) for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    large = {3, 6, 8}
+    members = [(band, a) for band, a, b in found if b is None]
+    assert sorted(members) == sorted((band, fp) for band, fp, *_ in rows if band in large)
+    links = {(a, b) for band, a, b in found if b is not None}
+    for band in range(9):
+        own = {fp: np.array(p).view(np.uint64) for k, fp, *p in rows if k == band}
+        near = [(a, b) for a in own for b in own if a < b and int(apart(own[a], own[b])) <= 40]
+        if band in large:
+            assert {(min(own), b) for a, b in near if a == min(own)} <= links
+            continue
+        root = {fp: fp for fp in own}
+        for a, b in near:
+            x, y = root[a], root[b]
+            root = {k: min(x, y) if v in (x, y) else v for k, v in root.items()}
+        assert {(v, k) for k, v in root.items() if v != k} <= links

@@ -139,3 +139,26 @@ def test_odd_rows(odd, none):
     rows = kept.collect()
     assert sum(not (r.text or "").strip() for r in rows) == 1 and len(rows) == len({r.component_id if r.component_id is not None else r.fingerprint for r in got})
     assert S.groups(none).count() == 0 == S.one_of_each(none).count()
+
+
+def test_distance_tables_find_all_close_pairs():
+    rng = np.random.default_rng(11)
+    base = rng.integers(0, 1 << 64, (40, 2), dtype=np.uint64)
+    prints = base[rng.integers(0, 40, 900)]
+    for _ in range(9):  # up to 9 bits of each are turned
+        prints[np.arange(900), rng.integers(0, 2, 900)] ^= np.uint64(1) << rng.integers(0, 64, 900).astype(np.uint64)
+    group = np.sort(rng.integers(0, 60, 900))
+    for distance in (16, 40):
+        i, j = S.close(group, prints, distance)
+        got = {(min(p), max(p)) for p in zip(i.tolist(), j.tolist(), strict=True)}
+        want = {(a, b) for a in range(900) for b in range(a + 1, 900) if group[a] == group[b] and int(np.bitwise_count(prints[a] ^ prints[b]).sum()) <= distance}
+        assert got == want and len(got) == len(i) and want
+    assert [len(x) for x in S.close(group[:0], prints[:0], 40)] == [0, 0]
+
+
+def test_wide_fingerprints_follow_the_majority():
+    rng = np.random.default_rng(12)
+    one, many = rng.integers(0, 1 << 64, 1, dtype=np.uint64), rng.integers(0, 1 << 64, 700, dtype=np.uint64)
+    bits = np.array([np.unpackbits(S.wide(many[k : k + 1]).view(np.uint8)) for k in range(700)], int)
+    assert (np.unpackbits(S.wide(many).view(np.uint8)) == (2 * bits.sum(0) > 700)).all()
+    assert (S.wide(np.repeat(one, 600)) == S.wide(one)).all() and abs(bits.mean() - 0.5) < 0.01
