@@ -277,6 +277,21 @@ def _link(likeness: float):
     return run
 
 
+def _stars(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of links (a, b) with a < b: the one with the smallest a of each b, and links (a, b) that connect what all of them connect.
+
+    A text has a link for each table in which it shares a key, and those of a group
+    of near copies are mostly to the same few texts. So all but the smallest a of a b
+    move from b to that smallest a, where they repeat; what is left is one link for
+    each b and the different ones that moved. A b has one a for each table at most.
+    """
+    stars = found.filter("b is not null").groupBy("b").agg(F.min("a").alias("a"), F.collect_set("a").alias("all"))
+    stars = written(stars, "stars")
+    firsts = stars.select("a", "b")
+    moved = stars.filter(F.size("all") > 1).select("a", F.explode("all").alias("b")).filter("b > a")
+    return firsts, written(firsts.unionByName(moved).distinct(), "coarse")
+
+
 def _few(keys: DataFrame) -> DataFrame:
     """Marked for broadcast where there are few: a key with very many texts isn't dealt to one task then."""
     return F.broadcast(keys) if keys.limit(KEYS + 1).count() <= KEYS else keys
@@ -345,8 +360,7 @@ def links(docs: DataFrame, rows: DataFrame, n: int = SHINGLE, likeness: float =
     bits, number = tables(count, likeness)
     filed = _banded(_filed(nodes, bits, number), 40 * number * count, "fp")
     found = written(filed.mapInArrow(_candidates(radius(128, likeness, SPARE), span), "band long, a long, b long"), "candidates")
-    coarse = written(found.filter("b is not null").select("a", "b").distinct(), "coarse")
-    firsts = written(coarse.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "firsts")
+    firsts, coarse = _stars(found)
 
     # rows with one id and one text are one text
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("_id"), row_key().alias("_key"), text_or_empty().alias("text")).dropDuplicates(["_id", "_key"])

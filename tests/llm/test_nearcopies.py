@@ -151,3 +151,27 @@ def test_candidates_connect_what_is_close_whatever_the_size_of_a_key(monkeypatch
             x, y = root[a], root[b]
             root = {k: min(x, y) if v in (x, y) else v for k, v in root.items()}
         assert {(v, k) for k, v in root.items() if v != k} <= links
+
+
+def test_stars_connect_what_the_links_connect(spark):
+    rng = random.Random(15)
+    pairs = {tuple(sorted(rng.sample(range(k, k + 60), 2))) for k in range(0, 600, 60) for _ in range(rng.choice([20, 40, 300]))}
+    found = [(None, a, b) for a, b in sorted(pairs)] * 2 + [(5, a, None) for a in range(700, 720)]
+    firsts, coarse = (x.collect() for x in N._stars(spark.createDataFrame(found, "band long, a long, b long").repartition(5)))
+    assert {r.b: r.a for r in firsts} == {b: min(x for x, y in pairs if y == b) for _, b in pairs} and len(firsts) == len({b for _, b in pairs})
+    label = [N.connected(600, *np.array(p).T).tolist() for p in (sorted(pairs), [(r.a, r.b) for r in coarse])]
+    assert label[0] == label[1] and len(coarse) == len(set(coarse)) <= len(pairs) and all(r.a < r.b for r in coarse)
+
+
+def test_a_group_meets_in_about_a_link_for_each_text_not_one_for_each_table(spark, monkeypatch):
+    rng = random.Random(16)
+    words = prose(78, 150).split()
+    rows = []
+    for i in range(300):
+        own = list(words)
+        own[rng.randrange(150)] = f"edit{i}"
+        rows.append((i, " ".join(own), "a"))
+    edges, components = [], N.components
+    monkeypatch.setattr(N, "components", lambda e: edges.append(e.distinct().count()) or components(e))
+    assert [r.doc_id for r in N.one_of_each(table(spark, rows)).collect()] == [0]
+    assert max(edges) < 4 * len(rows)
